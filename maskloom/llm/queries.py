@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import shards, topk, urls
+from maskloom.llm import shards, substring, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vecs, vecs.where("id % 50 = 0"), k=5)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(_table(spark, sf_dir, "documents"), n_shards=16)
 
@@ -28,6 +33,7 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_top_k": op2_exact_top_k,
+    "op4_substring_dedup": op4_substring_dedup,
     "op7_byte_shards": op7_byte_shards,
     "op9_url_rules": op9_url_rules,
 }
@@ -47,6 +53,28 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op4_substring_dedup": r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM t WHERE len(w) >= 50
+), s AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM p
+), m AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first_id FROM s
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM m WHERE first_id < doc_id
+), c AS (
+  SELECT doc_id, list(j) AS gone FROM g GROUP BY doc_id
+), k AS (
+  SELECT t.doc_id, w, coalesce(gone, []) AS gone,
+         list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(coalesce(gone, []), j)) AS stay
+  FROM t LEFT JOIN c USING (doc_id)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_transform(stay, lambda j: w[j]), ' '), '')) AS kept_sha256
+FROM k
 """,
     "op9_url_rules": r"""
 WITH p AS (
