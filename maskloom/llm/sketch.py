@@ -29,15 +29,16 @@ def width_for(items: int, least: int = 1 << 16, most: int = 1 << 24) -> int:
 
 
 def add(table: np.ndarray, at: np.ndarray) -> None:
-    """Count cells, saturating at 255."""
+    """Count cells, saturating at the counters' largest value."""
     if not len(at):
         return
+    most = np.iinfo(table.dtype).max
     if len(at) * 8 < len(table):
         at, n = np.unique(at, return_counts=True)
-        table[at] = np.minimum(table[at].astype(np.int64) + n, 255)
+        table[at] = np.minimum(table[at].astype(np.int64) + n, most)
     else:
         n = np.bincount(at, minlength=len(table))
-        np.minimum(n + table, 255, out=n)
+        np.minimum(n + table, most, out=n)
         table[:] = n
 
 
@@ -52,11 +53,11 @@ def _packed(table: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
         })
 
 
-def counted(cells: int, fill: Callable[[np.ndarray, pa.RecordBatch], None]) -> Callable:
-    """For mapInArrow: one sketch of ``cells`` one-byte counters for the task's rows."""
+def counted(cells: int, fill: Callable[[np.ndarray, pa.RecordBatch], None], kind: type = np.uint8) -> Callable:
+    """For mapInArrow: one sketch of ``cells`` counters for the task's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(cells, np.uint8)
+        table = np.zeros(cells, kind)
         for batch in batches:
             fill(table, batch)
         yield from _packed(table, TaskContext.get().partitionId())
@@ -64,21 +65,21 @@ def counted(cells: int, fill: Callable[[np.ndarray, pa.RecordBatch], None]) -> C
     return run
 
 
-def merged(parts: DataFrame, cells: int) -> np.ndarray:
-    """Sum of the tasks' sketches, saturating at 255, ``FAN_IN`` at a time.
+def merged(parts: DataFrame, cells: int, kind: type = np.uint8) -> np.ndarray:
+    """Sum of the tasks' sketches, saturating, ``FAN_IN`` at a time.
 
     Saturating sums do not depend on their order, so neither a retried task nor the shape of the tree
     shows. A group holds at most FAN_IN slices; the driver gets SLICES rows.
     """
     sizes = [len(c) for c in np.array_split(np.empty(cells, np.uint8), SLICES)]
+    wide, most = np.dtype(kind).itemsize, np.iinfo(kind).max
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         k = int(pdf["slice"].iloc[0])
-        total = np.zeros(sizes[k], np.uint16)
+        total = np.zeros(sizes[k], np.int64)
         for body in pdf["body"]:
-            total += np.frombuffer(pa.decompress(body, decompressed_size=sizes[k], codec="zstd"), np.uint8)
-            np.minimum(total, 255, out=total)
-        body = pa.compress(total.astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
+            total += np.frombuffer(pa.decompress(body, decompressed_size=sizes[k] * wide, codec="zstd"), kind)
+        body = pa.compress(np.minimum(total, most).astype(kind).tobytes(), codec="zstd", asbytes=True)
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN_IN], "slice": [k], "body": [body]}).astype({"slice": "int32"})
 
     left = parts.rdd.getNumPartitions()
@@ -87,9 +88,9 @@ def merged(parts: DataFrame, cells: int) -> np.ndarray:
         left = -(-left // FAN_IN)
         if left <= 1:
             break
-    out = [np.zeros(n, np.uint8) for n in sizes]
+    out = [np.zeros(n, kind) for n in sizes]
     for r in parts.collect():
-        out[r["slice"]] = np.frombuffer(pa.decompress(r["body"], decompressed_size=sizes[r["slice"]], codec="zstd"), np.uint8)
+        out[r["slice"]] = np.frombuffer(pa.decompress(r["body"], decompressed_size=sizes[r["slice"]] * wide, codec="zstd"), kind)
     return np.concatenate(out)
 
 
