@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -74,17 +73,17 @@ def merged(parts: DataFrame, cells: int, kind: type = np.uint8) -> np.ndarray:
     sizes = [len(c) for c in np.array_split(np.empty(cells, np.uint8), SLICES)]
     wide, most = np.dtype(kind).itemsize, np.iinfo(kind).max
 
-    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["slice"].iloc[0])
+    def add_up(table: pa.Table) -> pa.Table:
+        k = table["slice"][0].as_py()
         total = np.zeros(sizes[k], np.int64)
-        for body in pdf["body"]:
-            total += np.frombuffer(pa.decompress(body, decompressed_size=sizes[k] * wide, codec="zstd"), kind)
+        for body in table["body"]:
+            total += np.frombuffer(pa.decompress(body.as_buffer(), decompressed_size=sizes[k] * wide, codec="zstd"), kind)
         body = pa.compress(np.minimum(total, most).astype(kind).tobytes(), codec="zstd", asbytes=True)
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN_IN], "slice": [k], "body": [body]}).astype({"slice": "int32"})
+        return pa.table({"part": pa.array([table["part"][0].as_py() // FAN_IN], pa.int64()), "slice": pa.array([k], pa.int32()), "body": pa.array([body], pa.binary())})
 
     left = parts.rdd.getNumPartitions()
     while True:
-        parts = parts.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("to")).applyInPandas(add_up, SCHEMA)
+        parts = parts.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(add_up, SCHEMA)
         left = -(-left // FAN_IN)
         if left <= 1:
             break

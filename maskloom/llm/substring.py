@@ -121,11 +121,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
     earliest = seen.groupBy("w", "v").agg(F.min("id").alias("first_id"))
     hits = seen.join(earliest.hint("shuffle_hash"), ["w", "v"]).where("id > first_id")
     hits = saved(hits.groupBy("id", "key").agg(F.collect_list("at").alias("at")), "window-hits")
-    losers = bitmap(hits.withColumn("both", F.xxhash64("id", "key")), "both", hits.count())
+    losers = bitmap(hits, "key", hits.count())
 
     def steered(batches: Iterator[pa.RecordBatch], want: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = flagged(losers.value, batch.column("both")) == want
+            keep = flagged(losers.value, batch.column("key")) == want
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
@@ -153,11 +153,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
                 row += len(ids)
                 yield _finished(ids, words, np.cumsum(change)[:-1] > 0)
 
-    both = F.xxhash64("id", "key")
-    wide = "id long, text string, key long, both long"
-    firsts = unique.map(lambda it: it, "id long, text string, key long").withColumn("both", both)
-    untouched = firsts.mapInArrow(lambda it: whole(steered(it, False)), OUT)
-    touched = firsts.mapInArrow(lambda it: steered(it, True), wide)
+    untouched = unique.map(lambda it: whole(steered(it, False)), OUT)
+    touched = unique.map(lambda it: steered(it, True), "id long, text string, key long")
     touched = touched.join(hits, ["id", "key"], "left").select("id", "text", "at").mapInArrow(cut, OUT)
     parts = [untouched, touched, unique.later().select("id", "text").mapInArrow(copied, OUT)]
     parts.append(nameless.select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(whole, OUT).withColumn("id", F.lit(None).cast("long")))
