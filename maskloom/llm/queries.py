@@ -5,28 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import jaccard, shards, substring, topk, urls
+from maskloom.llm import decontaminate, jaccard, langid, lm, pieces, shards, substring, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = _table(spark, sf_dir, "embeddings")
     vecs = emb.where(topk.finite(F.col("embedding"))).select(F.col("vec_id").alias("id"), topk.scaled(F.col("embedding")).alias("vec"))
     return topk.top_k(vecs, vecs.where("id % 50 = 0"), k=5)
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(_table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -36,14 +56,34 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_lattice_lm": op3_lattice_lm,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_byte_shards": op7_byte_shards,
+    "op8_toxicity": op8_toxicity,
     "op9_url_rules": op9_url_rules,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 SQL = {
+    "op1_decontamination": r"""
+WITH t AS (
+  SELECT 0 AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark
+), s AS (
+  SELECT DISTINCT side, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM t
+), n AS (
+  SELECT id, count(*) AS n_item FROM s WHERE side = 1 GROUP BY id
+)
+SELECT d.id AS doc_id, i.id AS item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+FROM s d JOIN s i ON d.g = i.g AND d.side = 0 AND i.side = 1 JOIN n ON n.id = i.id
+GROUP BY d.id, i.id, n_item HAVING 100 * count(*) >= 80 * n_item
+""",
     "op2_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
