@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from maskloom.llm.sketch import bitmap, flagged
 from maskloom.llm.store import saved
@@ -26,12 +27,14 @@ class Distinct:
     ``docs`` has (id, text); rows with a null id must be left out. ``key`` is a 64-bit hash that only
     steers rows; groups are formed on a 128-bit digest. A bitmap of the keys that repeat, of bounded
     size, tells most rows at the scan that they have no copy. The rest go through a join with their
-    group's smallest id. A fuller bitmap sends more rows that way and changes no result.
+    group's smallest id. A fuller bitmap sends more rows that way and changes no result. A column
+    ``rest`` is carried along if there is one.
     """
 
     def __init__(self, docs: DataFrame):
         text = F.coalesce(F.col("text"), F.lit(""))
-        self.docs = docs.select("id", text.alias("text")).withColumn("key", F.xxhash64("text"))
+        self.carried = ["rest"] if "rest" in docs.columns else []
+        self.docs = docs.select("id", text.alias("text"), *self.carried).withColumn("key", F.xxhash64("text"))
         digest = F.md5("text")
         groups = self.docs.select("id", "key", digest.alias("digest")).groupBy("digest", "key")
         groups = saved(groups.agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1"), "copy-groups")
@@ -39,21 +42,20 @@ class Distinct:
         self.n_groups = groups.count()
         self.bits = bitmap(groups, "key", self.n_groups)
         bits = self.bits
-        schema = "id long, text string, key long"
-        some = self.docs.mapInArrow(lambda it: filtered(it, bits.value, "key", True), schema).withColumn("digest", F.md5("text"))
+        some = self.docs.mapInArrow(lambda it: filtered(it, bits.value, "key", True), self.docs.schema).withColumn("digest", F.md5("text"))
         grouped = some.join(groups.select("digest", "first_id"), "digest", "left")
         is_first = F.col("first_id").isNull() | (F.col("id") == F.col("first_id"))
-        self.firsts = saved(grouped.where(is_first).select("id", "text", "key"), "copy-firsts")
+        self.firsts = saved(grouped.where(is_first).select(*self.docs.columns), "copy-firsts")
 
-    def map(self, fn: Callable, schema: str) -> DataFrame:
-        """``mapInArrow(fn)`` over (id, text, key) of each different text."""
+    def map(self, fn: Callable, schema: str | StructType) -> DataFrame:
+        """``mapInArrow(fn)`` over (id, text, rest, key) of each different text."""
         bits = self.bits
         alone = self.docs.mapInArrow(lambda it: fn(filtered(it, bits.value, "key", False)), schema)
         return alone.unionByName(self.firsts.mapInArrow(fn, schema))
 
     def later(self) -> DataFrame:
-        """(id, text, first_id) of every row whose text a smaller id has too."""
+        """(id, text, rest, first_id) of every row whose text a smaller id has too."""
         bits = self.bits
-        some = self.docs.mapInArrow(lambda it: filtered(it, bits.value, "key", True), "id long, text string, key long")
+        some = self.docs.mapInArrow(lambda it: filtered(it, bits.value, "key", True), self.docs.schema)
         some = some.withColumn("digest", F.md5("text"))
-        return some.join(self.groups.select("digest", "first_id"), "digest").where("id > first_id").select("id", "text", "first_id")
+        return some.join(self.groups.select("digest", "first_id"), "digest").where("id > first_id").select("id", "text", *self.carried, "first_id")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from maskloom.llm import words as W
 from maskloom.llm.copies import Distinct
@@ -15,7 +16,7 @@ from maskloom.llm.sketch import SCHEMA, add, bitmap, counted, flagged, merged, s
 from maskloom.llm.store import saved
 
 DEPTH = 2
-OUT = "id long, n_words long, n_removed long, kept string"
+OUT = StructType([StructField("id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
 
 
 def _anchors(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,27 +34,27 @@ def _anchors(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[
     return at, least[at]
 
 
-def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, W.Words]]:
+def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, W.Words]]:
     for rows, data, at in W.pieces(batch):
-        keys = rows.column("key").to_numpy(zero_copy_only=False) if "key" in rows.schema.names else None
-        yield rows.column("id").to_numpy(zero_copy_only=False).astype(np.int64), keys, W.split(data, at)
+        yield rows, W.split(data, at)
 
 
 def _by_document(at: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.searchsorted(first, at, "right") - 1
 
 
-def _finished(ids: np.ndarray, words: W.Words, gone: np.ndarray) -> pa.RecordBatch:
+def _finished(rows: pa.RecordBatch, words: W.Words, gone: np.ndarray) -> pa.RecordBatch:
     total = np.concatenate([[0], np.cumsum(gone)])
-    return pa.record_batch({
-        "id": pa.array(ids, pa.int64()),
+    out = {
+        "id": rows.column("id"),
         "n_words": pa.array(words.counts.astype(np.int64), pa.int64()),
         "n_removed": pa.array(np.diff(total[words.first]).astype(np.int64), pa.int64()),
         "kept": W.string_array(*W.joined(words, ~gone)),
-    })
+    }
+    return pa.record_batch(out | ({"rest": rows.column("rest")} if "rest" in rows.schema.names else {}))
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells: int = 1 << 24, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove the words of every ``window``-word passage that also starts in a document of smaller id.
 
     Words are taken unchanged; windows are judged on the input. Copies of a whole text are settled
@@ -71,12 +72,14 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
        Windows of larger ids come back to their documents as lists of positions. Only documents that
        lose words are shuffled with their text.
 
-    Null and empty texts have no words. Rows with a null id are returned unchanged and are nobody's
-    source. Rows that repeat an id are one document. Other columns are ignored; an empty table gives
-    an empty result. Returns id, n_words, n_removed, kept (words joined by one space), one row for
+    With ``carry`` all other columns come back in a struct ``rest``. Null and empty texts have no words. Rows with a null id are returned unchanged and are nobody's
+    source. Rows that repeat an id are one document. Other columns are otherwise ignored; an empty
+    table gives an empty result. Returns id, n_words, n_removed, kept (words joined by one space), one row for
     each input row.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]).alias("rest")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([rest] if carry else []))
+    result = StructType([*OUT.fields, *([rows.schema["rest"]] if carry else [])])
     nameless = rows.where("id is null")
     unique = Distinct(rows.where("id is not null"))
 
@@ -84,7 +87,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
     cells = width_for(size // 16, 1 << 12, most_cells)  # about three cells an anchor
 
     def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
-        for _, _, words in _unpack(batch):
+        for _, words in _unpack(batch):
             at, anchor = _anchors(words.hashes(), words.first, window, gram)
             doc = _by_document(at, words.first)
             new = np.ones(len(at), bool)
@@ -99,7 +102,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, keys, words in _unpack(batch):
+            for part, words in _unpack(batch):
+                ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
                 h = words.hashes()
                 at, anchor = _anchors(h, words.first, window, gram)
                 pick = np.ones(len(at), bool)
@@ -131,34 +135,32 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, _, words in _unpack(batch):
-                yield _finished(ids, words, np.zeros(len(words.starts), bool))
+            for part, words in _unpack(batch):
+                yield _finished(part, words, np.zeros(len(words.starts), bool))
 
     def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, _, words in _unpack(batch):
-                yield _finished(ids, words, np.repeat(words.counts >= window, words.counts))
+            for part, words in _unpack(batch):
+                yield _finished(part, words, np.repeat(words.counts >= window, words.counts))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = 0
             lists = batch.column("at")
-            for ids, _, words in _unpack(batch):
+            for part, words in _unpack(batch):
                 change = np.zeros(len(words.starts) + 1, np.int64)
-                for k in range(len(ids)):
+                for k in range(part.num_rows):
                     if (found := lists[row + k]).is_valid:
                         at = words.first[k] + np.unique(found.values.to_numpy())
                         change[at] += 1
                         np.subtract.at(change, at + window, 1)
-                row += len(ids)
-                yield _finished(ids, words, np.cumsum(change)[:-1] > 0)
-
-    untouched = unique.map(lambda it: whole(steered(it, False)), OUT)
-    touched = unique.map(lambda it: steered(it, True), "id long, text string, key long")
-    touched = touched.join(hits, ["id", "key"], "left").select("id", "text", "at").mapInArrow(cut, OUT)
-    parts = [untouched, touched, unique.later().select("id", "text").mapInArrow(copied, OUT)]
-    parts.append(nameless.select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(whole, OUT).withColumn("id", F.lit(None).cast("long")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("id", id_col)
+                row += part.num_rows
+                yield _finished(part, words, np.cumsum(change)[:-1] > 0)
+
+    more = ["rest"] if carry else []
+    untouched = unique.map(lambda it: whole(steered(it, False)), result)
+    touched = unique.map(lambda it: steered(it, True), unique.docs.schema)
+    touched = touched.join(hits, ["id", "key"], "left").select("id", "text", "at", *more).mapInArrow(cut, result)
+    copies = unique.later().select("id", "text", *more).mapInArrow(copied, result)
+    unnamed = nameless.mapInArrow(whole, result)
+    return untouched.unionByName(touched).unionByName(copies).unionByName(unnamed).withColumnRenamed("id", id_col)

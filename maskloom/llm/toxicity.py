@@ -213,3 +213,16 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out_m
         "worst_end",
         "worst_score",
     )
+
+
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is under ``threshold``: the filter of ``score``, in one scan."""
+    found = train(docs, labels, id_col=id_col, text_col=text_col, **bounds)
+    model = docs.sparkSession.sparkContext.broadcast(found or Model(np.zeros(WIDTH), -1e3))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, at in W.pieces(batch, text_col):
+                yield part.filter(pa.array(model.value.score(sentences(data, at))[1] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
