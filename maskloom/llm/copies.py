@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from maskloom.llm.sketch import bitmap, flagged
-from maskloom.llm.store import saved
+from maskloom.llm.store import saved, prepare
 
 
 def filtered(batches: Iterator[pa.RecordBatch], bits: np.ndarray, column: str, want: bool) -> Iterator[pa.RecordBatch]:
@@ -32,6 +32,7 @@ class Distinct:
     """
 
     def __init__(self, docs: DataFrame):
+        prepare(docs.sparkSession)
         text = F.coalesce(F.col("text"), F.lit(""))
         self.carried = ["rest"] if "rest" in docs.columns else []
         self.docs = docs.select("id", text.alias("text"), *self.carried).withColumn("key", F.xxhash64("text"))

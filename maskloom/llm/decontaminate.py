@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from maskloom.llm import words as W
 from maskloom.llm.copies import filtered
 from maskloom.llm.sketch import bitmap, flagged
-from maskloom.llm.store import saved
+from maskloom.llm.store import saved, prepare
 
 EXACT = np.uint64(0x5851F42D4C957F2D)
 
@@ -78,6 +78,7 @@ def find_leaks(
     an id are one document (or item), with its best text's figures. Other columns are ignored; either
     table may be empty. Returns id, item id, n_item, n_shared (long) and containment.
     """
+    prepare(docs.sparkSession)
     threshold = num / den
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

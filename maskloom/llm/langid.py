@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from maskloom.llm import words as W
 from maskloom.llm.linear import fit_scale, fit_svm, sigmoid
 from maskloom.llm.lm import bucket_of
+from maskloom.llm.store import prepare
 
 #: Language families by ISO 639-1 code (fixed values). A code not listed is a family of its own.
 FAMILIES = {
@@ -157,6 +158,7 @@ def identify(
 
     Returns id, held_out, lang_pred, score (0 to 1).
     """
+    prepare(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     out = bucket_of(F.col("id"), held_out_mod) == held_out_rest

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from maskloom.llm import words as W
 from maskloom.llm.automaton import marginals
 from maskloom.llm.pieces import MODEL, Vocabulary, shared_vocabulary
-from maskloom.llm.store import saved
+from maskloom.llm.store import saved, prepare
 
 LN10 = float(np.log(10))
 
@@ -81,6 +81,7 @@ def score_texts(
 
     Returns id, held_out, n_tokens, n_known, train_tokens (long), base_score, score (double).
     """
+    prepare(docs.sparkSession)
     spark = docs.sparkSession
     vocab = shared_vocabulary(spark, model)
     weight, byte_weight = piece_weights(vocab.value, scores)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from maskloom.llm import words as W
 from maskloom.llm.automaton import Automaton, best_paths
+from maskloom.llm.store import prepare
 
 SPACE = "▁".encode()
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -162,6 +163,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", te
 
     Returns id, n_pieces long, pieces array<int>, round_trip boolean.
     """
+    prepare(docs.sparkSession)
     vocab = shared_vocabulary(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +189,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", te
 
 def decode_pieces(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
     """The text of each list of piece ids: the inverse of ``encode_texts``. Null lists give empty texts."""
+    prepare(encoded.sparkSession)
     vocab = shared_vocabulary(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

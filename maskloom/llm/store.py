@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from maskloom.session import ship
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -23,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def prepare(spark: SparkSession, size: str = "4m") -> None:
+    """Ship the package to the Python workers and bound the bytes of an Arrow batch.
+
+    The bound is left alone if the session sets its own. Rows are whole documents; at Spark's default
+    a batch of them takes 64 MB several times over, in the JVM's buffers and in each Python worker.
+    """
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, size)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here.
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.store import saved, shuffle_partitions
+from maskloom.llm.store import prepare, saved, shuffle_partitions
 
 EXACT = float(1 << 52)
 
@@ -165,6 +165,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, head: int = 16, se
     Returns query_id long, rank int (from 1), vec_id long, score long.
     """
     spark = vectors.sparkSession
+    prepare(spark)
     deal = shuffle_partitions(spark)
     norm2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     vecs = vectors.select("id", "vec").where("id is not null and vec is not null").withColumn("norm2", norm2)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from maskloom.llm import words as W
 from maskloom.llm.linear import sigmoid
 from maskloom.llm.lm import bucket_of
+from maskloom.llm.store import prepare
 
 WIDTH = 1 << 18
 #: Bytes of a word's start that are features beside the whole word.
@@ -176,6 +177,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out_m
     Returns id, held_out, score (0 to 1), predicted (1 from ``threshold`` on), and worst_start,
     worst_end, worst_score: characters and chance of the likeliest sentence (null without words).
     """
+    prepare(docs.sparkSession)
     spark = docs.sparkSession
     found = train(docs, labels, held_out_mod, held_out_rest, id_col=id_col, text_col=text_col, **bounds)
     model = spark.sparkContext.broadcast(found or Model(np.zeros(WIDTH), -1e3))
@@ -217,6 +219,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out_m
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is under ``threshold``: the filter of ``score``, in one scan."""
+    prepare(docs.sparkSession)
     found = train(docs, labels, id_col=id_col, text_col=text_col, **bounds)
     model = docs.sparkSession.sparkContext.broadcast(found or Model(np.zeros(WIDTH), -1e3))
 
