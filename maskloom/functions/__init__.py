@@ -1 +1 @@
-
+"""Column functions: spans, checksums, text folding. JVM expressions unless a docstring says otherwise."""

@@ -1 +1 @@
-
+"""Readers of uploads and office files, and the layered store."""

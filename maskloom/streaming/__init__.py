@@ -1 +1 @@
-
+"""Structured Streaming form of the masking plan."""
