@@ -175,16 +175,18 @@ def near_duplicates(
     members = saved(signatures.join(shared.hint("shuffle_hash"), "key"), "members")
     dropped(signatures)
 
-    held = members.select("id").distinct()
-    wanted = bitmap(held, "id", held.count())
+    def sets_in(pairs: DataFrame) -> DataFrame:
+        """(id, grams) of the documents in ``pairs``, picked at the scan by a bitmap, and of a few others."""
+        held = pairs.select("a").union(pairs.select("b")).distinct()
+        wanted = bitmap(held, "a", held.count())
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = flagged(wanted.value, batch.column("id"))
-            for part, h, first in grams(iter([batch.filter(pa.array(keep))])):
-                yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))], ["id", "grams"])
+        def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = flagged(wanted.value, batch.column("id"))
+                for part, h, first in grams(iter([batch.filter(pa.array(keep))])):
+                    yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))], ["id", "grams"])
 
-    sets = saved(unique.map(sets_of, "id long, grams array<long>"), "shingle-sets")
+        return saved(unique.map(sets_of, "id long, grams array<long>"), "shingle-sets")
 
     def fits(a: str, b: str):
         """Bounds on size and on overlap: pairs that fail cannot be similar, or meet elsewhere."""
@@ -222,7 +224,9 @@ def near_duplicates(
         pairs = saved(pairs, "pairs")
         if turn < hub_rounds:
             tried.append(pairs)
+        sets = sets_in(pairs)
         links.append(saved(_similar(pairs, sets, num, den), "links-found"))
+        dropped(sets)
         labels = closed(links)
 
     sized = unique.map(lambda it: _sizes(grams(it)), "id long, key long, n_shingles long")
