@@ -54,7 +54,7 @@ def _finished(rows: pa.RecordBatch, words: W.Words, gone: np.ndarray) -> pa.Reco
     return pa.record_batch(out | ({"rest": rows.column("rest")} if "rest" in rows.schema.names else {}))
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells: int = 1 << 24, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells: int = 1 << 25, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove the words of every ``window``-word passage that also starts in a document of smaller id.
 
     Words are taken unchanged; windows are judged on the input. Copies of a whole text are settled
@@ -84,7 +84,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
     unique = Distinct(rows.where("id is not null"))
 
     size = unique.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = width_for(size // 16, 1 << 12, most_cells)  # about three cells an anchor
+    cells = width_for(size // 32, 1 << 12, most_cells)  # from three to six cells an anchor
 
     def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
         for _, words in _unpack(batch):
@@ -98,7 +98,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
                 add(table[k * cells : (k + 1) * cells], slots(anchor, cells, k))
 
     counts = merged(unique.map(counted(DEPTH * cells, fill), SCHEMA), DEPTH * cells)
-    repeated = rows.sparkSession.sparkContext.broadcast(counts.reshape(DEPTH, cells) >= 2)
+    repeated = rows.sparkSession.sparkContext.broadcast(np.packbits(counts.reshape(DEPTH, cells) >= 2, axis=1, bitorder="little"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +108,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
                 at, anchor = _anchors(h, words.first, window, gram)
                 pick = np.ones(len(at), bool)
                 for k in range(DEPTH):
-                    pick &= repeated.value[k][slots(anchor, cells, k)]
+                    cell = slots(anchor, cells, k)
+                    pick &= (repeated.value[k][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
                 if not pick.any():
                     continue
                 at, w, v = (x[pick] for x in W.windows(h, words.first, window))
