@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.functions.spans import resolved
+from maskloom.functions.spans import resolved, spliced
 from maskloom.operators import audit, mask
 from maskloom.operators.detect import FOUND, found_in, prioritised
 from maskloom.operators.recognizers import GENERAL, Recognizer
+from maskloom.operators.types import family_of
 
 
 def resolved_spans(units: DataFrame, recognizers: Iterable[Recognizer] = GENERAL, external: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -38,10 +39,30 @@ def mask_documents(units: DataFrame, recognizers: Iterable[Recognizer] = GENERAL
     return mask.masked_units(units, tokens, keys, text_col), tokens
 
 
+def masked_rows(units: DataFrame, recognizers: Iterable[Recognizer] = GENERAL, text_col: str = "text") -> DataFrame:
+    """Units with masked_text and n_masked where each unit is a whole document.
+
+    Placeholder numbers need no other row then, so detection, resolution, numbering and splicing all
+    stay inside the row: one scan, no shuffle. Same result as ``mask_documents``.
+    """
+    spans = units.withColumn("__s", resolved(prioritised(found_in(F.col(text_col), tuple(recognizers)))))
+    value = lambda s: F.substr(F.col(text_col), s["start"] + 1, s["end"] - s["start"])
+    named = F.transform("__s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), family_of(s["entity_type"]).alias("family"), mask.value_key(value(s)).alias("key")))
+    spans = spans.withColumn("__k", named)
+
+    def token(s: Column) -> Column:
+        same = F.array_distinct(F.transform(F.filter("__k", lambda t: t["family"] == s["family"]), lambda t: t["key"]))
+        name = F.concat(F.lit("<"), s["family"], F.lit("_"), F.array_position(same, s["key"]), F.lit(">"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), name.alias("token"))
+
+    done = spans.withColumn("__e", F.transform("__k", token))
+    text = F.when(F.size("__e") > 0, spliced(F.col(text_col), F.col("__e"))).otherwise(F.col(text_col))
+    return done.withColumn("masked_text", text).withColumn("n_masked", F.greatest(F.size("__e"), F.lit(0))).drop("__s", "__k", "__e")
+
+
 def process(units: DataFrame, verdicts: DataFrame | None = None, recognizers: Iterable[Recognizer] = GENERAL, text_col: str = "text") -> DataFrame:
     """Units through to a routed state: masked text, digest, audit, status. ``verdicts``: (doc_id, raw) of a model."""
-    masked, _ = mask_documents(units, recognizers, text_col=text_col)
-    masked = masked.select("doc_id", "masked_text", "n_masked")
+    masked = masked_rows(units, recognizers, text_col).select("doc_id", "masked_text", "n_masked")
     found = audit.heuristic_audit(masked)
     if verdicts is not None:
         model = verdicts.select("doc_id", audit.parse_verdict(F.col("raw")).alias("v")).select("doc_id", "v.*")

@@ -283,7 +283,7 @@ def placeholder_numbering(spark, d):
 
 @query(f"WITH {_MASKED} SELECT doc_id, sha256(masked_text) AS masked_sha, n_masked FROM masked")
 def masked_text_splice(spark, d):
-    masked, _ = masking.mask_documents(_docs(spark, d), R.PLAIN)
+    masked = masking.masked_rows(_docs(spark, d), R.PLAIN)
     return masked.select("doc_id", audit.digest(F.col("masked_text")).alias("masked_sha"), "n_masked")
 
 
@@ -564,7 +564,7 @@ def macro_micro_recall(spark, d):
 @query(f"""WITH {_MASKED}, c AS (SELECT doc_id, "start", trim(regexp_replace(value, '\\s+', ' ', 'g')) AS v, value, masked_text FROM sp JOIN masked USING (doc_id))
 SELECT doc_id, "start", doc_id % 10 = 0 OR contains(masked_text, value) OR len(list_filter(string_split(v, ' '), lambda w: length(w) >= 3 AND contains(masked_text, w))) > 0 AS escape FROM c""")
 def strict_escapes(spark, d):
-    masked, _ = masking.mask_documents(_docs(spark, d), R.PLAIN)
+    masked = masking.masked_rows(_docs(spark, d), R.PLAIN)
     cases = _found(spark, d).select("doc_id", "start", F.col("value").alias("surface")).join(masked.select("doc_id", "masked_text"), "doc_id")
     return metrics.escapes(cases.withColumn("processed", F.col("doc_id") % 10 != 0)).select("doc_id", "start", "escape")
 
@@ -661,7 +661,7 @@ def topn_per_group(spark, d):
   SELECT count(*) FILTER (WHERE contains(text, e)) AS before, count(*) FILTER (WHERE contains(text, e) AND contains(masked_text, e)) AS after FROM q)
 SELECT before, after, round(after / before, 4) AS retention FROM c""")
 def utility_retention(spark, d):
-    masked, _ = masking.mask_documents(_docs(spark, d), R.PLAIN)
+    masked = masking.masked_rows(_docs(spark, d), R.PLAIN)
     evidence = F.substr(F.col("text"), (F.lit(1) + F.col("doc_id") % 50).cast("int"), F.lit(60))
     return metrics.utility(masked.select(evidence.alias("evidence"), F.col("text").alias("original"), F.col("masked_text").alias("masked")))
 
@@ -732,8 +732,7 @@ def prediction_counts(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """One row a document: masked text and number of masked values."""
-    masked, _ = masking.mask_documents(_docs(spark, d), R.GENERAL)
-    return masked.select("doc_id", "masked_text", "n_masked")
+    return masking.masked_rows(_docs(spark, d), R.GENERAL).select("doc_id", "masked_text", "n_masked")
 
 
 __all__ = ["QUERIES", "SQL", "flagship"]
