@@ -114,7 +114,7 @@ class _Search:
             own = first[r][seed_ids != qids[r]]
             if len(own) >= k:
                 self.floor[r] = np.partition(own, len(own) - k)[len(own) - k]
-        self.top = [(np.zeros(0), np.zeros(0, np.int64)) for _ in qids]
+        self.top = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in qids]
 
     def feed(self, ids, c, longest):
         slack = 1e-9 * self.norm * longest + 1e-6
@@ -132,7 +132,7 @@ class _Search:
                 continue
             score = exact[row, at] if exact is not None else _products(self.q[r : r + 1], c[at])[0]
             had = self.top[r]
-            s, i = _best(np.concatenate([had[0], score]), np.concatenate([had[1], ids[at]]), self.k)
+            s, i = _best(np.concatenate([had[0], score.astype(np.int64)]), np.concatenate([had[1], ids[at]]), self.k)
             self.top[r] = s, i
             if len(s) == self.k:
                 self.floor[r] = max(self.floor[r], s[-1])
@@ -142,7 +142,7 @@ class _Search:
         return pa.record_batch({
             "query_id": pa.array(np.repeat(self.ids, n), pa.int64()),
             "vec_id": pa.array(np.concatenate([i for _, i in self.top]) if n else np.zeros(0, np.int64), pa.int64()),
-            "score": pa.array((np.concatenate([s for s, _ in self.top]) if n else np.zeros(0)).astype(np.int64), pa.int64()),
+            "score": pa.array(np.concatenate([s for s, _ in self.top]) if n else np.zeros(0, np.int64), pa.int64()),
         })
 
 
@@ -159,7 +159,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, head: int = 16, se
     block spreads over all tasks; neither side is broadcast or collected, but for the seeds.
 
     Null ids or null vectors take no part; shorter vectors count as filled up with zeros. Ties go to
-    the smaller id. Rows that repeat an id count as rows of their own. No queries or no candidates:
+    the smaller id. Vectors that repeat an id count as rows of their own; a query that is repeated
+    whole counts once, the answers of several vectors under one query id are ranked together. No queries or no candidates:
     no rows. Other columns are ignored. Products must fit 63 bits.
 
     Returns query_id long, rank int (from 1), vec_id long, score long.
@@ -169,7 +170,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, head: int = 16, se
     deal = shuffle_partitions(spark)
     norm2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     vecs = vectors.select("id", "vec").where("id is not null and vec is not null").withColumn("norm2", norm2)
-    asked = queries.select("id", "vec").where("id is not null and vec is not null")
+    asked = queries.select("id", "vec").where("id is not null and vec is not null").distinct()
 
     sums = vecs.select("vec").mapInArrow(_gram, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect()
     d = 1 + max((r["i"] for r in sums), default=-1)
