@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _digit(digits: Column, k: int) -> Column:
-    return F.substring(digits, k + 1, 1).cast("int")
+    return F.substring(digits, k + 1, 1).try_cast("int")
 
 
 def tckn_valid(value: Column) -> Column:
@@ -55,6 +55,6 @@ def card_valid(value: Column) -> Column:
 def luhn_complete(digits: Column) -> Column:
     """``digits`` with a Luhn check digit after them."""
     chars = F.filter(F.split(F.reverse(digits), ""), lambda c: c != "")
-    part = F.transform(chars, lambda c, i: F.when(i % 2 == 0, F.when(c.cast("int") * 2 > 9, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
+    part = F.transform(chars, lambda c, i: F.when(i % 2 == 0, F.when(c.try_cast("int") * 2 > 9, c.try_cast("int") * 2 - 9).otherwise(c.try_cast("int") * 2)).otherwise(c.try_cast("int")))
     total = F.aggregate(part, F.lit(0), lambda a, x: a + x)
     return F.concat(digits, ((10 - total % 10) % 10).cast("string"))

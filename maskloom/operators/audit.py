@@ -16,7 +16,7 @@ from maskloom.functions.spans import regex_spans
 HARD_PATTERNS = (
     ("EMAIL", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+"),
     ("IBAN", r"(?i)\bTR[0-9]{2}(?: ?[0-9]){22}\b"),
-    ("CARD", r"(?:[0-9][ -]?){13,19}"),
+    ("CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b"),
     ("TR_PHONE", r"(?:\+?90 ?|0)5[0-9]{2}[\s.-]?[0-9]{3}[\s.-]?[0-9]{2}[\s.-]?[0-9]{2}"),
     ("SECRET", r"(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{8,}"),
     ("SECRET", r"AKIA[0-9A-Z]{12,}"),
@@ -34,7 +34,7 @@ LOG_PATTERNS = (
     ("VKN", r"\b[0-9]{10}\b"),
     ("PLATE", r"\b[0-9]{2} ?[A-Z]{1,3} ?[0-9]{2,4}\b"),
     ("PASSPORT", r"\b[A-Z][0-9]{8}\b"),
-    ("CARD", r"(?:[0-9][ -]?){13,19}"),
+    ("CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b"),
     ("PHONE", r"\+?[0-9][0-9 ()-]{7,}[0-9]"),
 )
 RISK = ("low", "medium", "high")
