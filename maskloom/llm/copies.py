@@ -55,8 +55,8 @@ class Distinct:
         return alone.unionByName(self.firsts.mapInArrow(fn, schema))
 
     def later(self) -> DataFrame:
-        """(id, text, rest, first_id) of every row whose text a smaller id has too."""
+        """(id, text, rest, key, first_id) of every row whose text a smaller id has too."""
         bits = self.bits
         some = self.docs.mapInArrow(lambda it: filtered(it, bits.value, "key", True), self.docs.schema)
         some = some.withColumn("digest", F.md5("text"))
-        return some.join(self.groups.select("digest", "first_id"), "digest").where("id > first_id").select("id", "text", *self.carried, "first_id")
+        return some.join(self.groups.select("digest", "first_id"), "digest").where("id > first_id").select(*self.docs.columns, "first_id")

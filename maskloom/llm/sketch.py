@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 SLICES = 32
 FAN_IN = 32
+LISTED_SLICES = 256
 SCHEMA = "part long, slice int, body binary"
 
 
@@ -93,10 +94,88 @@ def merged(parts: DataFrame, cells: int, kind: type = np.uint8) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _sparse(at: np.ndarray, n: np.ndarray, width: int, part: int) -> Iterator[pa.RecordBatch]:
+    """Sorted cells and their counts, in slices of ``width`` cells: gaps and counts, compressed."""
+    bounds = np.flatnonzero(np.diff(at // width, prepend=-1)) if len(at) else np.zeros(0, np.int64)
+    ends = np.append(bounds[1:], len(at))
+    rows = []
+    for a, b in zip(bounds.tolist(), ends.tolist(), strict=False):
+        k = int(at[a]) // width
+        gaps = np.diff(at[a:b] - k * width, prepend=0).astype(np.uint32)
+        body = pa.compress(gaps.tobytes() + np.minimum(n[a:b], 255).astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
+        rows.append((k, (b - a).to_bytes(4, "little") + body))
+    if rows:
+        yield pa.record_batch({"part": pa.array([part] * len(rows), pa.int64()), "slice": pa.array([k for k, _ in rows], pa.int32()), "body": pa.array([x for _, x in rows], pa.binary())})
+
+
+def listed(cells: int, each: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Callable:
+    """For mapInArrow: a sketch of ``cells`` counters that only holds the cells that the task's rows touch."""
+    width = max(1, cells // LISTED_SLICES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new: list[np.ndarray] = []
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            every = np.concatenate([at, *new])
+            weight = np.concatenate([n, np.ones(len(every) - len(at), np.int64)])
+            cell, which = np.unique(every, return_inverse=True)
+            return cell, np.bincount(which, weight, minlength=len(cell)).astype(np.int64)
+
+        for batch in batches:
+            new += each(batch)
+            if sum(map(len, new)) > 1 << 20:
+                at, n = fold()
+                new = []
+        at, n = fold()
+        yield from _sparse(at, n, width, TaskContext.get().partitionId())
+
+    return run
+
+
+def repeated_bits(parts: DataFrame, cells: int) -> np.ndarray:
+    """Packed bits (little-endian) of the cells whose counts, over all tasks, reach two.
+
+    Merged FAN_IN slices at a time like ``merged``; the driver gets one bit for each cell.
+    """
+    width = max(1, cells // LISTED_SLICES)
+
+    def add_up(last: bool) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            k, total = table["slice"][0].as_py(), np.zeros(width, np.uint8)
+            for body in table["body"]:
+                raw = body.as_buffer()
+                size = int.from_bytes(raw[:4].to_pybytes(), "little")
+                flat = np.frombuffer(pa.decompress(raw[4:], decompressed_size=5 * size, codec="zstd"), np.uint8)
+                at = np.cumsum(flat[: 4 * size].copy().view(np.uint32).astype(np.int64))
+                total[at] = np.minimum(total[at].astype(np.int64) + flat[4 * size :], 255)
+            part = table["part"][0].as_py() // FAN_IN
+            if last:
+                packed = pa.compress(np.packbits(total >= 2, bitorder="little").tobytes(), codec="zstd", asbytes=True)
+                return pa.table({"part": pa.array([part], pa.int64()), "slice": pa.array([k], pa.int32()), "body": pa.array([packed], pa.binary())})
+            at = np.flatnonzero(total)
+            (batch,) = _sparse(at + k * width, total[at], width, part)
+            return pa.Table.from_batches([batch])
+
+        return run
+
+    left = parts.rdd.getNumPartitions()
+    while True:
+        left = -(-left // FAN_IN)
+        parts = parts.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(add_up(left <= 1), SCHEMA)
+        if left <= 1:
+            break
+    out = np.zeros(-(-cells // 8), np.uint8)
+    for r in parts.collect():
+        bits = np.frombuffer(pa.decompress(r["body"], decompressed_size=-(-width // 8), codec="zstd"), np.uint8)
+        out[r["slice"] * width // 8 : r["slice"] * width // 8 + len(bits)] = bits
+    return out
+
+
 def bitmap(keys: DataFrame, column: str, expected: int, most: int = 1 << 24) -> Broadcast:
     """A fixed-size bitmap that has the bit of every value of a long column: false only for values not in it."""
     spark: SparkSession = keys.sparkSession
-    width = width_for(8 * expected, 1 << 12, most)
+    width = width_for(64 * expected, 1 << 12, most)
 
     def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
         table[slots(batch.column(0).to_numpy().astype(np.int64).view(np.uint64), width)] = 1

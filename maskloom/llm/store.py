@@ -53,11 +53,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by ``saved`` that nothing reads any more."""
+    """Delete tables made by ``saved`` that nothing reads any more, and let go of shuffles behind them.
+
+    Spark removes the shuffle files of a finished query when the driver happens to collect its
+    garbage; between the steps of an operator it is asked to.
+    """
     for df in tables:
         spark = df.sparkSession
         jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._maskloom_path)
         jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

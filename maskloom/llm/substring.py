@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from maskloom.llm import words as W
 from maskloom.llm.copies import Distinct
-from maskloom.llm.sketch import SCHEMA, add, bitmap, counted, flagged, merged, slots, width_for
+from maskloom.llm.sketch import SCHEMA, bitmap, flagged, listed, repeated_bits, slots, width_for
 from maskloom.llm.store import saved
 
 DEPTH = 2
@@ -54,7 +54,7 @@ def _finished(rows: pa.RecordBatch, words: W.Words, gone: np.ndarray) -> pa.Reco
     return pa.record_batch(out | ({"rest": rows.column("rest")} if "rest" in rows.schema.names else {}))
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells: int = 1 << 25, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells: int = 1 << 27, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove the words of every ``window``-word passage that also starts in a document of smaller id.
 
     Words are taken unchanged; windows are judged on the input. Copies of a whole text are settled
@@ -67,7 +67,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
        small. Cells follow the number of anchors expected, up to ``most_cells`` a row; a fuller sketch
        lets more windows through and loses none;
     2. a second pass sends only windows whose anchor is estimated in two documents or more, keyed by
-       96 bits of window hash: the smallest id of each key is pre-aggregated in the tasks, then joined
+       80 bits of window hash: the smallest id of each key is pre-aggregated in the tasks, then joined
        with the windows; the adaptive skew join splits passages that a large share of documents have.
        Windows of larger ids come back to their documents as lists of positions. Only documents that
        lose words are shuffled with their text.
@@ -84,9 +84,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
     unique = Distinct(rows.where("id is not null"))
 
     size = unique.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = width_for(size // 32, 1 << 12, most_cells)  # from three to six cells an anchor
+    cells = width_for(size // 8, 1 << 12, most_cells)  # from 15 to 30 cells an anchor
 
-    def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
+    def anchored(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, words in _unpack(batch):
             at, anchor = _anchors(words.hashes(), words.first, window, gram)
             doc = _by_document(at, words.first)
@@ -95,10 +95,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
             bounds = np.searchsorted(doc[new], np.arange(len(words.first)))
             anchor, _ = W.distinct(anchor[new], bounds)
             for k in range(DEPTH):
-                add(table[k * cells : (k + 1) * cells], slots(anchor, cells, k))
+                yield slots(anchor, cells, k) + k * cells
 
-    counts = merged(unique.map(counted(DEPTH * cells, fill), SCHEMA), DEPTH * cells)
-    repeated = rows.sparkSession.sparkContext.broadcast(np.packbits(counts.reshape(DEPTH, cells) >= 2, axis=1, bitorder="little"))
+    repeated = rows.sparkSession.sparkContext.broadcast(repeated_bits(unique.map(listed(DEPTH * cells, anchored), SCHEMA), DEPTH * cells))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,15 +107,15 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
                 at, anchor = _anchors(h, words.first, window, gram)
                 pick = np.ones(len(at), bool)
                 for k in range(DEPTH):
-                    cell = slots(anchor, cells, k)
-                    pick &= (repeated.value[k][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
+                    cell = slots(anchor, cells, k) + k * cells
+                    pick &= (repeated.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
                 if not pick.any():
                     continue
                 at, w, v = (x[pick] for x in W.windows(h, words.first, window))
                 doc = _by_document(at, words.first)
                 yield pa.record_batch({
                     "w": pa.array(w.view(np.int64), pa.int64()),
-                    "v": pa.array((v >> np.uint64(33)).astype(np.int32), pa.int32()),
+                    "v": pa.array((v >> np.uint64(48)).astype(np.int32), pa.int32()),
                     "id": pa.array(ids[doc], pa.int64()),
                     "key": pa.array(keys[doc], pa.int64()),
                     "at": pa.array((at - words.first[doc]).astype(np.int32), pa.int32()),
