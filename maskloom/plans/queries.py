@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import checks
 from maskloom.functions.spans import regex_spans
-from maskloom.operators import audit, detect, lists, mask, metrics, propagate, retrieval, tables, units
+from maskloom.operators import audit, detect, lists, mask, metrics, propagate, report, retrieval, tables, units
 from maskloom.operators import recognizers as R
 from maskloom.plans import masking
 from maskloom.session import ship
-from maskloom.sources import uploads
+from maskloom.sources import synthetic, uploads
 from maskloom.streaming import pipeline as streaming
 
 QUERIES: dict = {}
@@ -729,6 +729,70 @@ def prediction_counts(spark, d):
     """Sizes of the prediction sets that the overlap metrics read."""
     return _pred(_found(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
+# --- reports, generators ---
+
+
+@query(f"""WITH {_MASKED}, x AS (SELECT doc_id, unnest(regexp_extract_all(masked_text, '<[A-Z_]+_[0-9]+>')) AS token FROM masked)
+SELECT doc_id, regexp_extract(token, '<([A-Z_]+)_[0-9]+>', 1) AS family, count(*) AS n, count(DISTINCT token) AS n_distinct FROM x GROUP BY 1, 2""")
+def placeholder_use(spark, d):
+    return report.placeholder_use(masking.masked_rows(_docs(spark, d), R.PLAIN))
+
+
+_SWEPT = ("idiot", "scum", "and the", "que", "zzz-none")
+
+
+@query("SELECT substr(sha256(v), 1, 16) AS vhash, count(*) AS n_files FROM documents, (SELECT unnest(['idiot', 'scum', 'and the', 'que', 'zzz-none']) AS v) WHERE contains(text, v) GROUP BY 1")
+def full_tree_sweep(spark, d):
+    return report.sweep(_docs(spark, d), _SWEPT)
+
+
+@query(r"""SELECT doc_id, '<p>' || replace(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '&lt;([A-Z_]+_[0-9]+)&gt;', '<mark>\1</mark>', 'g'), chr(10), '</p><p>') || '</p>' AS html FROM documents""")
+def export_html(spark, d):
+    return _docs(spark, d).select("doc_id", report.export_html(F.col("text")).alias("html"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def export_text(spark, d):
+    return report.export_text(_t(spark, d, "conversations"), "conv_id", "turn", "text")
+
+
+@query("""SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
+def approved_sources(spark, d):
+    state = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("x").alias("status"))
+    return report.chat_sources(_docs(spark, d), state)
+
+
+@query(f"""WITH {_EDITS}, t AS (SELECT doc_id, unnest([10, 100, 800]) AS f FROM documents)
+SELECT doc_id, "start", token FROM ed WHERE EXISTS (SELECT 1 FROM t WHERE t.doc_id = ed.doc_id AND ed.ms < t.f + 150 AND t.f < ed.ms + length(token))""")
+def selected_edits(spark, d):
+    targets = _docs(spark, d).select("doc_id", F.explode(F.array(F.lit(10), F.lit(100), F.lit(800))).alias("from")).withColumn("to", F.col("from") + 150)
+    return report.target_spans(mask.edits(_tokens(spark, d)), targets).select("doc_id", "start", "token")
+
+
+@query(f"""WITH {_TOKENS}, f AS (SELECT doc_id, CASE WHEN "start" % 3 = 0 THEN 'open' WHEN "start" % 3 = 1 THEN 'kept' ELSE 'masked' END AS status FROM sp), a AS (
+  SELECT doc_id, count(*) FILTER (WHERE status = 'open') AS n_open, count(*) FILTER (WHERE status = 'kept') AS n_kept, count(*) FILTER (WHERE status = 'masked') AS n_masked FROM f GROUP BY 1), t AS (
+  SELECT doc_id, count(*) AS n_values, count(DISTINCT token) AS n_tokens FROM tokens GROUP BY 1)
+SELECT d.doc_id, coalesce(n_open, 0) AS n_open, coalesce(n_kept, 0) AS n_kept, coalesce(n_masked, 0) AS n_masked, coalesce(n_values, 0) AS n_values, coalesce(n_tokens, 0) AS n_tokens,
+  d.doc_id % 2 = 0 AND coalesce(n_open, 0) = 0 AND d.doc_id % 5 <> 0 AS may_approve, d.doc_id % 2 = 0 AS may_reject, d.doc_id % 2 = 0 AND d.doc_id % 3 = 1 AS may_decide
+FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def review_payload(spark, d):
+    tokens = _tokens(spark, d)
+    k = F.col("start") % 3
+    findings = tokens.select("doc_id", F.when(k == 0, "open").when(k == 1, "kept").otherwise("masked").alias("status"))
+    i = F.col("doc_id")
+    state = _docs(spark, d).select("doc_id", F.when(i % 2 == 0, "needs_human_review").otherwise("approved").alias("status"), (i % 5 != 0).alias("llm_ok"), F.lit(1).alias("revision"), (i % 3).cast("int").alias("audited_revision"))
+    return report.review_payload(state, findings, tokens).drop("status", "llm_ok", "revision", "audited_revision")
+
+
+@query()
+def generated_gold(spark, d):
+    """Detection over generated documents, held against where their values stand: one row a value kind."""
+    docs, mentions = synthetic.gold_documents(spark, 240)
+    found = detect.detect(docs, R.ALL)
+    masked = masking.masked_rows(docs, R.ALL).select("doc_id", "masked_text")
+    out = metrics.mention_results(mentions, found, masked)
+    return out.groupBy("entity_type").agg(F.count("*").alias("n"), F.count_if("fully_detected").alias("n_full"), F.count_if("masked").alias("n_masked"))
+
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """One row a document: masked text and number of masked values."""

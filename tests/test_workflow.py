@@ -308,3 +308,37 @@ def test_nothing_outside_imports_llm():
             for n in names:
                 if n.endswith(".py"):
                     assert "maskloom.llm" not in open(os.path.join(folder, n)).read()
+
+
+# --- reports and generators ---
+
+
+def test_reports(spark):
+    from maskloom.operators import report
+
+    df = table(spark, [("residual_risk", 3, None, 0, 0), ("ocr:x", None, "S", 0, 27), ("blocked:y", None, None, 0, 0)], "c string, page int, sheet string, row int, col int")
+    rows = df.select(report.reason_label(F.col("c")).alias("r"), report.location_label(F.col("page"), F.col("sheet"), F.col("row"), F.col("col")).alias("l")).collect()
+    assert [tuple(r) for r in rows] == [("Personal data may be left", "page 3"), ("ocr:x", "S, AB1"), ("The document could not be read whole", "")]
+    html = table(spark, [("a <EMAIL_1> & <b>\nc",)], "t string").select(report.export_html(F.col("t")).alias("h")).first()["h"]
+    assert html == "<p>a <mark>EMAIL_1</mark> &amp; &lt;b&gt;</p><p>c</p>"
+    prompt = report.system_prompt(table(spark, [("S10", "ten"), ("S2", "two")], "id string, text string")).first()["prompt"]
+    assert prompt.endswith("[S2] two\n\n[S10] ten")
+    assert report.raw_field_guard(["a", "value"], ["a"]) == (["value"], ["value"])
+    edits = table(spark, [("d", 5, 9)], "doc_id string, masked_start int, masked_end int")
+    picks = lambda a, b: report.target_spans(edits, table(spark, [("d", a, b)], "doc_id string, `from` int, `to` int")).count()
+    assert [picks(8, 12), picks(9, 12), picks(3, 3), picks(-1, 20), picks(0, 900)] == [1, 0, 0, 0, 0]
+    calls = table(spark, [(1.5, 10, True), (2.0, 20, True)], "seconds double, tokens long, ok boolean")
+    assert report.model_evidence(calls).first()["plausible"] and not report.model_evidence(calls.limit(0)).first()["plausible"]
+    left = report.not_done(table(spark, [(1,), (2,)], "k int"), table(spark, [(2,), (2,)], "k int"), "k")
+    assert [r["k"] for r in left.collect()] == [1]
+
+
+def test_generated_documents(spark):
+    from maskloom.sources import synthetic
+
+    docs, mentions = synthetic.gold_documents(spark, 12)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(texts[m["doc_id"]][m["start"] : m["end"]] == m["surface"] for m in mentions.collect())
+    assert {r["canary_id"] for r in synthetic.canaries(spark).collect()} == set(synthetic.CANARIES)
+    again, _ = synthetic.gold_documents(spark, 12)
+    assert {r["doc_id"]: r["text"] for r in again.collect()} == texts
