@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.store import prepare, saved, shuffle_partitions
+from maskloom.llm.store import prepare, shuffle_partitions
 
 EXACT = float(1 << 52)
 
@@ -73,6 +73,22 @@ def _packed(rows: int, d: int):
     return pack
 
 
+def _one_block(d: int):
+    """All queries of a block as one row."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        m = _wide(_matrix(table["vec"]), d)
+        kind = np.int32 if np.abs(m).max(initial=0) < 2**31 else np.float64
+        return pa.table({
+            "qb": table["qb"].slice(0, 1),
+            "qids": pa.array([table["id"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
+            "qmat": pa.array([m.astype(kind).tobytes()], pa.binary()),
+            "qn": pa.array([table.num_rows], pa.int32()),
+        })
+
+    return pack
+
+
 PACKED = "ids binary, mat binary, n int, norm double"
 
 
@@ -155,13 +171,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, head: int = 16, se
     each query a first floor. A block is skipped when query length x block length is under the
     floor; a vector is skipped when the rotated partial sum of ``head`` dimensions plus the
     Cauchy-Schwarz bound on the rest is. What remains is multiplied exactly. Every task sends at
-    most k rows a query on. Query blocks are copied to a fixed number of salts, so a single query
-    block spreads over all tasks; neither side is broadcast or collected, but for the seeds.
+    most k rows a query on. Candidate blocks are dealt to a fixed number of salts and never copied;
+    query blocks are copied to every salt and streamed past its candidates, one block's state at a
+    time. Neither side is broadcast or collected, but for the seeds.
 
     Null ids or null vectors take no part; shorter vectors count as filled up with zeros. Ties go to
     the smaller id. Vectors that repeat an id count as rows of their own; a query that is repeated
-    whole counts once, the answers of several vectors under one query id are ranked together. No queries or no candidates:
-    no rows. Other columns are ignored. Products must fit 63 bits.
+    whole counts once, the answers of several vectors under one query id are ranked together. No
+    queries or no candidates: no rows. Other columns are ignored. Products must fit 63 bits.
 
     Returns query_id long, rank int (from 1), vec_id long, score long.
     """
@@ -174,10 +191,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, head: int = 16, se
 
     sums = vecs.select("vec").mapInArrow(_gram, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect()
     d = 1 + max((r["i"] for r in sums), default=-1)
-    if d < 1:
-        empty = "query_id long, rank int, vec_id long, score long"
-        if not sums and vecs.isEmpty():
-            return spark.createDataFrame([], empty)
+    if d < 1 and vecs.isEmpty():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     gram = np.zeros((d, d))
     for r in sums:
         gram[r["i"], r["j"]] = r["g"]
@@ -189,28 +204,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, head: int = 16, se
     seed_mat = _wide(_matrix(seeds.column("vec")), d)
 
     blocks = vecs.repartitionByRange(deal, *longest_first).sortWithinPartitions(*longest_first).select("id", "vec").mapInArrow(_packed(block_rows, d), PACKED)
-    query_blocks = asked.mapInArrow(_packed(query_rows, max(d, 0)), PACKED)
-    query_blocks = saved(query_blocks.withColumn("qb", F.monotonically_increasing_id()), "topk-queries")
-    block_ids = [r["qb"] for r in query_blocks.select("qb").collect()]  # one number for each query block
-    if not block_ids:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    many = query_blocks.select("qb", F.col("ids").alias("qids"), F.col("mat").alias("qmat"), F.col("n").alias("qn"), F.explode(F.sequence(F.lit(0), F.lit(deal - 1))).alias("salt"))
-    dealt = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(deal)).cast("int")).withColumn("qb", F.explode(F.array(*[F.lit(b) for b in block_ids])))
+    n_blocks = max(1, -(-asked.count() // query_rows))
+    in_block = asked.withColumn("qb", F.pmod(F.xxhash64("id", "vec"), F.lit(n_blocks)))
+    query_blocks = in_block.groupBy("qb").applyInArrow(_one_block(d), "qb long, qids binary, qmat binary, qn int")
+    # every salt has a share of the candidate blocks, longest first, and a copy of all query blocks; the
+    # merge join streams the queries past the candidates of their salt, which it can spill
+    share = F.pmod(F.xxhash64("ids"), F.lit(deal)).cast("int")
+    dealt = blocks.withColumn("salt", share).repartition(deal, "salt").sortWithinPartitions("salt", F.col("norm").desc())
+    asking = query_blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
 
     def search(batches):
         now, state = None, None
         for batch in batches:
             for r in batch.to_pylist():
-                if r["qb"] != now:
+                if (r["qb"], r["salt"]) != now:
                     if state is not None:
                         yield state.rows()
-                    now = r["qb"]
+                    now = r["qb"], r["salt"]
                     state = _Search(*_unpacked(r["qids"], r["qmat"], r["qn"], d), rotation, seed_ids, seed_mat, k, min(head, d))
                 state.feed(*_unpacked(r["ids"], r["mat"], r["n"], d), r["norm"])
         if state is not None:
             yield state.rows()
 
-    pairs = dealt.join(many.hint("shuffle_hash"), ["qb", "salt"]).sortWithinPartitions("qb", F.col("norm").desc())
-    found = pairs.select("qb", "qids", "qmat", "qn", "ids", "mat", "n", "norm").mapInArrow(search, "query_id long, vec_id long, score long")
+    pairs = asking.hint("merge").join(dealt, "salt")
+    found = pairs.select("qb", "salt", "qids", "qmat", "qn", "ids", "mat", "n", "norm").mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
