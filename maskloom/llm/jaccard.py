@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from maskloom.llm import words as W
 from maskloom.llm.components import components
-from maskloom.llm.copies import Distinct
-from maskloom.llm.sketch import SCHEMA, add, bitmap, counted, flagged, merged, slots, width_for
+from maskloom.llm.copies import Distinct, filtered
+from maskloom.llm.sketch import SCHEMA, add, bitmap, counted, merged, slots, width_for
 from maskloom.llm.store import dropped, saved
 
 SIGNATURES = "key long, id long, n int, room int"
@@ -92,14 +92,25 @@ class Prefixes:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, counted exactly."""
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("a_grams"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("b_grams"))
+#: Bits of a set's parity image.
+PARITY = 2048
+
+
+def _parities(h: np.ndarray, first: np.ndarray) -> pa.Array:
+    """For each set the parity of its hashes in PARITY cells, as 64-bit integers."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    odd = np.bincount(doc * PARITY + slots(h, PARITY, 5), minlength=(len(first) - 1) * PARITY) & 1
+    return pa.array(list(np.packbits(odd.astype(np.uint8).reshape(-1, PARITY), axis=1).view(np.int64)), pa.list_(pa.int64()))
+
+
+def _may_be_similar(pairs: DataFrame, images: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose parity images leave them a chance: cells that differ are shingles not shared, at least."""
+    left = images.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("image").alias("image_a"))
+    right = images.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("image").alias("image_b"))
     both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("a_grams", "b_grams")).cast("long")
-    enough = shared * (num + den) >= (F.size("a_grams") + F.size("b_grams")) * F.lit(num)
-    return both.where(enough).select("a", "b").distinct()
+    apart = F.aggregate(F.zip_with("image_a", "image_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col("n_a") + F.col("n_b")
+    return both.where((total - apart) * (num + den) >= total * (2 * num)).select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -127,8 +138,9 @@ def near_duplicates(
        are compared. Members of a component are not compared again, so a group of n near copies costs
        about n comparisons, and yet no link between components is lost.
 
-    Pairs are first held against bounds on size and on overlap left (``room``), then counted exactly
-    on 64-bit shingle hashes. Large groups are spread by the adaptive skew join; no group is collected.
+    Pairs are first held against bounds on size, on overlap left (``room``) and on the parity images of
+    their sets, none of which can reject a similar pair; then their texts meet and shingles are counted
+    exactly, by 64-bit hash. Large groups are spread by the adaptive skew join; no group is collected.
 
     Null and empty texts and texts without words have an empty set and link with nothing. Rows that
     repeat an id are one document whose texts link. Rows with a null id have a null component. Other
@@ -170,23 +182,50 @@ def near_duplicates(
                 "room": pa.array(room.astype(np.int32), pa.int32()),
             })
 
-    signatures = saved(unique.map(signed, SIGNATURES), "signatures")
-    shared = signatures.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
+    signatures = unique.map(signed, SIGNATURES)  # made twice; writing them would cost more than that
+    shared = signatures.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     members = saved(signatures.join(shared.hint("shuffle_hash"), "key"), "members")
-    dropped(signatures)
 
-    def sets_in(pairs: DataFrame) -> DataFrame:
-        """(id, grams) of the documents in ``pairs``, picked at the scan by a bitmap, and of a few others."""
+    def picked(pairs: DataFrame, fn: Callable, schema: str) -> DataFrame:
+        """``fn`` over the documents in ``pairs``, picked at the scan by a bitmap, and over a few others."""
         held = pairs.select("a").union(pairs.select("b")).distinct()
         wanted = bitmap(held, "a", held.count())
+        return saved(unique.map(lambda batches: fn(filtered(batches, wanted.value, "id", True)), schema), "picked")
 
-        def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = flagged(wanted.value, batch.column("id"))
-                for part, h, first in grams(iter([batch.filter(pa.array(keep))])):
-                    yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))], ["id", "grams"])
+    def imaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, h, first in grams(batches):
+            yield pa.record_batch([part.column("id"), pa.array(np.diff(first).astype(np.int64)), _parities(h, first)], ["id", "n", "image"])
 
-        return saved(unique.map(sets_of, "id long, grams array<long>"), "shingle-sets")
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["id", "text"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sides = [split_grams(part.column(c)) for c in ("text_a", "text_b")]
+                for x, y in zip(*sides, strict=True):
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(shared * (num + den) >= (len(x) + len(y)) * num)
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    def split_grams(column: pa.Array) -> list[np.ndarray]:
+        words = W.split(*W.text_bytes(column), lower=True)
+        h, first = W.distinct(*W.shingles(words.hashes(), words.first, shingle))
+        return np.split(h, first[1:-1])
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar enough, counted exactly."""
+        images = picked(pairs, imaged, "id long, n long, image array<long>")
+        likely = saved(_may_be_similar(pairs, images, num, den), "likely")
+        whole = picked(likely, texts, "id long, text string")
+        both = likely.join(whole.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        both = both.join(whole.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        found = saved(both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long").distinct(), "links-found")
+        dropped(images, likely, whole)
+        return found
 
     def fits(a: str, b: str):
         """Bounds on size and on overlap: pairs that fail cannot be similar, or meet elsewhere."""
@@ -199,9 +238,12 @@ def near_duplicates(
             out = out.union(more)
         return components(out)
 
-    def labelled(labels: DataFrame) -> DataFrame:
-        """The members of signatures that more than one component holds."""
-        with_label = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    def labelled(labels: DataFrame, hubs_met: int) -> DataFrame:
+        """The members of signatures that more than one component holds.
+
+        h hubs have met all others, so a signature with no more than h + 1 holders is settled.
+        """
+        with_label = members.where(F.col("held") > hubs_met + 1).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         split = with_label.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         return with_label.join(split.select("key").hint("shuffle_hash"), "key")
 
@@ -210,7 +252,7 @@ def near_duplicates(
         if labels is None:
             open_members = members.withColumn("label", F.col("id"))
         else:
-            open_members = saved(labelled(labels), "open-members")
+            open_members = saved(labelled(labels, turn), "open-members")
         if turn < hub_rounds:
             pick = F.min if turn % 2 == 0 else F.max
             hubs = open_members.groupBy("key").agg(pick(F.struct("label", "id", "n", "room")).alias("hub")).select("key", "hub.*")
@@ -224,14 +266,12 @@ def near_duplicates(
         pairs = saved(pairs, "pairs")
         if turn < hub_rounds:
             tried.append(pairs)
-        sets = sets_in(pairs)
-        links.append(saved(_similar(pairs, sets, num, den), "links-found"))
-        dropped(sets)
+        links.append(similar(pairs))
         labels = closed(links)
 
     sized = unique.map(lambda it: _sizes(grams(it)), "id long, key long, n_shingles long")
     reps = sized.join(labels, "id", "left").select("id", "key", "n_shingles", F.coalesce("label", "id").alias("component_id"))
-    copies = unique.later().select("id", "first_id", F.xxhash64("text").alias("key"))
+    copies = unique.later().select("id", "first_id", "key")
     of = reps.select(F.col("id").alias("first_id"), "key", "n_shingles", "component_id").dropDuplicates(["first_id", "key"])
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     copies = copies.join(of, ["first_id", "key"]).select("id", "n_shingles", own.alias("component_id"))
