@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from maskloom.llm import words as W
 from maskloom.llm.linear import fit_scale, fit_svm, sigmoid
 from maskloom.llm.lm import bucket_of
-from maskloom.llm.store import prepare
+from maskloom.llm.store import prepare, shuffle_partitions
 
 #: Language families by ISO 639-1 code (fixed values). A code not listed is a family of its own.
 FAMILIES = {
@@ -164,8 +164,10 @@ def identify(
     out = bucket_of(F.col("id"), held_out_mod) == held_out_rest
     train = rows.where(~out & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") > 0))
     common = [r["lang"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picks = train.where(F.col("lang").isin(common)).select("id", "lang").withColumn("nth", first).where(F.col("nth") <= rows_per_lang)
+    picks = train.where(F.col("lang").isin(common)).select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(shuffle_partitions(spark))).alias("salt"))
+    for by in (["lang", "salt"], ["lang"]):  # a common language is first thinned in many tasks
+        first = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("id"), "id"))
+        picks = picks.withColumn("nth", first).where(F.col("nth") <= rows_per_lang).drop("nth")
     chosen = {r["id"] for r in picks.select("id").collect()}  # at most rows_per_lang * most_langs ids
     ids = spark.sparkContext.broadcast(np.array(sorted(i for i in chosen if i is not None), np.int64))
 
