@@ -68,6 +68,15 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
+
+
+def _nibble(n: int) -> int:
+    """CRC-32 of four bits."""
+    for _ in range(4):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
 SQL = {
     "op1_decontamination": r"""
 WITH t AS (
@@ -120,6 +129,21 @@ WITH t AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
        sha256(coalesce(array_to_string(list_transform(stay, lambda j: w[j]), ' '), '')) AS kept_sha256
 FROM k
+""",
+    "op7_byte_shards": f"""
+WITH n AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS h, coalesce(text, '') = '' AS bare FROM documents
+), c AS (
+  SELECT doc_id, size, xor(list_reduce(list_concat([4294967295::BIGINT], CASE WHEN bare THEN CAST([] AS BIGINT[]) ELSE
+    list_transform(range(0, len(h)), lambda i: CAST(instr('0123456789ABCDEF', h[(i // 2) * 2 + 2 - i % 2]) - 1 AS BIGINT)) END),
+    lambda c, x: xor(CAST({[_nibble(i) for i in range(16)]} AS BIGINT[])[(xor(c, x) & 15) + 1], c >> 4)), 4294967295::BIGINT) AS crc FROM n
+), o AS (
+  SELECT *, sum(size) OVER w AS upto, row_number() OVER w AS row, sum(size) OVER () AS total FROM c
+  WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, crc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), s AS (
+  SELECT *, CAST(least(15, ((2 * upto - size) * 16) // (2 * total)) AS INTEGER) AS shard FROM o
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, shard, CAST(row - min(row) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """,
     "op9_url_rules": r"""
 WITH p AS (
