@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Cells (strings x positions) worked on at a time.
-CELLS = 1 << 21
+CELLS = 1 << 20
 
 
 class Automaton:
@@ -36,25 +36,25 @@ class Automaton:
         n = len(children)
         edges = np.array([(s, c, t) for s, kids in enumerate(children) for c, t in kids.items()], np.int64).reshape(-1, 3)
         depths = np.array(depth)
-        self.go = np.zeros((n, width), np.int32)
+        self.go = np.zeros((n, width), np.uint16 if n <= 1 << 16 else np.int32)
         self.piece = np.full(n, -1, np.int32)
         self.length = np.zeros(n, np.int32)
         for s, i in ends.items():
             self.piece[s], self.length[s] = ids[i], len(pieces[i])
         self.link = np.full(n, -1, np.int32)
         fail = np.zeros(n, np.int64)
-        own = np.full((n, width), -1, np.int32)
-        own[edges[:, 0], edges[:, 1]] = edges[:, 2]
-        self.go[0] = np.maximum(own[0], 0)
         level = depths[edges[:, 2]]
-        for d in range(1, int(depths.max(initial=0)) + 1):
-            s, c, t = edges[level == d].T
-            if d > 1:
+        for d in range(int(depths.max(initial=0)) + 1):
+            here = np.flatnonzero(depths == d)
+            if d:
+                f = fail[here]
+                self.go[here] = self.go[f]  # rows of lower depth are complete
+                self.link[here] = np.where(self.piece[f] >= 0, f, self.link[f])
+                self.link[here[f == 0]] = -1
+            s, c, t = edges[level == d + 1].T
+            if d:
                 fail[t] = self.go[fail[s], c]
-            f = fail[t]
-            self.go[t] = np.where(own[t] >= 0, own[t], self.go[f])
-            self.link[t] = np.where(self.piece[f] >= 0, f, self.link[f])
-            self.link[t[f == 0]] = -1
+            self.go[s, c] = t
 
     def steps(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For strings in order of falling length: (position, state, byte) of those that reach it."""

@@ -119,9 +119,9 @@ def fit(x: np.ndarray, lang: np.ndarray) -> Model:
     family = np.array([FAMILY.get(v, v) for v in lang], object)
     families = sorted(set(family))
     langs = {f: sorted(set(lang[family == f])) for f in families}
-    scale = 1 / np.maximum(x.std(0), 1e-4)
+    scale = (1 / np.maximum(x.std(0), 1e-4)).astype(np.float32)
     middle = x.mean(0)
-    z = (x - middle) * scale / np.sqrt(WIDTH)
+    z = (x - middle) * (scale / np.float32(np.sqrt(WIDTH)))
     jobs = [(np.ones(len(x), bool), np.where(family == f, 1, -1)) for f in families]
     pairs = [p for f in families for p in combinations(langs[f], 2)]
     jobs += [((lang == a) | (lang == b), np.where(lang == a, 1, -1)) for a, b in pairs]
@@ -185,7 +185,7 @@ def identify(
     held = out.alias("held_out")
     if sample is None or not sample.num_rows:
         return rows.select(F.col("id").alias(id_col), held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float32).reshape(sample.num_rows, WIDTH).astype(np.float64)
+    x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float32).reshape(sample.num_rows, WIDTH)
     model = spark.sparkContext.broadcast(fit(x, np.array(sample["lang"].to_pylist(), object)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

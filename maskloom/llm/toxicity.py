@@ -77,7 +77,9 @@ class Model:
 
 def telling(used: int, cell: np.ndarray, text: np.ndarray, label: np.ndarray, sure: float = 1.645) -> np.ndarray:
     """For each feature the lower confidence bound of its log odds ratio of being in a document of label 1."""
-    pairs = np.unique(cell.astype(np.int64) * len(label) + text)
+    pairs = cell.astype(np.int64) * len(label) + text
+    pairs.sort()
+    pairs = pairs[np.diff(pairs, prepend=-1) > 0]
     feature, doc = pairs // len(label), pairs % len(label)
     yes = np.bincount(feature, label[doc] == 1, minlength=used)
     no = np.bincount(feature, label[doc] == 0, minlength=used)
@@ -93,38 +95,42 @@ def fit(cells: np.ndarray, first_word: np.ndarray, first: np.ndarray, label: np.
     weight, so that words of a single document are not learnt by heart.
     """
     used, cell = np.unique(cells, return_inverse=True)
-    cell = cell.reshape(cells.shape)
-    n_sentences, n_words = len(first_word) - 1, cells.shape[1]
-    sentence = np.repeat(np.arange(n_sentences), np.diff(first_word))
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    cell = cell.reshape(cells.shape).astype(np.int32)
+    n_sentences, alive = len(first_word) - 1, np.diff(first_word) > 0
+    sentence = np.repeat(np.arange(n_sentences, dtype=np.int32), np.diff(first_word))
+    text = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
     tells = telling(len(used), cell.ravel(), np.tile(text[sentence], len(cell)), label)
-    keep = tells > least
+    kept = np.flatnonzero(tells > least)
+    place = np.full(len(used), -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    where = [np.flatnonzero(place[c] >= 0) for c in cell]  # the other features weigh nothing and are left out
+    at = np.concatenate([sentence[k] for k in where])
+    feature = np.concatenate([place[c[k]] for c, k in zip(cell, where, strict=True)])
+    del cell, sentence
     share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
-    w, b = np.where(keep, tells, 0.0), -5.0
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    alive = np.diff(first_word) > 0
+    w, b = tells[kept], -5.0
+    m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
     for t in range(1, rounds + 1):
-        logit = b + (np.bincount(sentence, w[cell].sum(0), minlength=n_sentences) if n_words else np.zeros(n_sentences))
+        logit = b + np.bincount(at, w[feature], minlength=n_sentences)
         p = np.where(alive, sigmoid(logit), 0)
         none = np.bincount(text, np.where(alive, -np.logaddexp(0, logit), 0), minlength=len(label))
         none = np.minimum(none, -1e-9)
         # d loss / d log(1 - P): 1 for label 0; -(1 - P) / P for label 1
         slope = share * np.where(label == 1, np.exp(none) / -np.expm1(none), -1.0)
         push = -slope[text] * p  # to the sentence's logit
-        by_word = push[sentence]
-        grad = sum(np.bincount(c, by_word, minlength=len(used)) for c in cell)
-        grad, grad_b = np.where(keep, grad + decay * w, 0), float(push.sum())
+        grad = np.bincount(feature, push[at], minlength=len(kept)) + decay * w
+        grad_b = float(push.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.99 * vb + 0.01 * grad_b * grad_b
         rate = 0.1 / (1 - 0.9**t)
         w = w - rate * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b = b - rate * mb / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
     weights = np.zeros(WIDTH)
-    weights[used] = w
+    weights[used[kept]] = w
     return Model(weights, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out_mod: int = 3, held_out_rest: int = 1, rows_per_label: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, held_out_mod: int = 3, held_out_rest: int = 1, rows_per_label: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fit on a bounded sample of labelled documents whose bucket is not held out.
 
     Of each label, the ``rows_per_label`` documents of smallest id hash, whole texts. Ids whose
