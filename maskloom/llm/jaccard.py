@@ -92,6 +92,11 @@ class Prefixes:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of one byte: 15 steps a doubling."""
+    return (15 * np.log2(1 + np.arange(1 << 16))).astype(np.uint8)[counts]
+
+
 #: Bits of a set's parity image.
 PARITY = 2048
 
@@ -129,8 +134,8 @@ def near_duplicates(
     if it has fewer words. Two documents link when den * intersection >= num * union. Steps:
 
     1. copies of a whole text are set aside by digest; they take the component of the first;
-    2. a merged count-min sketch of all shingles gives rarity (``Prefixes``); it has one to
-       ``most_cells`` two-byte cells and only steers cost;
+    2. a merged count-min sketch of all shingles gives rarity (``Prefixes``); it has up to
+       ``most_cells`` two-byte cells, of which one byte is sent on, and only steers cost;
     3. signatures are grouped exactly, and only those held twice are kept;
     4. every holder of a signature is compared with one hub, found by a pre-aggregated minimum; the
        links are closed into components. This is repeated with hubs of other components;
@@ -168,8 +173,9 @@ def near_duplicates(
             add(table, slots(h, cells))
 
     counts = merged(unique.map(counted(cells, fill, np.uint16), SCHEMA), cells, np.uint16)
-    prefixes = Prefixes(num, den, max(32, 4 * int(counts.mean())))
-    rarity = spark.sparkContext.broadcast(counts)
+    prefixes = Prefixes(num, den, int(_ranks(np.array([max(32, 4 * int(counts.mean()))]))[0]))
+    rarity = spark.sparkContext.broadcast(_ranks(counts))
+    del counts
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, h, first in grams(batches):
@@ -183,12 +189,15 @@ def near_duplicates(
             })
 
     signatures = unique.map(signed, SIGNATURES)  # made twice; writing them would cost more than that
-    shared = signatures.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    # aggregates are written before they are joined: a join straight on an aggregate's partitions could
+    # not split a hot key
+    shared = saved(signatures.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "shared-signatures")
     members = saved(signatures.join(shared.hint("shuffle_hash"), "key"), "members")
+    dropped(shared)
 
     def picked(pairs: DataFrame, fn: Callable, schema: str) -> DataFrame:
         """``fn`` over the documents in ``pairs``, picked at the scan by a bitmap, and over a few others."""
-        held = pairs.select("a").union(pairs.select("b")).distinct()
+        held = saved(pairs.select("a").union(pairs.select("b")).distinct(), "picked-ids")
         wanted = bitmap(held, "a", held.count())
         return saved(unique.map(lambda batches: fn(filtered(batches, wanted.value, "id", True)), schema), "picked")
 
@@ -245,7 +254,7 @@ def near_duplicates(
         """
         with_label = members.where(F.col("held") > hubs_met + 1).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         split = with_label.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        return with_label.join(split.select("key").hint("shuffle_hash"), "key")
+        return with_label.join(saved(split.select("key"), "open-signatures").hint("shuffle_hash"), "key")
 
     links, tried, labels = [], [], None
     for turn in range(hub_rounds + 1):
@@ -256,7 +265,7 @@ def near_duplicates(
         if turn < hub_rounds:
             pick = F.min if turn % 2 == 0 else F.max
             hubs = open_members.groupBy("key").agg(pick(F.struct("label", "id", "n", "room")).alias("hub")).select("key", "hub.*")
-            met = open_members.alias("x").join(hubs.alias("y").hint("shuffle_hash"), "key")
+            met = open_members.alias("x").join(saved(hubs, "hubs").alias("y").hint("shuffle_hash"), "key")
             met = met.where(F.expr("x.label <> y.label"))
         else:
             met = open_members.alias("x").join(open_members.alias("y"), "key").where(F.expr("x.label < y.label"))

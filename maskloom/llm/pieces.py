@@ -18,7 +18,7 @@ from maskloom.llm.store import prepare
 SPACE = "▁".encode()
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes encoded at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: What an unknown character scores below the lowest piece (a fixed value of the format).
 PENALTY = 10.0
 

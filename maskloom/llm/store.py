@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def prepare(spark: SparkSession, size: str = "4m") -> None:
+def prepare(spark: SparkSession, size: str = "2m") -> None:
     """Ship the package to the Python workers and bound the bytes of an Arrow batch.
 
     The bound is left alone if the session sets its own. Rows are whole documents; at Spark's default
@@ -37,33 +37,35 @@ def prepare(spark: SparkSession, size: str = "4m") -> None:
         spark.conf.set(key, size)
 
 
+def _path(df_or_spark, path: str):
+    sc = df_or_spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here.
 
-    The files go when the application's JVM ends.
+    The files go when the application's JVM ends, or with ``dropped``. Spark removes the shuffle files
+    of a finished query only when the driver happens to collect its garbage, so it is asked to: what
+    the table was made from then leaves the disks before the next step fills them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/maskloom-{name}-{uuid.uuid4().hex}"
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._maskloom_path = path
+    spark.sparkContext._jvm.System.gc()
     return back
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by ``saved`` that nothing reads any more, and let go of shuffles behind them.
-
-    Spark removes the shuffle files of a finished query when the driver happens to collect its
-    garbage; between the steps of an operator it is asked to.
-    """
+    """Delete tables made by ``saved`` that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._maskloom_path)
-        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        p, fs = _path(df.sparkSession, df._maskloom_path)
+        fs.delete(p, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

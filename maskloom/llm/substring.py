@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from maskloom.llm import words as W
 from maskloom.llm.copies import Distinct
 from maskloom.llm.sketch import SCHEMA, bitmap, flagged, listed, repeated_bits, slots, width_for
-from maskloom.llm.store import saved
+from maskloom.llm.store import dropped, saved
 
 DEPTH = 2
 OUT = StructType([StructField("id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
@@ -122,9 +122,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
                 })
 
     seen = unique.map(candidates, "w long, v int, id long, key long, at int")
-    earliest = seen.groupBy("w", "v").agg(F.min("id").alias("first_id"))
+    earliest = seen.groupBy("w", "v").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    # a table of its own: a join straight on the aggregate's partitions could not split a hot window
+    earliest = saved(earliest.where("first_id < last_id").drop("last_id"), "repeated-windows")
     hits = seen.join(earliest.hint("shuffle_hash"), ["w", "v"]).where("id > first_id")
     hits = saved(hits.groupBy("id", "key").agg(F.collect_list("at").alias("at")), "window-hits")
+    dropped(earliest)
     losers = bitmap(hits, "key", hits.count())
 
     def steered(batches: Iterator[pa.RecordBatch], want: bool) -> Iterator[pa.RecordBatch]:

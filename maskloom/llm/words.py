@@ -19,7 +19,7 @@ _SEPARATES[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Text bytes worked on at a time; a longer document is one piece of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
