@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.llm import words as W
@@ -97,25 +97,30 @@ def _ranks(counts: np.ndarray) -> np.ndarray:
     return (15 * np.log2(1 + np.arange(1 << 16))).astype(np.uint8)[counts]
 
 
-#: Bits of a set's parity image.
-PARITY = 2048
+#: Bits of a set's parity image, and of the small one that goes into groups.
+PARITY, SMALL_PARITY = 2048, 512
 
 
-def _parities(h: np.ndarray, first: np.ndarray) -> pa.Array:
-    """For each set the parity of its hashes in PARITY cells, as 64-bit integers."""
+def _parities(h: np.ndarray, first: np.ndarray, bits: int) -> pa.Array:
+    """For each set the parity of its hashes in so many cells, as 64-bit integers."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    odd = np.bincount(doc * PARITY + slots(h, PARITY, 5), minlength=(len(first) - 1) * PARITY) & 1
-    return pa.array(list(np.packbits(odd.astype(np.uint8).reshape(-1, PARITY), axis=1).view(np.int64)), pa.list_(pa.int64()))
+    odd = np.bincount(doc * bits + slots(h, bits, 5), minlength=(len(first) - 1) * bits) & 1
+    return pa.array(list(np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64)), pa.list_(pa.int64()))
+
+
+def _leave_a_chance(n_a: str, n_b: str, image_a: str, image_b: str, num: int, den: int) -> Column:
+    """Cells that differ are shingles not shared, at least; true if enough may still be shared."""
+    apart = F.aggregate(F.zip_with(image_a, image_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col(n_a).cast("long") + F.col(n_b)
+    return (total - apart) * (num + den) >= total * (2 * num)
 
 
 def _may_be_similar(pairs: DataFrame, images: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose parity images leave them a chance: cells that differ are shingles not shared, at least."""
+    """Pairs whose parity images leave them a chance."""
     left = images.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("image").alias("image_a"))
     right = images.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("image").alias("image_b"))
     both = pairs.join(left, "a").join(right, "b")
-    apart = F.aggregate(F.zip_with("image_a", "image_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    total = F.col("n_a") + F.col("n_b")
-    return both.where((total - apart) * (num + den) >= total * (2 * num)).select("a", "b").distinct()
+    return both.where(_leave_a_chance("n_a", "n_b", "image_a", "image_b", num, den)).select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -123,7 +128,7 @@ def near_duplicates(
     shingle: int = 5,
     num: int = 80,
     den: int = 100,
-    hub_rounds: int = 2,
+    hub_rounds: int = 3,
     most_cells: int = 1 << 23,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -140,7 +145,7 @@ def near_duplicates(
     4. every holder of a signature is compared with one hub, found by a pre-aggregated minimum; the
        links are closed into components. This is repeated with hubs of other components;
     5. what is left are pairs in one signature group that lie in different components. All of these
-       are compared. Members of a component are not compared again, so a group of n near copies costs
+       are held against the bounds below, and what passes is compared. Members of a component are not compared again, so a group of n near copies costs
        about n comparisons, and yet no link between components is lost.
 
     Pairs are first held against bounds on size, on overlap left (``room``) and on the parity images of
@@ -201,9 +206,12 @@ def near_duplicates(
         wanted = bitmap(held, "a", held.count())
         return saved(unique.map(lambda batches: fn(filtered(batches, wanted.value, "id", True)), schema), "picked")
 
-    def imaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, h, first in grams(batches):
-            yield pa.record_batch([part.column("id"), pa.array(np.diff(first).astype(np.int64)), _parities(h, first)], ["id", "n", "image"])
+    def images_of(pairs: DataFrame, bits: int) -> DataFrame:
+        def imaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, h, first in grams(batches):
+                yield pa.record_batch([part.column("id"), pa.array(np.diff(first).astype(np.int64)), _parities(h, first, bits)], ["id", "n", "image"])
+
+        return picked(pairs, imaged, "id long, n long, image array<long>")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +235,7 @@ def near_duplicates(
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The pairs whose sets are similar enough, counted exactly."""
-        images = picked(pairs, imaged, "id long, n long, image array<long>")
+        images = images_of(pairs, PARITY)
         likely = saved(_may_be_similar(pairs, images, num, den), "likely")
         whole = picked(likely, texts, "id long, text string")
         both = likely.join(whole.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -247,12 +255,9 @@ def near_duplicates(
             out = out.union(more)
         return components(out)
 
-    def labelled(labels: DataFrame, hubs_met: int) -> DataFrame:
-        """The members of signatures that more than one component holds.
-
-        h hubs have met all others, so a signature with no more than h + 1 holders is settled.
-        """
-        with_label = members.where(F.col("held") > hubs_met + 1).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    def labelled(labels: DataFrame) -> DataFrame:
+        """The members of signatures that more than one component holds; those of two holders are settled by their hub."""
+        with_label = members.where("held > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         split = with_label.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         return with_label.join(saved(split.select("key"), "open-signatures").hint("shuffle_hash"), "key")
 
@@ -261,14 +266,19 @@ def near_duplicates(
         if labels is None:
             open_members = members.withColumn("label", F.col("id"))
         else:
-            open_members = saved(labelled(labels, turn), "open-members")
+            open_members = saved(labelled(labels), "open-members")
         if turn < hub_rounds:
-            pick = F.min if turn % 2 == 0 else F.max
-            hubs = open_members.groupBy("key").agg(pick(F.struct("label", "id", "n", "room")).alias("hub")).select("key", "hub.*")
+            # the smallest id first, then any: signatures that share members mostly agree on who it is
+            rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+            hubs = open_members.groupBy("key").agg(F.min_by(F.struct("label", "id", "n", "room"), F.struct(rank, "n", "room")).alias("hub")).select("key", "hub.*")
             met = open_members.alias("x").join(saved(hubs, "hubs").alias("y").hint("shuffle_hash"), "key")
             met = met.where(F.expr("x.label <> y.label"))
         else:
-            met = open_members.alias("x").join(open_members.alias("y"), "key").where(F.expr("x.label < y.label"))
+            # small images go along, so that of a large group only the pairs with a chance leave the join
+            small = images_of(open_members.select(F.col("id").alias("a"), F.col("id").alias("b")), SMALL_PARITY)
+            seen = saved(open_members.join(small.drop("n"), "id"), "imaged-members")
+            met = seen.alias("x").join(seen.alias("y"), "key").where(F.expr("x.label < y.label"))
+            met = met.where(_leave_a_chance("x.n", "y.n", "x.image", "y.image", num, den))
         pairs = met.where(fits("x", "y")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         for old in tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
