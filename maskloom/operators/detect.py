@@ -27,7 +27,7 @@ def context_near(text: Column, start: Column, end: Column, words: Iterable[str])
 def _hits(text: Column, r: Recognizer) -> Column:
     hits = regex_spans(text, r.pattern)
     if r.trim:
-        inner = lambda h: F.regexp_extract(h["value"], r.trim, 0)
+        inner = lambda h: F.regexp_extract(h["value"], r.trim, 1)
         hits = F.transform(hits, lambda h: F.struct((h["end"] - F.char_length(inner(h))).alias("start"), h["end"].alias("end"), inner(h).alias("value")))
 
     def scored(h: Column) -> Column:

@@ -42,6 +42,40 @@ def test_recognizers(spark, text, kind, value):
     assert (kind, value) in found(spark, text)
 
 
+def missing(spark, cases):
+    """Of (text, entity_type, value) those that are not found."""
+    out = detect.detect(docs(spark, *[text for text, _, _ in cases]), R.ALL).select("doc_id", "entity_type", "value").collect()
+    hits = {tuple(r) for r in out}
+    return [c for i, c in enumerate(cases) if (i, c[1], c[2]) not in hits]
+
+
+def test_every_term_label_and_prefix(spark):
+    cases = [(f"tanı: {t}, x", "TR_HEALTH", t) for t in R.HEALTH_TERMS]
+    cases += [(f"x {t} Ayşe Nur Yılmaz geldi", "TR_PERSON_CTX", "Ayşe Nur Yılmaz") for t in R.PERSON_LABELS]
+    cases += [(f"{t}: Ayşe Yılmaz geldi", "TR_PERSON_CTX", "Ayşe Yılmaz") for t in R.PERSON_LABELS]
+    cases += [(f"x\n {t} : AYŞE NUR\ny", "TR_PERSON_CTX", "AYŞE NUR") for t in R.NAME_LABELS]
+    cases += [(f"DENEME {m} NO: 123 / NO: 45 ÖRNEK / İL", "TR_ADDRESS", f"DENEME {m} NO: 123 / NO: 45 ÖRNEK / İL") for m in R.MARKERS]
+    cases += [(f"Uzun Yol {n} No. 7 Çankaya Ankara", "TR_ADDRESS", f"Uzun Yol {n} No. 7 Çankaya Ankara") for n in R.STREETS[3:-1].split("|")]
+    cases += [(v, "TR_DISABILITY", v) for s in R.SENSES[3:-1].split("|") for v in (f"%40 {s} kaybı", f"% 40 {s} kaybi", f"{s} engel (%40)", f"%40 {s} engel")]
+    cases += [(f"x {p}_{'a1' * 10} y", "SECRET_KEY", f"{p}_{'a1' * 10}") for p in ("ghp", "gho", "ghu", "ghs", "ghr")]
+    cases += [(f"x {a}_{b}_9Qm2 y", "SECRET_KEY", f"{a}_{b}_9Qm2") for a in ("sk", "pk", "rk") for b in ("live", "test")]
+    cases += [
+        ("sk_live_9Qm2f XbT7hVrN4KpLZ olarak", "SECRET_KEY", "sk_live_9Qm2f XbT7hVrN4KpLZ"),
+        ("sk_live_9Qm2f olarak", "SECRET_KEY", "sk_live_9Qm2f"),
+        ("SK_LIVE_9QM2F x", "SECRET_KEY", "SK_LIVE_9QM2F"),
+        ("Bearer  abcdef0123456789", "SECRET_KEY", "Bearer  abcdef0123456789"),
+        ("DIŞ KAPI: ÖRNEK MAH. DENEME SK. DIŞ KAPI NO: 12/3 İÇ KAPI NO: 5", "TR_ADDRESS", "ÖRNEK MAH. DENEME SK. DIŞ KAPI NO: 12/3 İÇ KAPI NO: 5"),
+        ("ABC Metal A.Ş. ile", "TR_COMPANY", "ABC Metal A.Ş."),
+    ]
+    key = "a1-b2_" * 6 + "z"
+    cases += [(f"{w}: {key} x", "SECRET_KEY", key) for w in ("token", "anahtar", "credential", "sifre", "parola", "authorization")]
+    cases += [(f"{w} 1234567 x", "TR_ACCOUNT", "1234567") for w in ("hesap", "müşteri", "musteri", "abone", "sözleşme", "sozlesme", "cari", "account", "iban")]
+    cases += [(f"{w} 10.000-12.000 TL", "TR_SALARY_BAND", "10.000-12.000 TL") for w in ("maaş", "ücret", "gelir", "salary", "bandı", "bordro")]
+    assert missing(spark, cases) == []
+    assert len(R.HEALTH_TERMS) == 30 and len(R.PERSON_LABELS) == 19 and len(R.NAME_LABELS) == 29 and len(R.MARKERS) == 22
+    assert not found(spark, "koahlı, astımlı: tanı yok")
+
+
 def test_context_is_needed_for_weak_patterns(spark):
     assert ("TR_VKN", "1234567890") in found(spark, "vergi no 1234567890")
     assert not any(k == "TR_VKN" for k, _ in found(spark, "toplam 1234567890"))
