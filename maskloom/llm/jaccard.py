@@ -132,6 +132,7 @@ def near_duplicates(
     most_cells: int = 1 << 23,
     id_col: str = "doc_id",
     text_col: str = "text",
+    count_links: bool = False,
 ) -> DataFrame:
     """Components of the documents under "Jaccard of word shingles is num/den or more".
 
@@ -156,13 +157,23 @@ def near_duplicates(
     repeat an id are one document whose texts link. Rows with a null id have a null component. Other
     columns are ignored; an empty table gives an empty result.
 
-    Returns id, n_shingles long, component_id (smallest id that links reach), one row for each input row.
+    With ``count_links`` there are no hub rounds: every pair of different texts that share a signature is
+    held against the bounds and compared, inside components too, so a group of n near copies costs up to
+    n(n-1)/2 comparisons. Copies of a text are compared once and counted each. Ids must not repeat then.
+
+    Returns id, n_shingles long, component_id (smallest id that links reach), one row for each input row;
+    with ``count_links`` also n_links long, the number of other documents that link with it.
     """
     if not 0.5 <= num / den <= 1:
         raise ValueError("the threshold must lie between 0.5 and 1")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    unique = Distinct(rows.where("id is not null"))
+    named = rows.where("id is not null")
+    if count_links:
+        if not named.groupBy("id").count().where("count > 1").isEmpty():
+            raise ValueError("links are counted only where ids do not repeat")
+        hub_rounds = 0
+    unique = Distinct(named)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -290,17 +301,30 @@ def near_duplicates(
 
     sized = unique.map(lambda it: _sizes(grams(it)), "id long, key long, n_shingles long")
     reps = sized.join(labels, "id", "left").select("id", "key", "n_shingles", F.coalesce("label", "id").alias("component_id"))
+    more = ["n_links"] if count_links else []
+    if count_links:
+        reps = _with_links(reps, links[0], unique.groups.select(F.col("first_id").alias("id"), F.col("n").alias("held")))
     copies = unique.later().select("id", "first_id", "key")
-    of = reps.select(F.col("id").alias("first_id"), "key", "n_shingles", "component_id").dropDuplicates(["first_id", "key"])
+    of = reps.select(F.col("id").alias("first_id"), "key", "n_shingles", "component_id", *more).dropDuplicates(["first_id", "key"])
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    copies = copies.join(of, ["first_id", "key"]).select("id", "n_shingles", own.alias("component_id"))
+    copies = copies.join(of, ["first_id", "key"]).select("id", "n_shingles", own.alias("component_id"), *more)
     nameless = rows.where("id is null").select(F.lit(0).cast("long").alias("id"), "text", F.lit(0).cast("long").alias("key"))
     nameless = nameless.mapInArrow(lambda it: _sizes(grams(it)), "id long, key long, n_shingles long")
     null = F.lit(None).cast("long")
-    out = reps.drop("key").unionByName(copies).unionByName(nameless.select(null.alias("id"), "n_shingles", null.alias("component_id")))
+    out = reps.drop("key").unionByName(copies).unionByName(nameless.select(null.alias("id"), "n_shingles", null.alias("component_id"), *[null.alias(c) for c in more]))
     return out.withColumnRenamed("id", id_col)
 
 
+def _with_links(reps: DataFrame, links: DataFrame, held: DataFrame) -> DataFrame:
+    """``reps`` with n_links. ``links`` has each pair (a, b) once; ``held`` the number of rows of texts that have copies."""
+    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
+    far = both.join(held.select(F.col("id").alias("b"), "held"), "b", "left")
+    far = saved(far.groupBy(F.col("a").alias("id")).agg(F.sum(F.coalesce("held", F.lit(1))).alias("far")), "links-counted")
+    out = reps.join(far, "id", "left").join(held, "id", "left")
+    n = F.coalesce("far", F.lit(0)) + F.coalesce("held", F.lit(1)) - 1
+    return out.select(*reps.columns, F.when(F.col("n_shingles") > 0, n).otherwise(0).cast("long").alias("n_links"))
+
+
 def _sizes(parts: Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for part, _, first in parts:
         yield pa.record_batch([part.column("id"), part.column("key"), pa.array(np.diff(first).astype(np.int64))], ["id", "key", "n_shingles"])

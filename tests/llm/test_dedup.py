@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import components, leaks, repeats
+from brute import components, leaks, repeats, shingles
 from conftest import words
 
 from maskloom.llm import copies, decontaminate, jaccard, substring
@@ -64,6 +64,33 @@ def test_join_without_hub_rounds_and_with_many(make_docs):
         check_components(make_docs, texts, hub_rounds=rounds)
 
 
+def linked(rows, k, num, den):
+    """[(doc_id, n_shingles, component_id, n_links)] by brute force."""
+    sets = [shingles(t, k) for _, t in rows]
+    near = lambda a, b: bool(a) and bool(b) and den * len(a & b) >= num * len(a | b)
+    n_links = [sum(near(a, b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
+    return [(*c, n) for c, n in zip(components(rows, k, num, den), n_links, strict=True)]
+
+
+def test_join_counts_every_link(make_docs, corpus):
+    near = near_copies(6, 3, 12, 5)
+    chain = [" ".join(f"c{i}" if i % 12 or i >= 12 * j else f"d{i}" for i in range(100)) for j in range(5)]
+    texts = corpus + near + near[:5] + near[:2] + chain
+    out = jaccard.near_duplicates(make_docs(texts, extra=True), 4, 85, 100, count_links=True)
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    expected = linked(rows_of(texts), 4, 85, 100)
+    assert sorted(map(tuple, out.collect())) == sorted(expected)
+    sizes = {c: sum(r[2] == c for r in expected) for _, _, c, _ in expected}
+    assert any(0 < n < sizes[c] - 1 for _, _, c, n in expected)  # some members of a component do not link
+
+
+def test_links_of_null_and_repeated_ids(make_docs):
+    out = jaccard.near_duplicates(make_docs([(1, "a b c d e"), (2, "A b c d e"), (None, "a b c d e"), (4, "")]), 4, 85, 100, count_links=True).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(1, 2, 1, 1), (2, 2, 1, 1), (None, 2, None, None), (4, 0, 4, 0)], key=str)
+    with pytest.raises(ValueError):
+        jaccard.near_duplicates(make_docs([(5, "a b"), (5, "c d")]), count_links=True)
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(5)
     p = jaccard.Prefixes(85, 100, 10)
