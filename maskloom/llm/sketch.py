@@ -108,9 +108,14 @@ def _sparse(at: np.ndarray, n: np.ndarray, width: int, part: int) -> Iterator[pa
         yield pa.record_batch({"part": pa.array([part] * len(rows), pa.int64()), "slice": pa.array([k for k, _ in rows], pa.int32()), "body": pa.array([x for _, x in rows], pa.binary())})
 
 
+def slice_width(cells: int) -> int:
+    """Cells in a slice of a listed sketch: whole bytes of bits."""
+    return -(-cells // (8 * LISTED_SLICES)) * 8
+
+
 def listed(cells: int, each: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Callable:
     """For mapInArrow: a sketch of ``cells`` counters that only holds the cells that the task's rows touch."""
-    width = max(1, cells // LISTED_SLICES)
+    width = slice_width(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -138,7 +143,7 @@ def repeated_bits(parts: DataFrame, cells: int) -> np.ndarray:
 
     Merged FAN_IN slices at a time like ``merged``; the driver gets one bit for each cell.
     """
-    width = max(1, cells // LISTED_SLICES)
+    width = slice_width(cells)
 
     def add_up(last: bool) -> Callable[[pa.Table], pa.Table]:
         def run(table: pa.Table) -> pa.Table:
@@ -165,11 +170,11 @@ def repeated_bits(parts: DataFrame, cells: int) -> np.ndarray:
         parts = parts.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(add_up(left <= 1), SCHEMA)
         if left <= 1:
             break
-    out = np.zeros(-(-cells // 8), np.uint8)
+    out = np.zeros(-(-cells // width) * width // 8, np.uint8)
     for r in parts.collect():
-        bits = np.frombuffer(pa.decompress(r["body"], decompressed_size=-(-width // 8), codec="zstd"), np.uint8)
+        bits = np.frombuffer(pa.decompress(r["body"], decompressed_size=width // 8, codec="zstd"), np.uint8)
         out[r["slice"] * width // 8 : r["slice"] * width // 8 + len(bits)] = bits
-    return out
+    return out[: -(-cells // 8)]
 
 
 def bitmap(keys: DataFrame, column: str, expected: int, most: int = 1 << 24) -> Broadcast:

@@ -7,6 +7,8 @@ from conftest import words
 
 from maskloom.llm import copies, decontaminate, jaccard, substring
 from maskloom.llm.components import components as closed
+from maskloom.llm.sketch import SCHEMA, listed, repeated_bits
+from maskloom.llm.store import prepare
 
 
 def rows_of(texts):
@@ -147,6 +149,13 @@ def test_repeats_with_a_full_sketch(make_docs, corpus):
     check_repeats(make_docs, corpus, most_cells=1 << 3)
 
 
+@pytest.mark.parametrize("cells", [16, 1 << 13])
+def test_bits_of_every_cell_that_repeats(spark, cells):
+    prepare(spark)
+    every = spark.range(0, 4, 1, 2).mapInArrow(listed(cells, lambda batch: iter([np.arange(cells)])), SCHEMA)
+    assert np.unpackbits(repeated_bits(every, cells), bitorder="little").sum() == cells
+
+
 def test_repeats_inside_one_document_stay(make_docs):
     check_repeats(make_docs, ["q " * 300, "r " * 10])
 
