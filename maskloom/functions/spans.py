@@ -2,37 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,value:string>"
+#: Two noncharacters of Unicode that mark where a match opens and closes. In a text they read as U+FFFD.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def unmarked(text: Column) -> Column:
+    """The text without the two marks."""
+    return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), F.translate(text, OPEN + CLOSE, "\ufffd\ufffd")).otherwise(text)
+
+
+def spans_in(text: Column, pattern: str | Column) -> Column:
+    """``regex_spans`` of a text that is not null and has no marks."""
 
+    empty = F.array().cast(f"array<{SPAN}>")
 
-def regex_spans(text: Column, pattern: str) -> Column:
+    def folded(parts: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            value = F.get(parts, 2 * i + 1)
+            start = acc["at"] + F.char_length(F.get(parts, 2 * i))
+            found = F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), value.alias("value"))
+            return F.struct(found["end"].alias("at"), F.array_append(acc["out"], found).alias("out"))
+
+        first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1), first, step, lambda acc: acc["out"])
+
+    def placed(marked: Column) -> Column:
+        parts = F.split(marked, f"[{OPEN}{CLOSE}]", -1)  # gap, match, gap, match, ..., gap
+        return F.when(F.contains(marked, F.lit(OPEN)), let(parts, folded)).otherwise(empty)
+
+    return let(F.regexp_replace(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(f"{OPEN}$0{CLOSE}")), placed)
+
+
+def regex_spans(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> of all matches, half-open code-point offsets.
 
-    Matches and the gaps between them alternate, so offsets are running sums of their lengths. The
-    pattern must not match the empty string. Null text gives null.
+    The pattern is run once: it marks its matches, and where there are any the text is split at the
+    marks, so that offsets are running sums of lengths. It must not match the empty string. Null text
+    gives null.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    at = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).alias("gap"), h.alias("value"))),
-        F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["pos"] + x["gap"] + F.char_length(x["value"])).alias("pos"),
-            F.array_append(
-                acc["out"],
-                F.struct(
-                    (acc["pos"] + x["gap"]).alias("start"),
-                    (acc["pos"] + x["gap"] + F.char_length(x["value"])).alias("end"),
-                    x["value"].alias("value"),
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), at).when(text.isNotNull(), F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.isNotNull(), let(unmarked(text), lambda t: spans_in(t, pattern)))
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -69,8 +88,7 @@ def resolved(spans: Column) -> Column:
             .otherwise(acc)
         )
 
-    empty = F.filter(spans, lambda s: F.lit(False))
-    taken = F.aggregate(F.array_sort(spans), empty, take)
+    taken = let(F.array_sort(spans), lambda all_: F.aggregate(all_, F.slice(all_, 1, 0), take))
     return F.array_sort(taken, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
 
 

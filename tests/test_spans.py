@@ -129,6 +129,21 @@ def test_completed_numbers_are_valid(spark):
     assert all(r["a"] and r["b"] and r["c"] for r in out.collect())
 
 
+def test_projections_against_plain_python():
+    import random
+    import unicodedata
+
+    def by_hand(text):
+        out = [(c, i) for i, ch in enumerate(text) for c in unicodedata.normalize("NFKD", ch.casefold()) if not unicodedata.combining(c) and not c.isspace()]
+        return "".join("i" if c == "ı" else c for c, _ in out), [i for _, i in out]
+
+    rng = random.Random(2)
+    texts = ["", "İI ıi ŞÇ", "ﬁ ß \U0001f642 é", " \t\n", "가각 ①"] + ["".join(rng.choice("aİışß é\u0301ﬃ\U0001f600 \n") for _ in range(rng.randrange(30))) for _ in range(50)]
+    proj, at = fold.projections(texts)
+    assert [(p, a.tolist()) for p, a in zip(proj, at)] == [by_hand(t) for t in texts]
+    assert fold.projections([]) == ([], [])
+
+
 def test_folding(spark):
     assert values(spark, ["  İSTANBUL ", "ıssız\tİ", "ﬁn", None], "string", fold.term_key) == ["istanbul", "issiz i", "fin", None]
     (p, q) = values(spark, ["Şe kİ", ""], "string", fold.projected)
