@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,78 +11,108 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.checks import tckn_valid
 from maskloom.functions.fold import PLACEHOLDER
-from maskloom.functions.spans import regex_spans
+from maskloom.functions.spans import let, spans_in, unmarked
 
-#: What must never be left in masked text, by code.
+#: What must never be left in masked text, by code. They must find what the audit they stand for finds.
 HARD_PATTERNS = (
-    ("EMAIL", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+"),
-    ("IBAN", r"(?i)\bTR[0-9]{2}(?: ?[0-9]){22}\b"),
-    ("CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b"),
-    ("TR_PHONE", r"(?:\+?90 ?|0)5[0-9]{2}[\s.-]?[0-9]{3}[\s.-]?[0-9]{2}[\s.-]?[0-9]{2}"),
-    ("SECRET", r"(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{8,}"),
-    ("SECRET", r"AKIA[0-9A-Z]{12,}"),
-    ("SECRET", r"ghp_[A-Za-z0-9]{20,}"),
-    ("SECRET", r"AIza[0-9A-Za-z_-]{18,}"),
-    ("SECRET", r"(?i)(?:api[_ -]?key|secret|token|bearer|password|passwd)[ :=\"]+[A-Za-z0-9_.-]{12,}"),
+    ("EMAIL", r"[\w.+-]+@[\w-]+\.[\w.-]+"),
+    ("IBAN", r"(?i)\bTR\d{2}(?:[ ]?\d){22}\b"),
+    ("CARD", r"\b(?:\d[ -]?){13,19}\b"),
+    ("TR_PHONE", r"\b(?:\+?90[ ]?|0)5\d{2}[\s.\-]?\d{3}[\s.\-]?\d{2}[\s.\-]?\d{2}\b"),
+    ("SECRET", r"\b(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{8,}\b"),
+    ("SECRET", r"\bAKIA[0-9A-Z]{12,}\b"),
+    ("SECRET", r"\bghp_[A-Za-z0-9]{20,}\b"),
+    ("SECRET", r"\bAIza[0-9A-Za-z_\-]{18,}\b"),
+    ("SECRET", r"(?i)\b(?:api[_\s-]?key|secret|token|bearer|password|passwd)\b[\s:=]+[A-Za-z0-9_\-.]{12,}"),
 )
 MOST_ITEMS, MOST_COMBINED = 25, 30
 #: Replacements in logs, in this order.
 LOG_PATTERNS = (
-    ("EMAIL", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+"),
-    ("IBAN", r"TR(?: ?[0-9]){24}"),
-    ("SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
-    ("TCKN", r"\b[1-9][0-9]{10}\b"),
-    ("VKN", r"\b[0-9]{10}\b"),
-    ("PLATE", r"\b[0-9]{2} ?[A-Z]{1,3} ?[0-9]{2,4}\b"),
-    ("PASSPORT", r"\b[A-Z][0-9]{8}\b"),
-    ("CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b"),
-    ("PHONE", r"\+?[0-9][0-9 ()-]{7,}[0-9]"),
+    ("EMAIL", r"[\w.+-]+@[\w-]+\.[\w.-]+"),
+    ("IBAN", r"(?i)\bTR(?:[ ]?\d){24}\b"),
+    ("SSN", r"\b\d{3}-\d{2}-\d{4}\b"),
+    ("TCKN", r"\b[1-9]\d{10}\b"),
+    ("VKN", r"\b\d{10}\b"),
+    ("PLATE", r"\b\d{2}\s?[A-ZÇĞİÖŞÜ]{1,3}\s?\d{2,4}\b"),
+    ("PASSPORT", r"\b[A-Z]\d{8}\b"),
+    ("CARD", r"\b(?:\d[ -]?){13,19}\b"),
+    ("PHONE", r"(?<!\d)(?:\+?\d[\d ()-]{7,}\d)(?!\d)"),
 )
+#: Fixed value: a run of digits in a snippet.
+NUMBERS = r"(?:\d[ -]?){6,}"
+#: Words, digits and white space of any script.
+UNICODE = "(?U)"
 RISK = ("low", "medium", "high")
 
 
 def redacted(text: Column) -> Column:
     """Log redaction: each pattern in order becomes ``<LABEL_REDACTED>``."""
     for label, pattern in LOG_PATTERNS:
-        text = F.regexp_replace(text, pattern, f"<{label}_REDACTED>")
+        text = F.regexp_replace(text, UNICODE + pattern, f"<{label}_REDACTED>")
     return text
 
 
 def mini_redacted(text: Column) -> Column:
-    """E-mail addresses become ``<EMAIL>``, runs of six digits or more ``<NUM>``."""
-    return F.regexp_replace(F.regexp_replace(text, LOG_PATTERNS[0][1], "<EMAIL>"), "[0-9]{6,}", "<NUM>")
+    """E-mail addresses become ``<EMAIL>``, runs of six digits or more, spaces and dashes between them, ``<NUM>``."""
+    return F.regexp_replace(F.regexp_replace(text, UNICODE + LOG_PATTERNS[0][1], "<EMAIL>"), UNICODE + NUMBERS, "<NUM>")
+
+
+ITEM = "struct<code:string,start:int,end:int,value:string>"
 
 
 def residuals(text: Column) -> Column:
-    """array<struct<code, start, end, value>> of hard patterns and valid TCKNs outside placeholders."""
-    bare = F.regexp_replace(text, PLACEHOLDER, " ")
-    coded = lambda hits, code: F.transform(hits, lambda h: F.struct(F.lit(code).alias("code"), h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value")))
-    numbers = F.filter(regex_spans(bare, r"(?<![0-9])[0-9]{11}(?![0-9])"), lambda h: tckn_valid(h["value"]))
-    return F.concat(*[coded(regex_spans(bare, p), code) for code, p in HARD_PATTERNS], coded(numbers, "TCKN"))
+    """array<struct<code, start, end, value>> of hard patterns and valid TCKNs outside placeholders; null for null."""
+
+    def found(bare: Column) -> Column:
+        coded = lambda hits, code: F.transform(hits, lambda h: F.struct(F.lit(code).alias("code"), h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value")))
+        numbers = F.filter(spans_in(bare, UNICODE + r"\b\d{11}\b"), lambda h: tckn_valid(h["value"]))
+        return F.concat(*[coded(spans_in(bare, UNICODE + p), code) for code, p in HARD_PATTERNS], coded(numbers, "TCKN"))
+
+    return F.when(text.isNotNull(), let(unmarked(F.regexp_replace(text, PLACEHOLDER, " ")), found))
+
+
+def judged(items: Column) -> Column:
+    """struct<approved, risk_level, n_found, codes>: any item means not approved, high risk; at most 25 codes."""
+    return F.struct(
+        (F.size(items) == 0).alias("approved"),
+        F.when(F.size(items) > 0, "high").otherwise("low").alias("risk_level"),
+        F.size(items).cast("long").alias("n_found"),
+        F.slice(F.transform(items, lambda i: i["code"]), 1, MOST_ITEMS).alias("codes"),
+    )
 
 
 def heuristic_audit(units: DataFrame, text_col: str = "masked_text", doc: str = "doc_id") -> DataFrame:
-    """(doc, approved, risk_level, n_found, codes): any hit means not approved, high risk; at most 25 items."""
+    """(doc, approved, risk_level, n_found, codes) of documents that may have several units."""
     rows = units.select(doc, residuals(F.coalesce(F.col(text_col), F.lit(""))).alias("items"))
     per = rows.groupBy(doc).agg(F.flatten(F.collect_list("items")).alias("items"))
-    return per.select(
-        doc,
-        (F.size("items") == 0).alias("approved"),
-        F.when(F.size("items") > 0, "high").otherwise("low").alias("risk_level"),
-        F.size("items").cast("long").alias("n_found"),
-        F.slice(F.transform("items", lambda i: i["code"]), 1, MOST_ITEMS).alias("codes"),
-    )
+    return per.select(doc, judged(F.col("items")).alias("j")).select(doc, "j.*")
+
 
+VERDICT = "approved boolean, risk_level string, items array<struct<type:string,length:int,page:int>>, next_action string, ok boolean"
+VERDICT_TYPE = "struct<approved:boolean,risk_level:string,items:array<struct<type:string,length:int,page:int>>,next_action:string,ok:boolean>"
+#: Types that an item of a verdict may name.
+KNOWN_TYPES = frozenset((
+    "ACCOUNT ACCOUNT_NUMBER ADDRESS API_KEY BANK_ACCOUNT CARD COMPANY CONFIDENTIAL CREDENTIAL CREDIT_CARD DATE DATE_OF_BIRTH DATE_TIME DL DRIVER_LICENSE "
+    "EMAIL EMAIL_ADDRESS FINANCIAL GOVERNMENT_ID HEALTH IBAN IBAN_CODE ID ID_NUMBER IP IP_ADDRESS LICENSE_PLATE LOCATION MEDICAL NAME NATIONAL_ID NRP ORG "
+    "ORGANIZATION PASSPORT PASSPORT_NUMBER PASSWORD PERSON PHONE PHONE_NUMBER PLATE SALARY SECRET SECRET_KEY SENSITIVE SSN TAX_ID TAX_NUMBER TCKN TR_ACCOUNT "
+    "TR_ADDRESS TR_COMPANY TR_DISABILITY TR_GSM TR_HEALTH TR_IBAN TR_PASSPORT TR_PERSON_CTX TR_PHONE TR_PLATE TR_SALARY_BAND TR_TCKN TR_VKN UK_PHONE UNKNOWN "
+    "URL US_DRIVER_LICENSE US_SSN USERNAME VEHICLE_PLATE VKN"
+).split())
+PAGE = re.compile(r"\b(?:page|sayfa|p\.|s\.)\s*(\d{1,4})(?!\d)", re.IGNORECASE)
 
-VERDICT = "approved boolean, risk_level string, items array<struct<type:string,length:int>>, next_action string, ok boolean"
-KNOWN_TYPES = ("PERSON", "EMAIL", "PHONE", "IBAN", "CARD", "TCKN", "ADDRESS", "SECRET", "ORG", "DATE")
+
+def safe_item(item: dict) -> tuple[str, int, int | None]:
+    """(type, length, page) of a verdict's item: a known type or UNKNOWN, how long its snippet is, the page it names."""
+    kind = "_".join(re.findall("[A-Z0-9]+", str(item.get("type", "")).upper()))
+    page = PAGE.search(str(item.get("location") or ""))
+    return kind if kind in KNOWN_TYPES else "UNKNOWN", len(str(item.get("snippet", "")).strip()), int(page[1]) if page else None
 
 
 def parse_verdict(raw: Column) -> Column:
     """The first balanced JSON object of a model's answer; anything wrong fails closed. An Arrow UDF.
 
     ``ok`` says whether an answer could be read; it never comes from the answer. Items keep a type of
-    the known set and the length of their snippet, nothing of its content.
+    the known set, the length of their snippet and a page number, nothing of their content.
     """
 
     def first_object(text: str) -> dict | None:
@@ -113,8 +144,7 @@ def parse_verdict(raw: Column) -> Column:
         items = found.get("remaining_sensitive_items", [])
         if not isinstance(items, list) or not all(isinstance(i, dict) for i in items):
             return closed
-        clean = [(i.get("type") if i.get("type") in KNOWN_TYPES else "UNKNOWN", len(str(i.get("snippet", "")))) for i in items]
-        return (found["approved"], found["risk_level"], clean, str(found.get("recommended_next_action", "needs_human_review")), True)
+        return (found["approved"], found["risk_level"], [safe_item(i) for i in items], str(found.get("recommended_next_action", "needs_human_review")), True)
 
     @F.pandas_udf(VERDICT)
     def run(values: pd.Series) -> pd.DataFrame:
@@ -132,18 +162,26 @@ def clean_approval(approved: Column, action: Column, n_items: Column, level: Col
     return F.coalesce(approved & (action == "approve") & (n_items == 0) & (risk_rank(level) <= RISK.index(most) + 1), F.lit(False))
 
 
-def combined_audit(heuristic: DataFrame, model: DataFrame, required: bool = True, doc: str = "doc_id") -> DataFrame:
-    """Both audits: approved only if both are clean, the worse risk, at most 30 items.
+def combined(heuristic: Column, model: Column, required: bool = True) -> Column:
+    """struct<approved, risk_level, n_items, llm_ok> of a row's two audits (structs of ``judged`` and of a verdict).
 
-    Without a readable model verdict the result fails closed, or is the heuristic's where none is required.
+    Approved only if both are clean, the worse risk, at most 30 items. Without a readable model verdict
+    the result fails closed, or is the heuristic's where none is required.
     """
-    both = heuristic.alias("h").join(model.alias("m"), doc, "left")
-    ok = F.coalesce(F.col("m.ok"), F.lit(False))
-    m_clean = ok & clean_approval(F.col("m.approved"), F.col("m.next_action"), F.size(F.coalesce("m.items", F.array())), F.col("m.risk_level"))
-    approved = F.col("h.approved") & (m_clean if required else F.when(ok, m_clean).otherwise(True))
-    worst = F.greatest(risk_rank(F.col("h.risk_level")), F.when(ok, risk_rank(F.col("m.risk_level"))).otherwise(F.lit(3) if required else F.lit(1)))
-    items = F.least(F.lit(MOST_COMBINED), F.col("h.n_found") + F.when(ok, F.size("m.items")).otherwise(0))
-    return both.select(doc, approved.alias("approved"), F.element_at(F.array(*[F.lit(r) for r in RISK]), worst.cast("int")).alias("risk_level"), items.alias("n_items"), ok.alias("llm_ok"))
+    ok = F.coalesce(model["ok"], F.lit(False))
+    n_model = F.coalesce(F.greatest(F.size(model["items"]), F.lit(0)), F.lit(0))
+    m_clean = ok & clean_approval(model["approved"], model["next_action"], n_model, model["risk_level"])
+    approved = heuristic["approved"] & (m_clean if required else F.when(ok, m_clean).otherwise(True))
+    worst = F.greatest(risk_rank(heuristic["risk_level"]), F.when(ok, risk_rank(model["risk_level"])).otherwise(F.lit(3) if required else F.lit(1)))
+    items = F.least(F.lit(MOST_COMBINED), heuristic["n_found"] + F.when(ok, n_model).otherwise(0))
+    return F.struct(approved.alias("approved"), F.element_at(F.array(*[F.lit(r) for r in RISK]), worst.cast("int")).alias("risk_level"), items.alias("n_items"), ok.alias("llm_ok"))
+
+
+def combined_audit(heuristic: DataFrame, model: DataFrame, required: bool = True, doc: str = "doc_id") -> DataFrame:
+    """``combined`` of two tables by document; one without a model verdict counts as unreadable."""
+    h = heuristic.select(doc, F.struct("approved", "risk_level", "n_found").alias("h"))
+    m = model.select(doc, F.struct("approved", "risk_level", "items", "next_action", "ok").alias("m"))
+    return h.join(m, doc, "left").select(doc, combined(F.col("h"), F.col("m"), required).alias("c")).select(doc, "c.*")
 
 
 def route(state: DataFrame) -> DataFrame:

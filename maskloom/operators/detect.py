@@ -7,8 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.functions.spans import regex_spans
-from maskloom.operators.recognizers import ALL, Recognizer
+from maskloom.functions.fold import _fold, collapsed
+from maskloom.functions.spans import let, regex_spans, spans_in, unmarked
+from maskloom.operators.recognizers import ALL, NAME_LABELS, Recognizer
 from maskloom.operators.types import flag_of, tier_of
 
 THRESHOLD, UPLIFT = 0.4, 0.35
@@ -24,8 +25,13 @@ def context_near(text: Column, start: Column, end: Column, words: Iterable[str])
     return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(near, w))
 
 
-def _hits(text: Column, r: Recognizer) -> Column:
-    hits = regex_spans(text, r.pattern)
+def folded(text: Column) -> Column:
+    """Lower-cased, every i alike: how the ``needs`` of recognizers are written."""
+    return F.replace(F.replace(F.lower(text), F.lit("ı"), F.lit("i")), F.lit("\u0307"), F.lit(""))
+
+
+def _hits(text: Column, low: Column, r: Recognizer) -> Column:
+    hits = spans_in(text, r.regex)
     if r.trim:
         inner = lambda h: F.regexp_extract(h["value"], r.trim, 1)
         hits = F.transform(hits, lambda h: F.struct((h["end"] - F.char_length(inner(h))).alias("start"), h["end"].alias("end"), inner(h).alias("value")))
@@ -38,12 +44,20 @@ def _hits(text: Column, r: Recognizer) -> Column:
             score = F.when(r.valid(h["value"]), 1.0).otherwise(0.0)
         return F.struct(h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value"), F.lit(r.entity_type).alias("entity_type"), score.cast("double").alias("score"), F.lit(r.source).alias("source"))
 
-    return F.transform(hits, scored)
+    found = F.transform(hits, scored)
+    if not r.needs:
+        return found
+    may = F.lit(False)
+    for w in r.needs:
+        may = may | F.contains(low, F.lit(w))
+    return F.when(may, found).otherwise(F.array().cast(f"array<{FOUND}>"))
 
 
 def found_in(text: Column, recognizers: Iterable[Recognizer] = ALL, threshold: float = THRESHOLD) -> Column:
-    """array of spans that reach the threshold, of all recognizers, from one reading of the text."""
-    hits = F.concat(*[F.coalesce(_hits(text, r), F.array().cast(f"array<{FOUND}>")) for r in recognizers])
+    """array of spans that reach the threshold, of all recognizers, from one reading of the text; null for null."""
+    recognizers = tuple(recognizers)
+    every = lambda t: let(folded(t), lambda low: F.concat(*[_hits(t, low, r) for r in recognizers]))
+    hits = F.when(text.isNotNull(), let(unmarked(text), every))
     return F.filter(hits, lambda h: h["score"] >= threshold)
 
 
@@ -78,66 +92,105 @@ NER_SCALE = {"ORGANIZATION": 0.4, "NRP": 0.4}
 
 
 def adopt_ner(spans: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Spans of an external detector (label, score) with our types; unknown labels are left as they are."""
+    """Spans of an external detector (label, score) with our types; unknown labels are left as they are.
+
+    Without a column ``source`` they get ``ner``, which is what the gates look at.
+    """
     labels = F.create_map(*[F.lit(x) for kv in NER_LABELS.items() for x in kv])
     scale = F.create_map(*[F.lit(x) for kv in NER_SCALE.items() for x in kv])
     out = spans.where("label <> 'DATE'").withColumn("entity_type", F.coalesce(F.try_element_at(labels, "label"), "label"))
     out = out.withColumn("score", F.col("score") * F.coalesce(F.try_element_at(scale, "entity_type"), F.lit(1.0)))
+    if "source" not in out.columns:
+        out = out.withColumn("source", F.lit("ner"))
     return out.where(F.col("score") >= threshold).drop("label")
 
 
-#: Nouns that name documents, not people, and captions of forms.
-DOCUMENT_NOUNS = "sözleşme rapor fatura belge form dilekçe tutanak contract report invoice agreement document form letter annex".split()
-FORM_LABELS = "adı soyadı doğum tarihi adres telefon imza tarih name surname address phone signature date".split()
+#: Sources of statistical detectors; their guesses are gated, other sources' are not.
+NER_SOURCES = ("en", "tr", "ner")
+#: Nouns that name documents, not people: bare, possessive and plural, then the English ones.
+DOCUMENT_NOUNS_TR = (
+    ("sözleşme", "sözleşmesi", "sözleşmeler"), ("protokol", "protokolü", "protokoller"), ("rapor", "raporu", "raporlar"), ("fatura", "faturası", "faturalar"),
+    ("teklif", "teklifi", "teklifler"), ("tutanak", "tutanağı", "tutanaklar"), ("şartname", "şartnamesi", "şartnameler"), ("dilekçe", "dilekçesi", "dilekçeler"),
+    ("yönetmelik", "yönetmeliği", "yönetmelikler"), ("yönerge", "yönergesi", "yönergeler"), ("genelge", "genelgesi", "genelgeler"), ("karar", "kararı", "kararlar"),
+    ("ek", "eki", "ekler"), ("beyanname", "beyannamesi", "beyannameler"), ("makbuz", "makbuzu", "makbuzlar"), ("irsaliye", "irsaliyesi", "irsaliyeler"),
+    ("taahhütname", "taahhütnamesi", "taahhütnameler"), ("vekaletname", "vekaletnamesi", "vekaletnameler"), ("vekâletname", "vekâletnamesi", "vekâletnameler"),
+    ("ihtarname", "ihtarnamesi", "ihtarnameler"), ("belge", "belgesi", "belgeler"), ("mutabakat", "mutabakatı", "mutabakatlar"), ("talimat", "talimatı", "talimatlar"),
+)
+DOCUMENT_NOUNS_EN = (
+    "agreement", "agreements", "contract", "contracts", "report", "reports", "invoice", "invoices", "memorandum", "minutes", "proposal", "proposals",
+    "certificate", "certificates", "protocol", "protocols", "receipt", "receipts", "regulation", "regulations", "addendum", "annex", "appendix", "amendment",
+    "amendments",
+)
+#: Captions of forms beside those of name fields.
+FORM_LABELS = (
+    "Adres", "Adresi", "Adres Tipi", "Adres Türü", "Adres No", "Yerleşim Yeri", "Yerleşim Yeri Adresi", "İkamet Adresi", "Tebligat Adresi", "Diğer Adres",
+    "Doğum Yeri", "Doğum Tarihi", "Kimlik No", "T.C. Kimlik No", "Kimlik Bilgileri", "Uyruğu", "Cinsiyeti", "Medeni Hali", "Telefon", "E-posta", "İl", "İlçe",
+    "Mahalle", "Belge No", "Tarih",
+)
+#: Plural possessives follow the last vowel.
+_NOUNS = {_fold(w) for forms in DOCUMENT_NOUNS_TR for w in (*forms, forms[2] + {"lar": "ı", "ler": "i"}[forms[2][-3:]])} | {_fold(w) for w in DOCUMENT_NOUNS_EN}
+_CAPTIONS = {_fold(w) for w in (*NAME_LABELS, *FORM_LABELS)}
+_SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+
+
+def _words(value: Column) -> Column:
+    return F.filter(F.split(value, _SPACE), lambda w: w != "")
 
 
 def lowercase_initial(value: Column) -> Column:
-    """G1: the first letter is lower-case."""
-    return F.regexp_extract(value, r"\p{L}", 0).rlike(r"^\p{Ll}$")
+    """G1: white space aside, it begins with a lower-case letter."""
+    return value.rlike(rf"^(?:{_SPACE})?\p{{Ll}}")
 
 
 def contains_document_noun(value: Column) -> Column:
-    """G3: a word, edge punctuation and apostrophe suffix aside, is a document noun or its plain plural."""
-    words = F.transform(F.split(F.lower(value), r"\s+"), lambda w: F.regexp_replace(F.regexp_replace(w, r"['’].*$", ""), r"^[^\p{L}]+|[^\p{L}]+$", ""))
-    forms = [f for n in DOCUMENT_NOUNS for f in (n, n + "s", n + "lar", n + "ler", n + "ları", n + "leri")]
-    return F.arrays_overlap(words, F.array(*[F.lit(f) for f in forms]))
+    """G3: a word, edge punctuation and apostrophe suffix aside, is a document noun."""
+    bare = lambda w: F.regexp_replace(F.regexp_replace(w, r"^[,;:()\[\]\"'’.!?«»“”]+|[,;:()\[\]\"'’.!?«»“”]+$", ""), r"['’].*$", "")
+    return F.arrays_overlap(F.transform(_words(value), lambda w: folded(bare(w))), F.array(*[F.lit(f) for f in sorted(_NOUNS)]))
 
 
 def implausible_person(value: Column) -> Column:
-    """G2: over three words across a line end, a single word, a document noun, or a longer word in lower case."""
-    words = F.filter(F.split(value, r"\s+"), lambda w: w != "")
-    return ((F.size(words) >= 3) & F.contains(value, F.lit("\n"))) | (F.size(words) <= 1) | contains_document_noun(value) | F.exists(words, lambda w: (F.char_length(w) >= 3) & w.rlike(r"^\p{Ll}"))
+    """G2: three words or more across a line end, a single word, a document noun, or a longer word that begins in lower case."""
+    words = _words(value)
+    return ((F.size(words) >= 3) & F.contains(value, F.lit("\n"))) | (F.size(words) == 1) | contains_document_noun(value) | F.exists(words, lambda w: (F.char_length(w) >= 3) & w.rlike(r"^\p{Ll}"))
 
 
 def date_shaped(value: Column) -> Column:
     """G4: the whole value reads day, month, year."""
-    return value.rlike(r"^[0-3]?[0-9][./-][01]?[0-9][./-](?:[0-9]{2}|[0-9]{4})$")
+    return F.trim(value).rlike(r"^[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}$")
 
 
 def form_label(value: Column) -> Column:
-    """G5: the value is a form caption."""
-    return F.lower(F.trim(value)).isin(FORM_LABELS)
+    """G5: the value is a form caption, case and white space aside."""
+    return folded(collapsed(value)).isin(sorted(_CAPTIONS))
 
 
 def caps_line(text: Column, start: Column, end: Column) -> Column:
-    """G6: the line around the span has four words of letters or more, four fifths of them in capitals."""
+    """G6: the line around the span has four words of letters or more, four fifths of them in capitals.
+
+    A word counts if it has letters only, edge punctuation aside: addresses, dates and codes say nothing.
+    """
     before = F.element_at(F.split(F.substr(text, F.lit(1), start), "\n"), -1)
     after = F.element_at(F.split(F.substr(text, start + 1, F.char_length(text)), "\n"), 1)
-    words = F.filter(F.split(F.concat(before, after), r"[^\p{L}]+"), lambda w: w != "")
-    caps = F.size(F.filter(words, lambda w: w == F.upper(w)))
+    bare = F.transform(F.split(F.concat(before, after), r"[ \t\x0B\f\r]+"), lambda w: F.regexp_replace(w, r"^[,;:()\"'’]+|[,;:()\"'’]+$", ""))
+    words = F.filter(bare, lambda w: w.rlike(r"^\p{L}+$"))
+    caps = F.size(F.filter(words, lambda w: (w == F.upper(w)) & (w != F.lower(w))))
     return (F.size(words) >= 4) & (caps * 5 >= F.size(words) * 4)
 
 
 def gated(spans: DataFrame, text_col: str = "text") -> DataFrame:
-    """Spans that pass all gates. Needs value, entity_type, start, end, source and the unit's text."""
+    """Spans that pass all gates. Needs value, entity_type, start, end, source and the unit's text.
+
+    G2, G5 and G6 look at guesses of statistical detectors only (``NER_SOURCES``), G1 at the types they
+    guess, G4 at phone numbers of any source. Gates come before resolution.
+    """
     kind, value = F.col("entity_type"), F.col("value")
-    ner = flag_of(kind, "ortho_gated")
+    ner, guess = flag_of(kind, "ortho_gated"), F.coalesce(F.col("source"), F.lit("")).isin(*NER_SOURCES)
     drop = (
         (ner & lowercase_initial(value))
-        | ((kind == "PERSON") & implausible_person(value))
+        | (guess & (kind == "PERSON") & implausible_person(value))
         | (kind.isin("PHONE_NUMBER", "TR_PHONE", "TR_GSM", "UK_PHONE") & date_shaped(value))
-        | (ner & form_label(value))
-        | (ner & caps_line(F.col(text_col), F.col("start"), F.col("end")))
+        | (guess & ner & form_label(value))
+        | (guess & ner & caps_line(F.col(text_col), F.col("start"), F.col("end")))
     )
     return spans.where(~drop)
 
