@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions.fold import PLACEHOLDER, collapsed
-from maskloom.functions.spans import merged, resolved, spliced, within
+from maskloom.functions.spans import merged, overlaps, resolved, spliced, within
 from maskloom.operators.detect import prioritised
 from maskloom.operators.types import family_of
 
@@ -77,6 +77,39 @@ def forced_ranges(mask: Column, keep: Column) -> Column:
     return F.filter(merged(mask), lambda r: ~within(r, keep))
 
 
+def kept_in_current(keeps: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Keep ranges that no edit touches, with the offsets they have in the masked text."""
+    same = lambda a, b: [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys]
+    touched, before = overlaps(F.col("k.start"), F.col("k.end"), F.col("e.start"), F.col("e.end")), F.col("e.end") <= F.col("k.start")
+    for c in same("k", "e"):
+        touched, before = touched & c, before & c
+    free = keeps.alias("k").join(done.alias("e"), touched, "left_anti")
+    shift = F.coalesce(F.max_by(F.col("e.masked_end") - F.col("e.end"), F.col("e.end")), F.lit(0))
+    by = [*[F.col(f"k.{k}").alias(k) for k in keys], F.col("k.start").alias("start"), F.col("k.end").alias("end")]
+    return free.alias("k").join(done.alias("e"), before, "left").groupBy(*by).agg(shift.alias("__by")).select(*keys, (F.col("start") + F.col("__by")).alias("start"), (F.col("end") + F.col("__by")).alias("end"))
+
+
+def absorbed(current: Column, done: Column, start: Column, end: Column, token: Column) -> Column:
+    """Edits after ``current[start:end)`` has become ``token``: those it meets become one edit with it.
+
+    ``done``: array<struct<start, end, masked_start, masked_end, token>> of disjoint edits whose result is
+    ``current``. The new edit's token is what then stands where the edits and the range stood, so that
+    splicing the original with the returned edits (start, end, token, by start) gives the same text.
+    """
+    original = lambda at, side: at + F.aggregate(F.filter(done, lambda e: e[f"masked_{side}"] <= at), F.lit(0), lambda _, e: (e["end"] - e["masked_end"]).cast("int"))
+    meets = lambda e: overlaps(e["masked_start"], e["masked_end"], start, end)
+    hit = F.filter(done, meets)
+    low = F.least(start, F.array_min(F.transform(hit, lambda e: e["masked_start"].cast("int"))))
+    high = F.greatest(end, F.array_max(F.transform(hit, lambda e: e["masked_end"].cast("int"))))
+    text = F.concat(F.substr(current, low + 1, start - low), token, F.substr(current, end + 1, high - end))
+    # where a bound lies inside an edit, that edit's own bound is the original's
+    first = F.coalesce(F.array_min(F.transform(F.filter(hit, lambda e: e["masked_start"] <= start), lambda e: e["start"])), original(start, "end"))
+    last = F.coalesce(F.array_max(F.transform(F.filter(hit, lambda e: e["masked_end"] >= end), lambda e: e["end"])), original(end, "end"))
+    one = F.struct(first.cast("int").alias("start"), last.cast("int").alias("end"), text.alias("token"))
+    others = F.transform(F.filter(done, lambda e: ~meets(e)), lambda e: F.struct(e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), e["token"].alias("token")))
+    return F.array_sort(F.array_append(others, one))
+
+
 def mapping(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Restricted table (document, token, value): the first spelling of each token."""
     return tokens.groupBy(doc, "token").agg(F.min_by("value", "start").alias("value"))

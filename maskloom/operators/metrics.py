@@ -150,10 +150,24 @@ def escapes(cases: DataFrame) -> DataFrame:
     return cases.withColumn("escape", F.coalesce(~F.col("processed") | seen, F.lit(True)))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """Nearest-rank quantile of an array: element 1 + round(q (n - 1)), halves to even."""
-    at = F.bround(F.lit(q) * (F.size(values) - 1), 0).cast("int")
-    return F.element_at(F.array_sort(values), at + 1)
+def nearest_rank(rows: DataFrame, group: str, value: str, q: float, buckets: int = 4096) -> DataFrame:
+    """(group, n, ranked): the nearest-rank quantile, element 1 + round(q (n - 1)) of the sorted values, halves to even.
+
+    Values are counted in buckets of equal width; only the bucket that holds the rank is looked into, by
+    its distinct values and their counts. Nothing is collected. Nulls do not count.
+    """
+    v = F.col(value)
+    span = rows.where(v.isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.min(v).alias("__low"), F.max(v).alias("__high"))
+    span = span.withColumn("__at", F.bround(F.lit(q) * (F.col("n") - 1), 0).cast("long"))
+    share = (v - F.col("__low")) / (F.col("__high") - F.col("__low"))
+    bucket = F.when(F.col("__high") > F.col("__low"), F.least(F.lit(buckets - 1), F.floor(share * buckets))).otherwise(0).cast("int")
+    placed = rows.where(v.isNotNull()).join(span, group).withColumn("__b", bucket)
+    upto = F.sum("__c").over(Window.partitionBy(group).orderBy("__b"))
+    counts = placed.groupBy(group, "n", "__at", "__b").agg(F.count("*").alias("__c")).withColumn("__upto", upto)
+    held = counts.where("__upto > __at and __upto - __c <= __at").select(group, "__b", (F.col("__upto") - F.col("__c")).alias("__before"))
+    inside = placed.join(held, [group, "__b"]).groupBy(group, "n", "__at", "__before", v.alias("ranked")).agg(F.count("*").alias("__c"))
+    inside = inside.withColumn("__upto", F.col("__before") + F.sum("__c").over(Window.partitionBy(group).orderBy("ranked")))
+    return inside.where("__upto > __at and __upto - __c <= __at").select(group, "n", "ranked")
 
 
 def canary_report(results: DataFrame, outcomes: DataFrame, by: str) -> DataFrame:
@@ -225,6 +239,37 @@ def stress_verdict(expected: Column, approved: Column, leaked: Column) -> Column
     return F.when(approved & leaked, "critical_false_approval").when((expected == "FAIL_CLOSED") & approved, "not_closed").when(approved, "safe_output").when(expected == "FAIL_CLOSED", "closed").otherwise("over_closed")
 
 
+def strict_verdict(expected: Column, shipped: Column, values: Column, output: Column) -> Column:
+    """Strict verdict of a stress case: a shipped value of six characters or more is critical, white space aside.
+
+    Else a case that must close passes if nothing was shipped, and one that must not is conservative then.
+    """
+    plain = lambda c: collapsed(F.coalesce(c, F.lit("")))
+    leak = shipped & F.exists(F.filter(values, lambda v: F.char_length(v) >= 6), lambda v: F.contains(plain(output), plain(v)))
+    closed = F.when(~shipped, "pass").otherwise("fail")
+    return F.when(leak, "critical_false_approval").when(expected == "fail_closed", closed).otherwise(F.when(shipped, "pass").otherwise("conservative"))
+
+
+def class_char_recall(gold: DataFrame, detections: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(identifier_class, hit, total, recall) over the characters of gold spans that are not white space; empty is null.
+
+    ``gold`` has (keys, start, end, surface, identifier_class). Detections of a unit are merged first.
+    """
+    ranges = detections.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("all")).select(*keys, merged(F.col("all")).alias("ranges"))
+    rows = gold.join(ranges, list(keys), "left")
+    dense = lambda t: F.char_length(F.regexp_replace(t, r"\s+", "")).cast("long")
+    part = lambda r: F.substr(F.col("surface"), F.greatest(r["start"] - F.col("start"), F.lit(0)) + 1, F.greatest(F.least(r["end"], F.col("end")) - F.greatest(r["start"], F.col("start")), F.lit(0)))
+    hit = F.aggregate(F.coalesce("ranges", F.array()), F.lit(0).cast("long"), lambda n, r: n + dense(part(r)))
+    out = rows.groupBy("identifier_class").agg(F.sum(hit).alias("hit"), F.sum(dense(F.col("surface"))).alias("total"))
+    return out.withColumn("recall", F.round(ratio(F.col("hit"), F.col("total"), None), 4))
+
+
+def file_name_grade(value: Column, safe: Column) -> Column:
+    """Whether a value is gone from the safe file name, and the stage that failed otherwise."""
+    masked = ~F.contains(collapsed(safe), collapsed(value))
+    return F.struct(masked.alias("masked"), F.when(masked, "ok").otherwise("S15_filename_not_anonymized").alias("stage"))
+
+
 def round_robin(rows: DataFrame, group: str, order: str, per_group: int | None = None, limit: int | None = None) -> DataFrame:
     """Rows interleaved over groups: first of each, then second of each, ...; optional bounds for each group and in all."""
     out = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(order)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions.fold import PLACEHOLDER, projected
-from maskloom.functions.spans import disjoint, regex_spans
+from maskloom.functions.spans import OPEN, disjoint, let, regex_spans
+from maskloom.operators.lists import not_contained
+from maskloom.operators.mask import masked_units, value_key
 from maskloom.operators.types import family_of, flag_of
 
 #: Least projected length of a needle by how it was made (fixed values).
@@ -47,14 +49,14 @@ def variants(units: DataFrame, wanted: DataFrame, text_col: str = "text") -> Dat
 
     Units are compared without case, marks and white space. glued and surname hits hold no white
     space; company and surname hits start with a capital and stand alone; hits in placeholders do not
-    count. Needles of a document come to its units as one array, so units are not multiplied by them.
+    count. Needles of a document come to its units as one array, so units are not multiplied by them,
+    and each needle is found in one pass over the unit.
     """
     pool = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("needle", "mode", "family")).alias("pool"))
     rows = units.join(pool, "doc_id").withColumn("p", projected(F.col(text_col)))
     held = F.filter("pool", lambda n: F.contains(F.col("p.proj"), n["needle"]))
     rows = rows.withColumn("n", F.explode(held))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("p.proj") - F.char_length("n.needle") + 1)), lambda i: F.substr(F.col("p.proj"), i, F.char_length("n.needle")) == F.col("n.needle"))
-    rows = rows.withColumn("i", F.explode(places))
+    rows = rows.withColumn("i", F.explode(starts_of(F.col("p.proj"), F.col("n.needle"))))
     start = F.element_at("p.at", F.col("i"))
     end = F.element_at("p.at", F.col("i") + F.char_length("n.needle") - 1) + 1
     hits = rows.select("doc_id", "unit_id", text_col, "n.mode", "n.family", start.alias("start"), end.alias("end"))
@@ -71,6 +73,36 @@ def variants(units: DataFrame, wanted: DataFrame, text_col: str = "text") -> Dat
     return by_unit.select("doc_id", "unit_id", F.explode(disjoint(F.col("all"))).alias("h")).select("doc_id", "unit_id", "h.*")
 
 
+def starts_of(text: Column, needle: Column) -> Column:
+    """Places (from 1) at which ``needle`` begins, overlapping ones too: marked in one pass, then summed up."""
+    marked = F.regexp_replace(text, F.concat(F.lit("(?=\\Q"), needle, F.lit("\\E)")), F.lit(OPEN))
+    step = lambda acc, x: F.struct((acc["at"] + F.char_length(x)).alias("at"), F.array_append(acc["out"], acc["at"] + F.char_length(x)).alias("out"))
+    first = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
+    return let(F.split(marked, OPEN, -1), lambda parts: F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), first, step, lambda acc: acc["out"]))
+
+
+def applied(units: DataFrame, hits: DataFrame, tokens: DataFrame, keeps: DataFrame | None = None, text_col: str = "masked_text") -> DataFrame:
+    """Units (doc_id, unit_id, text) with the hits of ``variants`` in them masked too, but for those inside ``keeps``.
+
+    A spelling whose key has a token in the document gets that token; others are numbered on after the
+    family's last, by where they first stand. ``tokens``: (doc_id, family, value_key, n, token).
+    """
+    doc, by = "doc_id", ["doc_id", "family"]
+    if keeps is not None:
+        hits = not_contained(hits, keeps, (doc, "unit_id"))
+    known = tokens.select(*by, "value_key", "n", "token").distinct()
+    last = tokens.groupBy(*by).agg(F.max("n").alias("last"))
+    keyed = hits.select(doc, "unit_id", "start", "end", "family", value_key(F.col("value")).alias("value_key"))
+    met = keyed.join(known, [*by, "value_key"], "left").join(last, by, "left")
+    first = F.min(F.struct("unit_id", "start")).over(Window.partitionBy(*by, "value_key"))
+    new = met.where("token is null").withColumn("first", first)
+    n = F.coalesce("last", F.lit(0)) + F.dense_rank().over(Window.partitionBy(*by).orderBy("first", "value_key"))
+    new = new.withColumn("token", F.concat(F.lit("<"), "family", F.lit("_"), n, F.lit(">")))
+    columns = [doc, "unit_id", "start", "end", "token"]
+    every = met.where("token is not null").select(*columns).unionByName(new.select(*columns))
+    return masked_units(units.select(doc, "unit_id", F.col(text_col).alias("text")), every, (doc, "unit_id")).select(doc, "unit_id", "masked_text", "n_masked")
+
+
 def first_seen(found: DataFrame) -> DataFrame:
     """Variants by document, family and value with the place they first stand at."""
     place = Window.partitionBy("doc_id", "family", "value").orderBy("unit_id", "start")

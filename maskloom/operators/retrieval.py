@@ -2,74 +2,55 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.functions.fold import PLACEHOLDER, ascii_tokens
+from maskloom.functions.fold import ascii_tokens
+from maskloom.functions.spans import let
 
 CHUNK, EXCERPT, TURNS, TURN_CHARS = 1200, 400, 8, 4000
 K1, B = 1.5, 0.75
-_HOLDER = re.compile(PLACEHOLDER)
-
-
-def split_line(line: str, size: int = CHUNK) -> list[str]:
-    """Pieces of at most about ``size`` characters, cut at the last space of the second half, never in a placeholder."""
-    out = []
-    while len(line) > size:
-        at = line.rfind(" ", size // 2, size + 1)
-        at = at if at > 0 else size
-        across = next((m for m in _HOLDER.finditer(line, max(0, at - 64), min(len(line), at + 64)) if m.start() < at < m.end()), None)
-        if across:
-            at = across.start() or across.end()
-        head, line = line[:at].rstrip(), line[at:].lstrip()
-        out += [head] * bool(head)
-    return out + [line] * bool(line.strip())
-
-
-def pack_lines(text: str | None, size: int = CHUNK) -> list[str]:
-    """Whole lines that are not blank packed into chunks of at most ``size`` characters."""
-    chunks: list[list[str]] = []
-    room = -1
-    for line in (text or "").splitlines():
-        for piece in split_line(line, size) if line.strip() else []:
-            if len(piece) + 1 > room or not chunks:
-                chunks.append([piece])
-                room = size - len(piece)
-            else:
-                chunks[-1].append(piece)
-                room -= len(piece) + 1
-    return ["\n".join(c) for c in chunks]
+#: Ends of lines, white space, and a place inside a placeholder.
+_LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
+_BLANK = r"[\s\p{Z}\x1C-\x1F\x85]"
+_IN_HOLDER = r"(?<=<[A-Z_]{0,60}[0-9]{0,12})[A-Z_]*[0-9]*>"
+
+
+def line_pieces(line: Column, size: int = CHUNK) -> Column:
+    """An over-long line as pieces of at most ``size`` characters, by one regular expression.
+
+    A piece is the rest of the line if it fits; else it ends before the last space that leaves it at
+    least half the size; else it is as long as can be without an end inside a placeholder. White space
+    around cuts goes.
+    """
+    piece = rf"(?s)(?:\A|{_BLANK}*+)(.{{1,{size}}}\z|.{{{size // 2},{size}}}(?= )|.{{1,{size}}}(?!{_IN_HOLDER}))"
+    parts = F.regexp_extract_all(line, F.lit(piece), F.lit(1))
+    rest = lambda x, i, p: (i == F.size(p) - 1) & F.endswith(line, x)
+    cut = let(parts, lambda p: F.transform(p, lambda x, i: F.when(rest(x, i, p), x).otherwise(F.regexp_replace(x, f"{_BLANK}+$", ""))))
+    return F.filter(cut, lambda x: x.rlike(f"^{_BLANK}*$") == F.lit(False))
+
+
+def chunked(text: Column, size: int = CHUNK) -> Column:
+    """array of chunks: lines that are not blank, packed in order while they fit; over-long lines in pieces."""
+    lines = F.filter(F.split(text, _LINE_END), lambda x: ~x.rlike(f"^{_BLANK}*$"))
+    pieces = F.flatten(F.transform(lines, lambda x: F.when(F.char_length(x) <= size, F.array(x)).otherwise(line_pieces(x, size))))
+
+    def pack(acc: Column, x: Column) -> Column:
+        fits = F.char_length(acc["open"]) + 1 + F.char_length(x) <= size
+        return (
+            F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), x.alias("open")))
+            .when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit("\n"), x).alias("open")))
+            .otherwise(F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), x.alias("open")))
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+    return F.aggregate(pieces, start, pack, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
 
 
 def chunk_texts(docs: DataFrame, size: int = CHUNK, doc: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, part from 1, text) of every chunk; a scan with an Arrow map."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, n, c) for d, t in zip(b["doc"], b["text"], strict=True) for n, c in enumerate(pack_lines(t, size), 1)]
-            yield pd.DataFrame(rows, columns=["doc", "part", "text"])
-
-    kind = docs.schema[doc].dataType.simpleString()
-    rows = docs.select(F.col(doc).alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc {kind}, part int, text string").withColumnRenamed("doc", doc)
-
-
-def packed_lines(text: Column, size: int = CHUNK) -> Column:
-    """JVM form of ``pack_lines`` for text without over-long lines: array of chunks by a fold over lines."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    last = lambda acc: F.element_at(acc, -1)
-    fits = lambda acc, x: F.char_length(last(acc)) + 1 + F.char_length(x) <= size
-    return F.aggregate(
-        lines,
-        F.array().cast("array<string>"),
-        lambda acc, x: F.when(F.size(acc) == 0, F.array(x))
-        .when(fits(acc, x), F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.concat(last(acc), F.lit("\n"), x)))
-        .otherwise(F.array_append(acc, x)),
-    )
+    """(doc, part from 1, text) of every chunk; JVM expressions of one scan."""
+    rows = docs.select(doc, F.posexplode(chunked(F.col(text_col), size)).alias("part", "text"))
+    return rows.withColumn("part", F.col("part") + 1)
 
 
 def bm25(chunks: DataFrame, query: str, k: int | None = 8, tokens=ascii_tokens, order: tuple[str, ...] = ("doc_id", "part"), text_col: str = "text") -> DataFrame:

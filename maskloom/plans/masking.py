@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.functions.spans import resolved, spliced
+from maskloom.functions.fold import collapsed
+from maskloom.functions.spans import let, resolved, spans_in, spliced, unmarked, within
 from maskloom.operators import audit, mask
 from maskloom.operators.detect import FOUND, found_in, prioritised
 from maskloom.operators.recognizers import GENERAL, Recognizer
@@ -39,51 +40,100 @@ def mask_documents(units: DataFrame, recognizers: Iterable[Recognizer] = GENERAL
     return mask.masked_units(units, tokens, keys, text_col), tokens
 
 
+def masked_value(text: Column, spans: Column) -> Column:
+    """struct<text, n>: the text with its spans resolved, numbered and replaced, all inside the row."""
+
+    def numbered(all_: Column) -> Column:
+        value = lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"])
+        return F.transform(all_, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), family_of(s["entity_type"]).alias("family"), mask.value_key(value(s)).alias("key")))
+
+    def replaced(keyed: Column) -> Column:
+        def token(s: Column) -> Column:
+            same = F.array_distinct(F.transform(F.filter(keyed, lambda t: t["family"] == s["family"]), lambda t: t["key"]))
+            name = F.concat(F.lit("<"), s["family"], F.lit("_"), F.array_position(same, s["key"]), F.lit(">"))
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), name.alias("token"))
+
+        done = F.when(F.size(keyed) > 0, let(F.transform(keyed, token), lambda e: spliced(text, e))).otherwise(text)
+        return F.struct(done.alias("text"), F.greatest(F.size(keyed), F.lit(0)).alias("n"))
+
+    every = F.coalesce(spans, F.array().cast(f"array<{FOUND}>"))
+    return let(let(resolved(prioritised(every)), numbered), replaced)
+
+
 def masked_rows(units: DataFrame, recognizers: Iterable[Recognizer] = GENERAL, text_col: str = "text") -> DataFrame:
     """Units with masked_text and n_masked where each unit is a whole document.
 
     Placeholder numbers need no other row then, so detection, resolution, numbering and splicing all
     stay inside the row: one scan, no shuffle. Same result as ``mask_documents``.
     """
-    spans = units.withColumn("__s", resolved(prioritised(found_in(F.col(text_col), tuple(recognizers)))))
-    value = lambda s: F.substr(F.col(text_col), s["start"] + 1, s["end"] - s["start"])
-    named = F.transform("__s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), family_of(s["entity_type"]).alias("family"), mask.value_key(value(s)).alias("key")))
-    spans = spans.withColumn("__k", named)
+    done = units.withColumn("__m", masked_value(F.col(text_col), found_in(F.col(text_col), recognizers)))
+    return done.withColumn("masked_text", F.col("__m.text")).withColumn("n_masked", F.col("__m.n")).drop("__m")
 
-    def token(s: Column) -> Column:
-        same = F.array_distinct(F.transform(F.filter("__k", lambda t: t["family"] == s["family"]), lambda t: t["key"]))
-        name = F.concat(F.lit("<"), s["family"], F.lit("_"), F.array_position(same, s["key"]), F.lit(">"))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), name.alias("token"))
 
-    done = spans.withColumn("__e", F.transform("__k", token))
-    text = F.when(F.size("__e") > 0, spliced(F.col(text_col), F.col("__e"))).otherwise(F.col(text_col))
-    return done.withColumn("masked_text", text).withColumn("n_masked", F.greatest(F.size("__e"), F.lit(0))).drop("__s", "__k", "__e")
+def term_spans(text: Column, terms: Column, suffix: str = "") -> Column:
+    """Spans of every place of an array of terms: case ignored, white space any run of it, then ``suffix``."""
+    pattern = lambda t: F.concat(F.lit(r"(?iu)\Q"), F.regexp_replace(F.replace(collapsed(t), F.lit(r"\E"), F.lit("")), " ", r"\\E\\s+\\Q"), F.lit(r"\E" + suffix))
+    named = lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value"), F.lit("SENSITIVE").alias("entity_type"), F.lit(1.0).alias("score"), F.lit("deny").alias("source"))
+    return F.flatten(F.transform(F.filter(terms, lambda t: F.trim(t) != ""), lambda t: F.transform(spans_in(text, pattern(t)), named)))
 
 
-def process(units: DataFrame, verdicts: DataFrame | None = None, recognizers: Iterable[Recognizer] = GENERAL, text_col: str = "text") -> DataFrame:
-    """Units through to a routed state: masked text, digest, audit, status. ``verdicts``: (doc_id, raw) of a model."""
-    masked = masked_rows(units, recognizers, text_col).select("doc_id", "masked_text", "n_masked")
-    found = audit.heuristic_audit(masked)
+def audited_rows(units: DataFrame, recognizers: Iterable[Recognizer] = GENERAL, rounds: int = 2, text_col: str = "text") -> DataFrame:
+    """Units (whole documents) with masked_text, n_masked, residuals (what the last audit still found) and repair_terms.
+
+    Mask, audit, and while hard patterns are left, at most ``rounds`` times: what was found is denied
+    from then on, in all its places and with all that earlier rounds found, and the original is masked
+    anew. Rounds are expressions of the same row, worked out only where the one before left something:
+    one scan, no join, whatever repeats.
+    """
+    text, recognizers = F.col(text_col), tuple(recognizers)
+    rows = units.withColumn("__s", F.coalesce(found_in(text, recognizers), F.array().cast(f"array<{FOUND}>")))
+    rows = rows.withColumn("__m", masked_value(text, F.col("__s"))).withColumn("__r", F.coalesce(audit.residuals(F.col("__m.text")), F.array().cast(f"array<{audit.ITEM}>")))
+    rows = rows.withColumn("__t", F.array().cast("array<string>"))
+    for _ in range(rounds - 1):
+        dirty = F.size("__r") > 0
+        terms = F.array_distinct(F.concat("__t", F.transform("__r", lambda r: F.trim(r["value"]))))
+        rows = rows.withColumn("__t", F.when(dirty, terms).otherwise(F.col("__t")))
+        again = masked_value(text, F.concat("__s", let(unmarked(text), lambda t: term_spans(t, F.col("__t")))))
+        rows = rows.withColumn("__m", F.when(dirty, again).otherwise(F.col("__m")))
+        rows = rows.withColumn("__r", F.when(dirty, audit.residuals(F.col("__m.text"))).otherwise(F.col("__r")))
+    out = rows.withColumn("masked_text", F.col("__m.text")).withColumn("n_masked", F.col("__m.n")).withColumn("residuals", F.col("__r")).withColumn("repair_terms", F.col("__t"))
+    return out.drop("__s", "__m", "__r", "__t")
+
+
+def process(units: DataFrame, verdicts: DataFrame | None = None, recognizers: Iterable[Recognizer] = GENERAL, text_col: str = "text", rounds: int = 2) -> DataFrame:
+    """Units through to a routed state: masked text, digest, audit, status. ``verdicts``: (doc_id, raw) of a model.
+
+    One scan; only where verdicts are given are they joined in by doc_id. Repeated ids stay rows of their own.
+    """
+    rows = audited_rows(units, recognizers, rounds, text_col).withColumn("h", audit.judged(F.col("residuals")))
     if verdicts is not None:
-        model = verdicts.select("doc_id", audit.parse_verdict(F.col("raw")).alias("v")).select("doc_id", "v.*")
+        rows = rows.join(verdicts.select("doc_id", audit.parse_verdict(F.col("raw")).alias("v")), "doc_id", "left")
     else:
-        model = masked.select("doc_id").limit(0).select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in (("approved", "boolean"), ("risk_level", "string"), ("items", "array<struct<type:string,length:int>>"), ("next_action", "string"), ("ok", "boolean"))])
-    both = audit.combined_audit(found, model)
-    state = masked.join(both, "doc_id").withColumn("digest", audit.digest(F.col("masked_text")))
-    return audit.route(state.select("doc_id", "masked_text", "n_masked", "digest", "risk_level", "n_items", F.col("approved").alias("clean"), "llm_ok", F.lit(False).alias("blocking"), F.lit(0).alias("pending"), F.lit(True).alias("has_output")))
+        rows = rows.withColumn("v", F.lit(None).cast(audit.VERDICT_TYPE))
+    rows = rows.withColumn("c", audit.combined(F.col("h"), F.col("v"))).withColumn("digest", audit.digest(F.col("masked_text")))
+    state = rows.select("doc_id", "masked_text", "n_masked", "digest", "c.risk_level", "c.n_items", F.col("c.approved").alias("clean"), "c.llm_ok", F.lit(False).alias("blocking"), F.lit(0).alias("pending"), F.col("masked_text").isNotNull().alias("has_output"))
+    return audit.route(state)
 
 
-def repaired(units: DataFrame, first: DataFrame, recognizers: Iterable[Recognizer] = GENERAL, text_col: str = "text") -> DataFrame:
-    """Second round of mask and audit: only documents whose masked text still holds hard patterns are masked again.
+def repaired(units: DataFrame, recognizers: Iterable[Recognizer] = GENERAL, text_col: str = "text", rounds: int = 2) -> DataFrame:
+    """(doc_id, masked_text, n_left) after the mask-audit-repair rounds."""
+    rows = audited_rows(units, recognizers, rounds, text_col)
+    return rows.select("doc_id", "masked_text", F.size("residuals").alias("n_left"))
 
-    What the audit found is masked as SENSITIVE spans in the original text. ``first`` is (doc_id, masked_text).
+
+def redecided(units: DataFrame, recognizers: Iterable[Recognizer] = GENERAL, text_col: str = "text") -> DataFrame:
+    """Documents masked anew from the original with a reviewer's decisions, in one scan.
+
+    ``units`` has (doc_id, text, revision, mask_terms, keep_terms), the terms as arrays. Masked terms are
+    denied in all their places; no span inside a place of a kept term (with an apostrophe suffix) is
+    masked. The revision goes up, and the document goes back to review until it is audited again.
     """
-    left = first.select("doc_id", F.explode(audit.residuals(F.col("masked_text"))).alias("r")).select("doc_id", F.trim("r.value").alias("term")).distinct()
-    dirty = units.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
-    pool = left.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
-    rows = dirty.join(pool, "doc_id").select("doc_id", text_col, F.explode("terms").alias("term"))
-    start = F.instr(F.col(text_col), F.col("term")) - 1
-    denied = rows.where(F.contains(F.col(text_col), F.col("term"))).select("doc_id", start.alias("start"), (start + F.char_length("term")).alias("end"), F.col("term").alias("value"), F.lit("SENSITIVE").alias("entity_type"), F.lit(1.0).alias("score"), F.lit("deny").alias("source"))
-    again, _ = mask_documents(dirty, recognizers, denied, text_col=text_col)
-    clean = first.join(left.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "masked_text")
-    return clean.unionByName(again.select("doc_id", "masked_text"))
+    text = F.col(text_col)
+    none = F.array().cast("array<string>")
+    terms = lambda c: F.coalesce(F.col(c), none)
+    denied = let(unmarked(text), lambda t: term_spans(t, terms("mask_terms")))
+    kept = let(unmarked(text), lambda t: term_spans(t, terms("keep_terms"), r"(?:['’]\p{L}+)?"))
+    rows = units.withColumn("__k", kept).withColumn("__s", F.concat(found_in(text, tuple(recognizers)), denied))
+    free = F.filter("__s", lambda s: ~within(s, F.col("__k")))
+    rows = rows.withColumn("__m", masked_value(text, free))
+    return rows.select("doc_id", F.col("__m.text").alias("masked_text"), F.col("__m.n").alias("n_masked"), (F.col("revision") + 1).alias("revision"), F.lit("needs_human_review").alias("status"))

@@ -1,6 +1,8 @@
 import io
 import json
 import os
+import random
+import re
 import subprocess
 import sys
 import zipfile
@@ -8,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from maskloom.operators import audit, metrics, retrieval, review, units
+from maskloom.operators import audit, detect, metrics, retrieval, review, units
 from maskloom.operators import recognizers as R
 from maskloom.plans import masking
 from maskloom.sources import layers, office, uploads
@@ -37,13 +39,13 @@ def test_verdicts_fail_closed(spark):
     raw = [good, f"text {{}} {good}", f"```json\n{good}\n```", '{"approved": true', "no json", None, '{"approved": "yes", "risk_level": "low"}', '{"approved": true, "risk_level": "tiny"}', '{"a": "}"} ' + good, "{bad} " + good]
     out = [r["v"] for r in table(spark, list(enumerate(raw)), "i int, raw string").orderBy("i").select(audit.parse_verdict(F.col("raw")).alias("v")).collect()]
     assert [v["ok"] for v in out] == [True, False, True, False, False, False, False, False, False, False]
-    assert [tuple(i) for i in out[0]["items"]] == [("EMAIL", 4), ("UNKNOWN", 1)]
+    assert [tuple(i) for i in out[0]["items"]] == [("EMAIL", 4, None), ("UNKNOWN", 1, None)]
     assert all(not v["approved"] and v["risk_level"] == "high" for v in out if not v["ok"])
 
 
 def test_combined_audit(spark):
     h = table(spark, [(i, i != 3, "low" if i != 3 else "high", 0 if i != 3 else 2, []) for i in range(5)], "doc_id long, approved boolean, risk_level string, n_found long, codes array<string>")
-    item = [("EMAIL", 3)]
+    item = [("EMAIL", 3, None)]
     m = table(spark, [(0, True, "low", [], "approve", True), (1, True, "low", item, "approve", True), (2, True, "low", [], "approve", False), (3, True, "low", [], "approve", True)], f"doc_id long, {audit.VERDICT}")
     out = {r["doc_id"]: tuple(r)[1:] for r in audit.combined_audit(h, m).collect()}
     assert out == {0: (True, "low", 0, True), 1: (False, "low", 1, True), 2: (False, "high", 0, False), 3: (False, "high", 2, True), 4: (False, "high", 0, False)}
@@ -60,10 +62,69 @@ def test_whole_plan_and_repair(spark):
     docs = table(spark, [(0, "ada@x.org"), (1, "clean"), (2, "secret: abcdefghijklmn and ada@x.org")], "doc_id long, text string")
     verdict = json.dumps({"approved": True, "risk_level": "low", "remaining_sensitive_items": [], "recommended_next_action": "approve"})
     out = {r["doc_id"]: r["status"] for r in masking.process(docs, table(spark, [(0, verdict), (2, verdict)], "doc_id long, raw string"), R.PLAIN).collect()}
-    assert out == {0: "approved", 1: "needs_human_review", 2: "needs_human_review"}
-    first = masking.masked_rows(docs, R.PLAIN).select("doc_id", "masked_text")
-    again = {r["doc_id"]: r["masked_text"] for r in masking.repaired(docs, first, R.PLAIN).collect()}
+    assert out == {0: "approved", 1: "needs_human_review", 2: "approved"}  # the second was repaired
+    again = {r["doc_id"]: r["masked_text"] for r in masking.repaired(docs, R.PLAIN).collect()}
     assert again[0] == "<EMAIL_1>" and again[1] == "clean" and "abcdef" not in again[2] and "ada@" not in again[2]
+    twice = table(spark, [(5, "x"), (5, "ada@x.org"), (None, None)], "doc_id long, text string")
+    assert sorted(str(r["masked_text"]) for r in masking.process(twice, recognizers=R.PLAIN).collect()) == ["<EMAIL_1>", "None", "x"]
+    plan = masking.process(docs, recognizers=R.PLAIN)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def rounds_by_hand(text, rounds):
+    """Mask, audit, deny what was found and mask again, in plain Python, with e-mail addresses as the only detector."""
+    terms, out = [], text
+    for n in range(rounds):
+        spans = [(m.start(), m.end(), "EMAIL") for m in re.finditer(R.EMAIL, text)]
+        for t in terms:
+            spans += [(m.start(), m.end(), "SENSITIVE") for m in re.finditer(r"\s+".join(map(re.escape, t.split())), text, re.IGNORECASE)]
+        kept = []
+        for x in sorted(spans, key=lambda x: (x[2] != "EMAIL", x[0] - x[1], x[0])):
+            if not any(x[0] < k[1] and k[0] < x[1] for k in kept):
+                kept.append(x)
+        numbers, out, at = {}, "", 0
+        for a, b, family in sorted(kept):
+            known = numbers.setdefault(family, {})
+            token = known.setdefault(" ".join(text[a:b].lower().split()), f"<{family}_{len(known) + 1}>")
+            out, at = out + text[at:a] + token, b
+        out += text[at:]
+        left = [m.group().strip() for c, p in audit.HARD_PATTERNS if c != "EMAIL" for m in re.finditer(p, re.sub(r"<[A-Z_]+_\d+>", " ", out))]
+        if not left:
+            break
+        terms += left
+    return out, len(left)
+
+
+def test_repair_rounds_against_plain_python(spark):
+    texts = [
+        "secret: abcdefghijklmn x secret: abcdefghijklmn y", "SECRET: ABCDEFGHIJKLMN and secret:  abcdefghijklmn, ada@x.org, token=zyxwvutsrqpo", "clean", "",
+        "sk_live_abcdefgh12 sk_live_abcdefgh12. ghp_abcdefghij0123456789 0532 123 45 67 / 0532 123 45 67", "4111 1111 1111 1111; 4111 1111 1111 1111",
+    ]
+    df = table(spark, list(enumerate(texts)), "doc_id long, text string")
+    for rounds in (1, 2, 3):
+        out = {r["doc_id"]: (r["masked_text"], r["n_left"]) for r in masking.repaired(df, (R.PLAIN[0],), rounds=rounds).collect()}
+        assert out == {i: rounds_by_hand(t, rounds) for i, t in enumerate(texts)}
+
+
+#: Texts in which word bounds, digits and case of other scripts matter.
+SCRIPTS = [
+    "ş.öz@örnek.com ve 34 ŞB 123; tr33 0006 1005 1978 6457 8413 26 x", "é4111 1111 1111 1111é 4111-1111-1111-1111 é", "tel +90 (532) 123-45-67, 0212 555 34 76.", "123-45-6789 10000000146 1234567890 U12345678",
+    "ıTR330006100519786457841326ş TR330006100519786457841326", "05321234567 ğ05321234567 +90 532 123 45 67", "Secret:\u00a0abcdefghijklmnop API-KEY = abcdefghijkl password abcdefghijklm", "sk_live_abcdefgh1 xsk_live_abcdefgh1 AKIAABCDEFGHIJ12 ghp_abcdefghij0123456789 AIza0123456789abcdefgh",
+    "٠١٢٣٤٥٦٧٨٩ 34 abc 123", "", "99 ÖÇŞ 9999 99ÖÇŞ99",
+]
+
+
+def test_audit_and_log_patterns_against_pythons_re(spark):
+    df = table(spark, list(enumerate(SCRIPTS)), "i int, t string")
+    rows = df.select("i", audit.redacted(F.col("t")).alias("r"), audit.mini_redacted(F.col("t")).alias("m"), audit.residuals(F.col("t")).alias("h")).collect()
+    for r in rows:
+        want = SCRIPTS[r["i"]]
+        mini = re.sub(audit.NUMBERS, "<NUM>", re.sub(audit.LOG_PATTERNS[0][1], "<EMAIL>", want))
+        hard = [(c, m.start(), m.end(), m.group()) for c, p in audit.HARD_PATTERNS for m in re.finditer(p, want)]
+        for label, pattern in audit.LOG_PATTERNS:
+            want = re.sub(pattern, f"<{label}_REDACTED>", want)
+        assert r["r"] == want and r["m"] == mini
+        assert [tuple(x) for x in r["h"] if x["code"] != "TCKN"] == hard
 
 
 def test_log_redaction_order(spark):
@@ -112,18 +173,37 @@ def test_status_steps(spark):
 # --- retrieval ---
 
 
+def chunks_by_hand(text, size):
+    """The packing rule, character by character."""
+    inside = lambda t, at: any(m.start() < at < m.end() for m in re.finditer(r"<[A-Z_]+_[0-9]+>", t))
+    pieces = []
+    for line in (text or "").splitlines():
+        rest = line if line.strip() else ""
+        while len(rest) > size:
+            at = max((i for i in range(size // 2, size + 1) if rest[i] == " "), default=0)
+            at = at or max(i for i in range(1, size + 1) if not inside(rest, i))
+            pieces.append(rest[:at].rstrip())
+            rest = rest[at:].lstrip()
+        pieces.append(rest)
+    out = []
+    for p in filter(str.strip, pieces):
+        if out and len(out[-1]) + 1 + len(p) <= size:
+            out[-1] += "\n" + p
+        else:
+            out.append(p)
+    return out
+
+
 def test_chunks(spark):
-    texts = ["a b\n\n c\n" + "x" * 20, "word " * 40, "y" * 70, "p <PERSON_12> " * 10, None, "", "\n \n"]
+    rng = random.Random(4)
+    texts = ["a b\n\n c\n" + "x" * 20, "word " * 40, "y" * 70, "p <PERSON_12> " * 10, None, "", "\n \n", "z" * 25 + "<PERSON_1>" * 6, "\U0001f642 é" * 30, "a\r\nb\x0bc\x85d  e", " " * 40 + "x " * 30]
+    texts += ["".join(rng.choice(["ab", " ", "  ", "\n", "<ORG_7>", "longerword", "é"]) for _ in range(rng.randrange(120))) for _ in range(40)]
     df = table(spark, list(enumerate(texts)), "doc_id long, text string")
-    rows = retrieval.chunk_texts(df, 30).collect()
-    assert all(len(r["text"]) <= 30 + 64 and r["text"].strip() for r in rows)
-    assert {r["doc_id"] for r in rows} == {0, 1, 2, 3}
-    for i in range(4):
-        parts = [r["text"] for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["part"])]
-        assert "".join("".join(parts).split()) == "".join(texts[i].split())
-        assert all(p.count("<") == p.count(">") for p in parts)
-    short = df.where("doc_id in (0)").select(retrieval.packed_lines(F.col("text"), 30).alias("c")).first()["c"]
-    assert short == retrieval.pack_lines(texts[0], 30)
+    found = {}
+    for r in retrieval.chunk_texts(df, 30).orderBy("doc_id", "part").collect():
+        found.setdefault(r["doc_id"], []).append((r["part"], r["text"]))
+    for i, t in enumerate(texts):
+        assert found.get(i, []) == list(enumerate(chunks_by_hand(t, 30), 1)), t
 
 
 def test_bm25_against_plain_python(spark):
@@ -202,8 +282,10 @@ def test_mentions(spark):
 def test_small_metrics(spark):
     df = table(spark, [("aXaXa", "aXa", 2), ("abc", "z", 1), ("abc", "b", 1)], "t string, s string, n int")
     assert [r[0] for r in df.select(metrics.locate(F.col("t"), F.col("s"), F.col("n"))).collect()] == [2, None, 1]
-    v = table(spark, [([float(i) for i in range(1, 21)],), ([7.0],)], "v array<double>")
-    assert [r[0] for r in v.select(metrics.nearest_rank(F.col("v"), 0.95)).collect()] == [19.0, 7.0]
+    values = {"a": [float(i) for i in range(1, 21)], "b": [7.0], "c": [1.0] * 90 + [2.0] * 9 + [1e9], "d": [None], "e": [0.0, None, -5.0]}
+    v = table(spark, [(g, x) for g, xs in values.items() for x in xs], "g string, v double")
+    for q, want in ((0.95, {"a": 19.0, "b": 7.0, "c": 2.0, "e": 0.0}), (1.0, {"a": 20.0, "b": 7.0, "c": 1e9, "e": 0.0}), (0.0, {"a": 1.0, "b": 7.0, "c": 1.0, "e": -5.0})):
+        assert {r["g"]: r["ranked"] for r in metrics.nearest_rank(v, "g", "v", q, buckets=4).collect()} == want
     c = table(spark, [("Ada Love", "x Love y", True), ("Ada", "x", True), ("Ada", "x", False)], "surface string, masked_text string, processed boolean")
     assert [r["escape"] for r in metrics.escapes(c).collect()] == [True, False, True]
     o = table(spark, [(["a", "b", "a", "t", "c", "d"], "t", 1)], "d array<string>, t string, s int")
@@ -241,6 +323,21 @@ XLSX = package(**{
 })
 
 
+def test_workbooks(monkeypatch):
+    book = f"""<workbook {S} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Second" r:id="rId9"/><sheet name="Bare" r:id="rId7"/><sheet name="First" r:id="rId1"/></sheets></workbook>"""
+    relation = "".join(f'<Relationship Id="{i}" Target="{t}"/>' for i, t in (("rId1", "worksheets/sheet1.xml"), ("rId9", "/xl/worksheets/sheet2.xml"), ("rId7", "worksheets/sheet3.xml")))
+    sheet = f'<worksheet {S}><sheetData><row><c r="A1"><v>{{}}</v></c><c r="B1"><v>x</v></c></row></sheetData></worksheet>'
+    comments = f'<comments {S}><commentList><comment ref="B2"><text><r><t>see </t></r><r><t>Ada</t></r></text></comment><comment><text><t> </t></text></comment></commentList></comments>'
+    body = package(**{
+        "xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": f"<Relationships>{relation}</Relationships>", "xl/worksheets/sheet1.xml": sheet.format(1), "xl/worksheets/sheet2.xml": sheet.format(2),
+        "xl/worksheets/sheet3.xml": f"<worksheet {S}/>", "xl/comments1.xml": comments, "xl/threadedComments/comments2.xml": "<broken",
+    })
+    a, b = [(0, 0, "2"), (0, 1, "x")], [(0, 0, "1"), (0, 1, "x")]
+    assert list(office.xlsx_blocks(body)) == [("heading", "Second", []), ("table", "", a), ("heading", "First", []), ("table", "", b), ("paragraph", "B2: see Ada", [])]
+    monkeypatch.setattr(office, "MOST_CELLS", 3)
+    assert list(office.xlsx_blocks(body))[2:] == [("heading", "First", []), ("table", "", b[:1]), ("paragraph", "B2: see Ada", []), ("warning", "truncated:workbook at 3 cells", [])]
+
+
 def test_uploads(spark, tmp_path):
     files = {"a.docx": DOCX, "b.XLSX": XLSX, "sub/c.pdf": b"%PDF-1.4", "d.txt": b"x", "e.pdf": b"zz", "f.docx": b"PK\x03\x04junk", ".hidden.pdf": b"%PDF", "~$a.docx": b"PK", "h.docx": package(x="y"), "big.pdf": b"%PDF" + b"0" * 5000}
     for name, body in files.items():
@@ -339,6 +436,9 @@ def test_generated_documents(spark):
     docs, mentions = synthetic.gold_documents(spark, 12)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(texts[m["doc_id"]][m["start"] : m["end"]] == m["surface"] for m in mentions.collect())
-    assert {r["canary_id"] for r in synthetic.canaries(spark).collect()} == set(synthetic.CANARIES)
+    assert {r["canary_id"] for r in synthetic.canaries(spark).collect()} == {c[0] for c in synthetic.CANARIES} | {"tckn"}
+    found = {r["marker"]: r["n"] for r in synthetic.placements(spark).select("marker", F.size(detect.found_in(F.col("text"))).alias("n")).collect()}
+    assert all(found[f"{c[0]}-contextual"] for c in synthetic.CANARIES if c[0] not in ("prs_en",))
+    assert synthetic.stress_plan(spark).count() == 72
     again, _ = synthetic.gold_documents(spark, 12)
     assert {r["doc_id"]: r["text"] for r in again.collect()} == texts
