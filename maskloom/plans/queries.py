@@ -12,24 +12,11 @@ from maskloom.functions.spans import regex_spans
 from maskloom.operators import audit, detect, lists, mask, metrics, propagate, report, retrieval, tables, units
 from maskloom.operators import recognizers as R
 from maskloom.plans import masking
+from maskloom.plans.registry import QUERIES, SQL, query
 from maskloom.session import ship
 from maskloom.sources import synthetic, uploads
 from maskloom.streaming import pipeline as streaming
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -39,7 +26,8 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
+    """A pattern as an SQL string. The other engine has no look-around: the digits that these keep out are in the run anyway."""
+    return "'" + pattern.replace(r"(?<!\d)", "").replace(r"(?!\d)", "").replace("'", "''") + "'"
 
 
 def _spans_sql(pattern: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
@@ -116,9 +104,10 @@ def card_luhn_spans(spark, d):
     return _found(spark, d).where("entity_type = 'CREDIT_CARD'").select("doc_id", "start", "end", "value")
 
 
-@query(_spans_sql(R.URL, "pages", "page_id", "html"))
+@query(_spans_sql(R.URL, "(SELECT page_id, 'see <' || url || '> and ' || html AS body FROM pages)", "page_id", "body"))
 def page_url_spans(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.explode(regex_spans(F.col("html"), R.URL)).alias("s")).select("page_id", "s.*")
+    body = F.concat(F.lit("see <"), "url", F.lit("> and "), "html")
+    return _t(spark, d, "pages").select("page_id", F.explode(regex_spans(body, R.URL)).alias("s")).select("page_id", "s.*")
 
 
 @query(f"""WITH {_FOUND} SELECT entity_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs, CAST(sum("end" - "start") AS BIGINT) AS chars FROM sp GROUP BY 1""")
@@ -181,12 +170,16 @@ def _nested(text: str, pairs) -> str:
     return text
 
 
-@query(f"SELECT doc_id, sha256({_nested('text', [(f'<{n}_REDACTED>', p) for n, p in audit.LOG_PATTERNS])}) AS redacted_sha FROM documents")
+#: The other engine's word bounds know ASCII only: the gap before a letter beyond it is taken off a card run after the fact.
+_LOGGED = [x for n, p in audit.LOG_PATTERNS for x in ((f"<{n}_REDACTED>", p), *([(r"<CARD_REDACTED>\1", r"<CARD_REDACTED>[ -](\pL)")] if n == "CARD" else []))]
+
+
+@query(f"SELECT doc_id, sha256({_nested('text', _LOGGED)}) AS redacted_sha FROM documents")
 def log_redaction(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(audit.redacted(F.col("text")), 256).alias("redacted_sha"))
 
 
-@query(f"SELECT conv_id, turn, {_nested('text', [('<EMAIL>', audit.LOG_PATTERNS[0][1]), ('<NUM>', '[0-9]{6,}')])} AS text FROM conversations")
+@query(f"SELECT conv_id, turn, {_nested('text', [('<EMAIL>', audit.LOG_PATTERNS[0][1]), ('<NUM>', audit.NUMBERS)])} AS text FROM conversations")
 def mini_redact(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", audit.mini_redacted(F.col("text")).alias("text"))
 
@@ -216,8 +209,8 @@ def allow_filter(spark, d):
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), w AS (
-  SELECT doc_id, list_filter(string_split_regex(line, '[^\pL]+'), lambda x: x <> '') AS w FROM l), c AS (
-  SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = upper(x))) AS caps FROM w)
+  SELECT doc_id, list_filter(list_transform(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda x: regexp_replace(x, '^[,;:()"''’]+|[,;:()"''’]+$', '', 'g')), lambda x: regexp_full_match(x, '\pL+')) AS w FROM l), c AS (
+  SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x))) AS caps FROM w)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE n >= 4 AND caps * 5 >= n * 4) AS n_caps FROM c GROUP BY doc_id""")
 def caps_lines(spark, d):
     """The capitals-line gate on whole lines."""
@@ -333,10 +326,9 @@ def masked_documents(spark, d):
 
 @query()
 def repair_round(spark, d):
-    docs = _docs(spark, d)
-    masked, _ = masking.mask_documents(docs, R.PLAIN)
-    out = masking.repaired(docs, masked.select("doc_id", "masked_text"), R.PLAIN)
-    return out.select("doc_id", audit.digest(F.col("masked_text")).alias("digest"))
+    """Documents after the mask-audit-repair rounds."""
+    out = masking.repaired(_docs(spark, d), R.PLAIN)
+    return out.select("doc_id", audit.digest(F.col("masked_text")).alias("digest"), "n_left")
 
 
 @query()
@@ -366,7 +358,7 @@ def _count_sql(p: str) -> str:
 
 
 @query(f"""WITH b AS (SELECT doc_id, regexp_replace(text, '<[A-Z_]+_[0-9]+>', ' ', 'g') AS bare FROM documents), c AS (
-  SELECT doc_id, {" + ".join(_count_sql(p) for _, p in audit.HARD_PATTERNS)} + len(list_filter(regexp_extract_all(bare, '[0-9]+'), lambda v: CASE WHEN length(v) = 11 THEN v[1] <> '0'
+  SELECT doc_id, {" + ".join(_count_sql(p) for _, p in audit.HARD_PATTERNS)} + len(list_filter(regexp_extract_all(bare, '\\b[0-9]+\\b'), lambda v: CASE WHEN length(v) = 11 THEN v[1] <> '0'
     AND CAST(v[10] AS INTEGER) = ((7 * (CAST(v[1] AS INTEGER) + CAST(v[3] AS INTEGER) + CAST(v[5] AS INTEGER) + CAST(v[7] AS INTEGER) + CAST(v[9] AS INTEGER)) - (CAST(v[2] AS INTEGER) + CAST(v[4] AS INTEGER) + CAST(v[6] AS INTEGER) + CAST(v[8] AS INTEGER))) % 10 + 10) % 10
     AND CAST(v[11] AS INTEGER) = list_sum(list_transform(range(1, 11), lambda i: CAST(v[i] AS INTEGER))) % 10 ELSE false END)) AS n FROM b)
 SELECT doc_id, n = 0 AS approved, CASE WHEN n > 0 THEN 'high' ELSE 'low' END AS risk_level, CAST(n AS BIGINT) AS n_found FROM c""")
@@ -444,7 +436,7 @@ def citation_check(spark, d):
     return rows.select("conv_id", "turn", retrieval.normal_citations(F.col("t")).alias("normal"), (retrieval.citations_valid(F.col("t"), known) & seen).alias("valid"))
 
 
-@query(f"""SELECT conv_id, turn, role, substr({_nested('text', [('<EMAIL>', audit.LOG_PATTERNS[0][1]), ('<NUM>', '[0-9]{6,}')])}, 1, 4000) AS text
+@query(f"""SELECT conv_id, turn, role, substr({_nested('text', [('<EMAIL>', audit.LOG_PATTERNS[0][1]), ('<NUM>', audit.NUMBERS)])}, 1, 4000) AS text
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 8""")
 def recent_turns(spark, d):
     return retrieval.recent_turns(_t(spark, d, "conversations"))
@@ -606,8 +598,9 @@ def redaction_density(spark, d):
 @query("""WITH g AS (SELECT event_type, list_sort(list(value)) AS v, median(value) AS median FROM events GROUP BY 1)
 SELECT event_type, CAST(len(v) AS BIGINT) AS n, v[1 + CAST(round_even(0.95 * (len(v) - 1), 0) AS INTEGER)] AS p95, round(median, 6) AS median FROM g""")
 def nearest_rank_p95(spark, d):
-    g = _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.collect_list("value").alias("v"), F.median("value").alias("m"))
-    return g.select("event_type", "n", metrics.nearest_rank(F.col("v"), 0.95).alias("p95"), F.round("m", 6).alias("median"))
+    e = _t(spark, d, "events")
+    medians = e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"))
+    return metrics.nearest_rank(e, "event_type", "value", 0.95).withColumnRenamed("ranked", "p95").join(medians, "event_type")
 
 
 _GATE = """m AS (SELECT o_orderkey, o_orderkey % 4 AS critical_mentions, CAST(o_orderkey % 3 AS DOUBLE) AS critical_false_negatives, o_orderkey % 5 AS critical_entities, 0.9 + o_orderkey % 11 / 100 AS critical_entity_recall,
@@ -716,7 +709,21 @@ def streamed_masking(spark, d):
     return spark.read.parquet(f"{work}/out").drop("batch", "masked_text")
 
 
-@query()
+_FOLD = """list_reduce(list_transform(list_sort(a), lambda x: [x]), lambda acc, x: CASE
+    WHEN len(list_filter(acc, lambda t: t."start" < x[1]."end" AND x[1]."start" < t."end")) = 0 THEN list_concat(acc, x)
+    WHEN len(list_filter(acc, lambda t: x[1]."start" <= t."start" AND t."end" <= x[1]."end")) > 0 THEN
+      list_concat(list_filter(acc, lambda t: NOT (t."start" < x[1]."end" AND x[1]."start" < t."end")),
+        list_transform([list_sort(list_filter(acc, lambda t: x[1]."start" <= t."start" AND t."end" <= x[1]."end"))[1]], lambda f: {'tier': f.tier, 'rank': f.rank, 'size': f.size,
+          'start': least(x[1]."start", list_min(list_transform(list_filter(acc, lambda t: t."start" < x[1]."end" AND x[1]."start" < t."end"), lambda t: t."start"))), 'entity_type': f.entity_type,
+          'end': greatest(x[1]."end", list_max(list_transform(list_filter(acc, lambda t: t."start" < x[1]."end" AND x[1]."start" < t."end"), lambda t: t."end"))), 'source': f.source, 'score': f.score}))
+    ELSE acc END)"""
+
+
+@query(f"""WITH {_FOUND}, {_PRED}, every AS (
+  SELECT doc_id, CASE WHEN entity_type = 'PHONE_NUMBER' THEN 1 ELSE 0 END AS tier, CAST(score AS DOUBLE) AS score, "start", entity_type, "end", 'pattern' AS source FROM sp
+  UNION ALL SELECT doc_id, 2, 0.5, "start", 'PERSON', "end", 'model' FROM pred), g AS (
+  SELECT doc_id, list({{'tier': tier, 'rank': -score, 'size': "start" - "end", 'start': "start", 'entity_type': entity_type, 'end': "end", 'source': source, 'score': score}}) AS a FROM every GROUP BY 1)
+SELECT doc_id, s."start" AS "start", s."end" AS "end", s.entity_type AS entity_type, s.score AS score, s.source AS source FROM (SELECT doc_id, unnest({_FOLD}) AS s FROM g)""")
 def resolved_overlaps(spark, d):
     """Overlapping predictions and gold spans of each document by the greedy rule."""
     gold = _found(spark, d)
@@ -799,4 +806,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return masking.masked_rows(_docs(spark, d), R.GENERAL).select("doc_id", "masked_text", "n_masked")
 
 
+from maskloom.plans import probes, workflow  # noqa: E402, F401 - they register more
+
 __all__ = ["QUERIES", "SQL", "flagship"]
