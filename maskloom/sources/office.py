@@ -1,4 +1,4 @@
-"""DOCX and XLSX files as blocks and cells, by the standard library. PDF needs a reader that is passed in."""
+"""DOCX and XLSX files as blocks and cells, by the standard library; PDF by ``sources.pdf`` or a reader that is passed in."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from maskloom.sources.pdf import pdf_blocks
+
 BLOCKS = "path string, ord int, block_id string, type string, text string, cells array<struct<row:int,col:int,text:string>>, warning string"
 #: Bounds of what is read of a workbook.
 MOST_CELLS = 200_000
@@ -124,20 +126,20 @@ def xlsx_blocks(body: bytes) -> Iterator[tuple]:
 def extract_blocks(files: DataFrame, pdf: Callable[[bytes], Iterator[tuple]] | None = None) -> DataFrame:
     """Blocks of checked files (path, kind, content); a file that cannot be read gives one row with a warning.
 
-    ``pdf`` reads a PDF's bytes into (type, text, cells) if a reader is at hand.
+    ``pdf`` reads a PDF's bytes into (type, text, cells) and maybe a block id, where a better reader is at hand.
     """
-    readers = {"docx": docx_blocks, "xlsx": xlsx_blocks} | ({"pdf": pdf} if pdf else {})
+    readers = {"docx": docx_blocks, "xlsx": xlsx_blocks, "pdf": pdf or pdf_blocks}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, kind, content in zip(b["path"], b["kind"], b["content"], strict=True):
                 rows = []
                 try:
-                    for n, (what, text, cells) in enumerate(readers[kind](bytes(content))):
+                    for n, (what, text, cells, *name) in enumerate(readers[kind](bytes(content))):
                         if what == "warning":
                             rows.append((path, n, f"b{n}", "paragraph", "", [], text))
                             continue
-                        rows.append((path, n, f"b{n}", what, text, [{"row": r, "col": c, "text": t} for r, c, t in cells], None))
+                        rows.append((path, n, name[0] if name else f"b{n}", what, text, [{"row": r, "col": c, "text": t} for r, c, t in cells], None))
                 except Exception as e:  # whatever a broken file raises fails closed
                     rows = [(path, 0, "b0", "paragraph", "", [], f"extract_failed:{type(e).__name__}")]
                 if rows:

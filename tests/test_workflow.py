@@ -323,6 +323,30 @@ XLSX = package(**{
 })
 
 
+def test_pdf_text():
+    import zlib
+
+    from maskloom.sources.pdf import pdf_blocks
+
+    def stream(head, data):
+        return b"<<" + head + b"/Length %d>>\nstream\n" % len(data) + data + b"\nendstream"
+
+    cmap = b"1 beginbfchar <01> <015E> endbfchar 1 beginbfrange <02> <04> <0061> endbfrange"
+    one = b"BT /F1 12 Tf 72 700 Td (Ada \\(L\\)) Tj 0 -14 Td [(Lov) 20 (e) -300 (ace)] TJ ET BT /F1 10 Tf 1 0 0 1 72 500 Tm (Far) Tj 200 0 Td (\\311t\\351) Tj T* (next) Tj ET"
+    two = b"BT /F2 12 Tf 10 10 Td <01020304> Tj ET"
+    inner = [b"<</Type/Page/Parent 2 0 R/Contents[6 0 R 8 0 R]>>"]
+    packed = zlib.compress(b"4 0 " + inner[0])
+    objects = {
+        1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R 4 0 R 10 0 R]/Resources<</Font<</F1 5 0 R/F2 7 0 R>>>>>>", 3: b"<</Type/Page/Parent 2 0 R/Contents 9 0 R>>",
+        5: b"<</Type/Font/Subtype/Type1>>", 6: stream(b"", two), 7: b"<</Type/Font/ToUnicode 11 0 R>>", 8: stream(b"", b""), 9: stream(b"/Filter/FlateDecode", zlib.compress(one)),
+        10: b"<</Type/Page/Parent 2 0 R/Resources<</XObject<</I 12 0 R>>>>>>", 11: stream(b"", cmap), 12: b"<</Subtype/Image>>", 13: stream(b"/Type/ObjStm/N 1/First 4/Filter/FlateDecode", packed),
+    }
+    body = b"%PDF-1.7\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % x for x in objects.items())
+    assert list(pdf_blocks(body)) == [
+        ("paragraph", "Ada (L)\nLove ace", [], "p1-b0"), ("paragraph", "Far Été\nnext", [], "p1-b1"), ("paragraph", "Şabc", [], "p2-b0"), ("warning", "ocr:page 3", []),
+    ]
+
+
 def test_workbooks(monkeypatch):
     book = f"""<workbook {S} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Second" r:id="rId9"/><sheet name="Bare" r:id="rId7"/><sheet name="First" r:id="rId1"/></sheets></workbook>"""
     relation = "".join(f'<Relationship Id="{i}" Target="{t}"/>' for i, t in (("rId1", "worksheets/sheet1.xml"), ("rId9", "/xl/worksheets/sheet2.xml"), ("rId7", "worksheets/sheet3.xml")))
@@ -352,7 +376,9 @@ def test_uploads(spark, tmp_path):
     assert [(r["type"], r["text"]) for r in rows if r["path"] == "a.docx"] == [("heading", "Top"), ("paragraph", "One"), ("table", ""), ("paragraph", "Head")]
     sheet = [r for r in rows if r["path"] == "b.XLSX"]
     assert sheet[0]["text"] == "People" and [tuple(c) for c in sheet[1]["cells"]] == [(0, 0, "Ada"), (1, 27, "12.5")]
-    assert [r["warning"] for r in rows if r["path"] == "c.pdf"] == ["extract_failed:KeyError"]
+    assert [r for r in rows if r["path"] == "c.pdf"] == []  # a PDF without pages
+    broken = spark.createDataFrame([("x.pdf", "pdf", bytearray(b"%PDF /Encrypt 3 0 R"))], "path string, kind string, content binary")
+    assert [r["warning"] for r in office.extract_blocks(broken).collect()] == ["extract_failed:PdfError"]
     manifest = uploads.batch_manifest(table(spark, [("1/a.pdf", "a.pdf", None, "approved"), ("2/a.pdf", "a.pdf", None, "x"), ("3", "<b>.pdf", "too_large", None)], "path string, name string, error string, status string"))
     assert [tuple(r) for r in manifest.orderBy("path").collect()] == [("1/a.pdf", "OK", "a"), ("2/a.pdf", "NEEDS_REVIEW", "a_2"), ("3", "SKIPPED_TOO_LARGE", "b")]
 
