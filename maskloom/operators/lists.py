@@ -4,13 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.functions.fold import literal_pattern, term_key
 from maskloom.functions.spans import regex_spans
 
 
+#: Terms of ordinary business that are never personal, by field: companies, law, finance, staff, public bodies.
+BUSINESS_TERMS = {
+    "company": (
+        "Genel Kurul", "Yönetim Kurulu", "Denetim Kurulu", "Faaliyet Raporu", "Olağan Genel Kurul", "Olağanüstü Genel Kurul", "Yönetim Kurulu Kararı", "İcra Kurulu",
+        "Murahhas Üye", "Bağımsız Üye", "Bağımsız Denetim", "Kurumsal Yönetim İlkeleri", "Esas Sözleşme", "Ticaret Sicili", "Ticaret Sicil Gazetesi", "Sermaye Piyasası Kurulu",
+        "Kamuyu Aydınlatma Platformu", "Pay Sahipleri",
+    ),
+    "law": (
+        "Sözleşme Bedeli", "Teslim Tarihi", "Ödeme Planı", "Cayma Hakkı", "Fesih Bildirimi", "Mücbir Sebep", "Gizlilik Sözleşmesi", "Rekabet Yasağı", "Uyuşmazlık Çözümü",
+        "Yetkili Mahkeme", "Tahkim Şartı", "Temerrüt Faizi", "Kesin Teminat", "Geçici Teminat", "İhtarname", "Protokol", "Ek Protokol", "Taraflar Arasında", "İşbu Sözleşme",
+        "Hizmet Sözleşmesi", "Kira Sözleşmesi", "Satış Sözleşmesi", "İş Sözleşmesi",
+    ),
+    "finance": (
+        "Fatura Dönemi", "Gider Pusulası", "Vergi Matrahı", "Katma Değer Vergisi", "Gelir Vergisi", "Kurumlar Vergisi", "Stopaj", "Amortisman", "Bilanço", "Gelir Tablosu",
+        "Nakit Akış Tablosu", "Bağımsız Denetim Raporu", "Mizan", "Cari Hesap Ekstresi", "Hesap Özeti", "Ödeme Bildirimi", "Tahsilat Makbuzu", "Kredi Notu",
+        "Risk Değerlendirmesi", "Teminat Mektubu",
+    ),
+    "staff": (
+        "İş Sağlığı ve Güvenliği", "Yıllık İzin", "Kıdem Tazminatı", "İhbar Tazminatı", "Performans Değerlendirmesi", "Disiplin Yönetmeliği", "Özlük Dosyası",
+        "İş Sözleşmesi Feshi", "Deneme Süresi", "Fazla Mesai", "Sosyal Güvenlik Kurumu", "Bordro", "Ücret Bordrosu", "Kalite Kontrol", "Kalite Yönetim Sistemi",
+    ),
+    "public": (
+        "Başvuru Dilekçesi", "İlgili Makam", "Yetkili Kurum", "Resmi Gazete", "Kamu İhale Kurumu", "Valilik", "Kaymakamlık", "Belediye Meclisi", "İmar Planı",
+        "Ruhsat Başvurusu", "Bilgi Edinme Başvurusu",
+    ),
+}
+
+
+def business_terms(spark: SparkSession) -> DataFrame:
+    """The built-in allow-list as (ord, term, family), to stand first in ``effective_terms``."""
+    rows = [(i, t, None) for i, t in enumerate(t for terms in BUSINESS_TERMS.values() for t in terms)]
+    return spark.createDataFrame(rows, "ord int, term string, family string")
+
+
 def term_ranges(text: Column, terms: Iterable[str], suffix: str = "") -> Column:
     """array<struct<start, end, value>> of all terms: case-insensitive, any run of white space between words."""
     arrays = [regex_spans(text, literal_pattern(t) + suffix) for t in dict.fromkeys(terms) if t.split()]

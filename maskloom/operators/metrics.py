@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.functions.fold import collapsed, literal_pattern
-from maskloom.functions.spans import covered, merged, overlaps
+from maskloom.functions.fold import PLACEHOLDER, collapsed, literal_pattern
+from maskloom.functions.spans import covered, merged, overlaps, regex_spans
 
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -46,9 +46,15 @@ def span_scores(gold: DataFrame, predicted: DataFrame, keys: tuple[str, ...] = (
 
 
 def locate(text: Column, surface: Column, nth: Column) -> Column:
-    """Start of the n-th (from 1) exact occurrence of ``surface``, overlapping ones too; null if there is none."""
+    """Start of the n-th (from 1) occurrence of ``surface``, overlapping ones too; null if there is none.
+
+    Where there are not so many exact ones, the n-th with any white space for white space counts.
+    """
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(text) - F.char_length(surface) + 1)), lambda i: F.substr(text, i, F.char_length(surface)) == surface)
-    return F.when((F.char_length(surface) > 0) & F.contains(text, surface), F.get(starts, nth - 1) - 1)
+    exact = F.when(F.contains(text, surface), F.get(starts, nth - 1) - 1)
+    words = F.concat(F.lit(r"\Q"), F.regexp_replace(F.replace(collapsed(surface), F.lit(r"\E"), F.lit("")), " ", r"\\E\\s+\\Q"), F.lit(r"\E"))
+    loose = F.when(F.trim(surface) != "", F.get(regex_spans(text, words), nth - 1)["start"])
+    return F.when(F.char_length(surface) > 0, F.coalesce(exact, loose))
 
 
 def locate_loose(text: Column, term: str) -> Column:
@@ -239,6 +245,47 @@ def stress_verdict(expected: Column, approved: Column, leaked: Column) -> Column
     return F.when(approved & leaked, "critical_false_approval").when((expected == "FAIL_CLOSED") & approved, "not_closed").when(approved, "safe_output").when(expected == "FAIL_CLOSED", "closed").otherwise("over_closed")
 
 
+def mapping_checks(masked: DataFrame, mapping: DataFrame, planted: DataFrame, shareable: DataFrame) -> DataFrame:
+    """(doc_id, complete, round_trip, contained) of documents kept with a mapping.
+
+    complete: every token of the masked text is in the mapping. round_trip: every planted value that is
+    gone from the masked text is among the mapping's values. contained: no planted value stands in what
+    may be shared; without anything shared that is not shown, so it fails. White space counts as one blank.
+    """
+    by_doc = mapping.groupBy("doc_id").agg(F.collect_set("token").alias("tokens"), F.collect_set(collapsed(F.col("value"))).alias("values"))
+    own = planted.where(collapsed(F.col("value")) != "").groupBy("doc_id").agg(F.collect_set(collapsed(F.col("value"))).alias("planted"))
+    texts = shareable.groupBy("doc_id").agg(F.collect_list(collapsed(F.col("text"))).alias("shared"))
+    rows = masked.select("doc_id", "masked_text").join(by_doc, "doc_id", "left").join(own, "doc_id", "left").join(texts, "doc_id", "left")
+    none = F.array().cast("array<string>")
+    c = lambda name: F.coalesce(F.col(name), none)
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce("masked_text", F.lit("")), F.lit(PLACEHOLDER), F.lit(0)))
+    gone = F.filter(c("planted"), lambda v: ~F.contains(collapsed(F.coalesce("masked_text", F.lit(""))), v))
+    leaks = F.exists(c("shared"), lambda t: F.exists(c("planted"), lambda v: F.contains(t, v)))
+    return rows.select(
+        "doc_id",
+        (F.size(F.array_except(found, c("tokens"))) == 0).alias("complete"),
+        (F.size(F.array_except(gone, c("values"))) == 0).alias("round_trip"),
+        ((F.size(c("shared")) > 0) & ~leaks).alias("contained"),
+    )
+
+
+def destructive_checks(docs: DataFrame, original: DataFrame, extracted: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(doc_id, no_original, no_extracted, no_mapping) of documents that must not be reversible."""
+    out = docs.select("doc_id")
+    for name, layer in (("no_original", original), ("no_extracted", extracted), ("no_mapping", mapping)):
+        out = out.join(layer.select("doc_id").distinct().withColumn(name, F.lit(False)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(True)))
+    return out
+
+
+def check_rates(checks: DataFrame) -> DataFrame:
+    """One row: documents, those that pass every check, and the share that passes each; empty is null."""
+    names = [c for c in checks.columns if c != "doc_id"]
+    every = F.lit(True)
+    for n in names:
+        every = every & F.col(n)
+    return checks.agg(F.count("*").alias("documents"), F.count_if(every).alias("passed"), *[F.round(ratio(F.count_if(n), F.count("*"), None), 4).alias(n) for n in names])
+
+
 def strict_verdict(expected: Column, shipped: Column, values: Column, output: Column) -> Column:
     """Strict verdict of a stress case: a shipped value of six characters or more is critical, white space aside.
 

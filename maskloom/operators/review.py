@@ -63,6 +63,20 @@ def may_approve(state: DataFrame) -> DataFrame:
     return state.where("audited_revision = revision and audited_digest = digest and llm_ok = true")
 
 
+def acted(state: DataFrame, actions: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """State after reviewers' actions (doc, action: approve, reject, delete), with ``audit_again``.
+
+    A document in review is approved only if its current revision and text are what a model audited;
+    otherwise it stays and has to be audited again. Deleted documents leave the table.
+    """
+    rows = state.join(actions.select(doc, "action"), doc, "left")
+    asked = lambda what: F.coalesce(F.col("action") == what, F.lit(False)) & (F.col("status") == "needs_human_review")
+    sound = F.coalesce((F.col("audited_revision") == F.col("revision")) & (F.col("audited_digest") == F.col("digest")) & F.col("llm_ok"), F.lit(False))
+    status = F.when(asked("approve") & sound, "approved").when(asked("reject"), "rejected").otherwise(F.col("status"))
+    out = rows.withColumn("audit_again", asked("approve") & ~sound).withColumn("status", status)
+    return out.where("action is null or action <> 'delete'").drop("action")
+
+
 def term_life(final: DataFrame, repairs: DataFrame) -> DataFrame:
     """Terms of both lists by key; the final list's state wins over the repairs'."""
     both = final.alias("f").join(repairs.alias("r"), "key", "full_outer")

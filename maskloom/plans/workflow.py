@@ -258,6 +258,18 @@ def approvable(spark, d):
     return review.may_approve(state).select("doc_id")
 
 
+@query("""WITH a AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 7 = 0 THEN 'approved' ELSE 'needs_human_review' END AS status, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS sound, ['approve', 'reject', 'delete', NULL][o_custkey % 4 + 1] AS action FROM orders)
+SELECT doc_id, CASE WHEN status = 'approved' THEN status WHEN action = 'approve' AND sound THEN 'approved' WHEN action = 'reject' THEN 'rejected' ELSE status END AS status,
+  coalesce(status <> 'approved' AND action = 'approve' AND NOT sound, false) AS audit_again FROM a WHERE action IS NULL OR action <> 'delete'""")
+def reviewed_states(spark, d):
+    """Approvals, rejections and deletions; an approval of what was not audited waits for another audit."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 4
+    o = _t(spark, d, "orders")
+    state = o.select(k.alias("doc_id"), F.when(k % 7 == 0, "approved").otherwise("needs_human_review").alias("status"), F.lit(2).alias("revision"), F.when(k % 3 == 0, 2).alias("audited_revision"), F.lit("d").alias("digest"), F.when(k % 2 == 0, "d").otherwise("e").alias("audited_digest"), F.lit(True).alias("llm_ok"))
+    actions = o.where(c < 3).select(k.alias("doc_id"), F.when(c == 0, "approve").when(c == 1, "reject").otherwise("delete").alias("action"))
+    return review.acted(state, actions).select("doc_id", "status", "audit_again")
+
+
 @query("""WITH f AS (SELECT DISTINCT p_brand AS key, 'open' AS state FROM part WHERE p_size < 10), r AS (SELECT DISTINCT p_brand AS key, 'masked' AS state FROM part WHERE p_size > 30)
 SELECT key, coalesce(f.state, r.state) AS state FROM f FULL JOIN r USING (key)""")
 def term_states(spark, d):
@@ -380,6 +392,43 @@ def file_name_grades(spark, d):
     return c.select("c_custkey", metrics.file_name_grade(F.concat(F.lit("Ada"), "c_custkey"), F.col("safe")).alias("g")).select("c_custkey", "g.*")
 
 
+@query("""WITH c AS (SELECT o_orderkey, o_orderkey % 4 <> 0 AS complete, o_orderkey % 4 <> 0 AND o_orderkey % 7 <> 0 AS trip, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS held FROM orders)
+SELECT count(*) AS documents, count(*) FILTER (WHERE complete AND trip AND held) AS passed, round(count(*) FILTER (WHERE complete) / count(*), 4) AS complete, round(count(*) FILTER (WHERE trip) / count(*), 4) AS round_trip,
+  round(count(*) FILTER (WHERE held) / count(*), 4) AS contained FROM c""")
+def mode_checks(spark, d):
+    """Documents kept with a mapping: some without it, some with another value in it, some that share a raw value or nothing."""
+    k = F.col("doc_id")
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")).withColumn("value", F.concat(F.lit("ada"), k, F.lit(" love")))
+    mapping = rows.where("doc_id % 4 <> 0").select("doc_id", F.lit("<PERSON_1>").alias("token"), F.when(k % 7 == 0, "other").otherwise(F.regexp_replace("value", " ", "\n")).alias("value"))
+    masked = rows.select("doc_id", F.lit("x <PERSON_1> y <PERSON_1>").alias("masked_text"))
+    shared = rows.where("doc_id % 3 <> 0").select("doc_id", F.when(k % 5 == 0, F.concat(F.lit("it is "), "value")).otherwise("x <PERSON_1>").alias("text"))
+    return metrics.check_rates(metrics.mapping_checks(masked, mapping, rows, shared))
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_orderkey % 2 <> 0 AS a, o_orderkey % 3 <> 0 AS b, o_orderkey % 5 <> 0 AS m FROM orders)
+SELECT count(*) AS documents, count(*) FILTER (WHERE a AND b AND m) AS passed, round(count(*) FILTER (WHERE a) / count(*), 4) AS no_original, round(count(*) FILTER (WHERE b) / count(*), 4) AS no_extracted, round(count(*) FILTER (WHERE m) / count(*), 4) AS no_mapping FROM c""")
+def destructive_checks(spark, d):
+    docs = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    twice = docs.unionByName(docs)
+    return metrics.check_rates(metrics.destructive_checks(docs, docs.where("doc_id % 2 = 0"), twice.where("doc_id % 3 = 0"), docs.where("doc_id % 5 = 0")))
+
+
+@query("""WITH n AS (SELECT p_partkey, split_part(p_name, ' ', 1) || chr(10) || ' ' || split_part(p_name, ' ', 2) || ' x' AS t, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) AS s FROM part)
+SELECT p_partkey, 0 AS first, CAST(NULL AS INTEGER) AS second FROM n""")
+def located_across_lines(spark, d):
+    """A value that a line end cut is located all the same."""
+    one = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    t, s = F.concat(one(1), F.lit("\n "), one(2), F.lit(" x")), F.concat(one(1), F.lit(" "), one(2))
+    return _t(spark, d, "part").select("p_partkey", metrics.locate(t, s, F.lit(1)).cast("int").alias("first"), metrics.locate(t, s, F.lit(2)).cast("int").alias("second"))
+
+
+@query(f"""SELECT replace(lower(replace(replace(t, 'İ', 'i'), 'I', 'i')), 'ı', 'i') AS key, t AS term FROM (SELECT unnest({[t for terms in lists.BUSINESS_TERMS.values() for t in terms]}) AS t)""")
+def built_in_terms(spark, d):
+    """The built-in allow-list by its keys."""
+    ship(spark)
+    return lists.effective_terms(lists.business_terms(spark)).select("key", "term")
+
+
 # --- generators ---
 
 _PEOPLE = f"""q AS (SELECT i AS id, i * 7919 + 104729 AS k FROM range(240) t(i)), pe AS (
