@@ -93,7 +93,7 @@ def find_leaks(
     level = F.floor(F.log2(F.size("grams"))).cast("int")
     least = {r["level"]: r["q"] for r in known.groupBy(level.alias("level")).agg(F.min(F.size("grams")).alias("q")).collect()}
     tokens = known.select(F.explode("grams").alias("gram"))
-    bits = bitmap(tokens, "gram", max(1 << 19, tokens.count()), 1 << 25)
+    bits = bitmap(tokens, "gram", max(1 << 19, tokens.count()))
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, keys, h, first in _sets(batches, shingle):

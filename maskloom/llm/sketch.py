@@ -138,8 +138,8 @@ def listed(cells: int, each: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -
     return run
 
 
-def repeated_bits(parts: DataFrame, cells: int) -> np.ndarray:
-    """Packed bits (little-endian) of the cells whose counts, over all tasks, reach two.
+def repeated_bits(parts: DataFrame, cells: int, least: int = 2) -> np.ndarray:
+    """Packed bits (little-endian) of the cells whose counts, over all tasks, reach ``least``.
 
     Merged FAN_IN slices at a time like ``merged``; the driver gets one bit for each cell.
     """
@@ -156,7 +156,7 @@ def repeated_bits(parts: DataFrame, cells: int) -> np.ndarray:
                 total[at] = np.minimum(total[at].astype(np.int64) + flat[4 * size :], 255)
             part = table["part"][0].as_py() // FAN_IN
             if last:
-                packed = pa.compress(np.packbits(total >= 2, bitorder="little").tobytes(), codec="zstd", asbytes=True)
+                packed = pa.compress(np.packbits(total >= least, bitorder="little").tobytes(), codec="zstd", asbytes=True)
                 return pa.table({"part": pa.array([part], pa.int64()), "slice": pa.array([k], pa.int32()), "body": pa.array([packed], pa.binary())})
             at = np.flatnonzero(total)
             (batch,) = _sparse(at + k * width, total[at], width, part)
@@ -177,17 +177,39 @@ def repeated_bits(parts: DataFrame, cells: int) -> np.ndarray:
     return out[: -(-cells // 8)]
 
 
-def bitmap(keys: DataFrame, column: str, expected: int, most: int = 1 << 24) -> Broadcast:
-    """A fixed-size bitmap that has the bit of every value of a long column: false only for values not in it."""
+#: Cells tested for a key, and cells a key at which a bitmap is made.
+PROBES, ROOM = 3, 16
+
+
+def bits_at(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """True where the cell's bit is set, of packed bits (little-endian)."""
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
+
+
+def bitmap(keys: DataFrame, column: str, expected: int, most: int = 1 << 30) -> Broadcast:
+    """A Bloom filter of a long column, as packed bits: false only for values that are not in it.
+
+    It has ``ROOM`` bits for each of ``expected`` keys (about one other value in 200 passes), up to
+    ``most`` bits; with more keys more values pass. Tasks list the cells that they touch, so only the
+    finished filter has this size.
+    """
     spark: SparkSession = keys.sparkSession
-    width = width_for(64 * expected, 1 << 12, most)
+    width = width_for(ROOM * expected, 1 << 12, most)
 
-    def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
-        table[slots(batch.column(0).to_numpy().astype(np.int64).view(np.uint64), width)] = 1
+    def cells(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        h = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
+        for k in range(PROBES):
+            yield slots(h, width, k)
 
-    table = merged(keys.select(column).mapInArrow(counted(width, fill), SCHEMA), width)
-    return spark.sparkContext.broadcast(table > 0)
+    return spark.sparkContext.broadcast(repeated_bits(keys.select(column).mapInArrow(listed(width, cells), SCHEMA), width, 1))
 
 
 def flagged(bits: np.ndarray, keys: pa.Array) -> np.ndarray:
-    return bits[slots(keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), len(bits))]
+    """True for keys that may be in a ``bitmap``."""
+    h = keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    width = 8 * len(bits)
+    keep = bits_at(bits, slots(h, width, 0))
+    for k in range(1, PROBES):
+        left = np.flatnonzero(keep)
+        keep[left] = bits_at(bits, slots(h[left], width, k))
+    return keep

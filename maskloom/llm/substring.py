@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from maskloom.llm import words as W
-from maskloom.llm.copies import Distinct
-from maskloom.llm.sketch import SCHEMA, bitmap, flagged, listed, repeated_bits, slots, width_for
-from maskloom.llm.store import dropped, saved
+from maskloom.llm.copies import Distinct, filtered
+from maskloom.llm.sketch import SCHEMA, bitmap, bits_at, listed, repeated_bits, slots, width_for
+from maskloom.llm.store import saved
 
 DEPTH = 2
 OUT = StructType([StructField("id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
@@ -67,15 +67,16 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
        small. Cells follow the number of anchors expected, up to ``most_cells`` a row; a fuller sketch
        lets more windows through and loses none;
     2. a second pass sends only windows whose anchor is estimated in two documents or more, keyed by
-       80 bits of window hash: the smallest id of each key is pre-aggregated in the tasks, then joined
-       with the windows; the adaptive skew join splits passages that a large share of documents have.
-       Windows of larger ids come back to their documents as lists of positions. Only documents that
-       lose words are shuffled with their text.
-
-    With ``carry`` all other columns come back in a struct ``rest``. Null and empty texts have no words. Rows with a null id are returned unchanged and are nobody's
-    source. Rows that repeat an id are one document. Other columns are otherwise ignored; an empty
-    table gives an empty result. Returns id, n_words, n_removed, kept (words joined by one space), one row for
-    each input row.
+       80 bits of window hash, and groups them exactly: the smallest id of each key, pre-aggregated in
+       the tasks, owns it. Each key has one owner, so what goes on is one row a key, however many
+       documents hold it. A document is told the windows it owns; its other estimated windows start
+       in a smaller document and go. Only documents that lose words are shuffled with their text.
+
+    With ``carry`` all other columns come back in a struct ``rest``. Null and empty texts have no words.
+    Rows with a null id are returned unchanged and are nobody's source. Rows that repeat an id are one
+    document. Very long texts are worked on whole, one at a time. Other columns are otherwise ignored;
+    an empty table gives an empty result. Returns id, n_words, n_removed, kept (words joined by one
+    space), one row for each input row.
     """
     rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]).alias("rest")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([rest] if carry else []))
@@ -99,42 +100,51 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
 
     repeated = rows.sparkSession.sparkContext.broadcast(repeated_bits(unique.map(listed(DEPTH * cells, anchored), SCHEMA), DEPTH * cells))
 
+    def estimated(words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word index, document, hash, second hash) of the windows estimated to repeat."""
+        h = words.hashes()
+        at, anchor = _anchors(h, words.first, window, gram)
+        pick = np.ones(len(at), bool)
+        for k in range(DEPTH):
+            left = np.flatnonzero(pick)
+            pick[left] = bits_at(repeated.value, slots(anchor[left], cells, k) + k * cells)
+        if pick.any():
+            at, w, v = (x[pick] for x in W.windows(h, words.first, window))
+        else:
+            at, w, v = at[:0], np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return at, _by_document(at, words.first), w, v
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(w, v, id, n): each document's distinct windows, and one row with v < 0 that says how many."""
         for batch in batches:
             for part, words in _unpack(batch):
-                ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
-                h = words.hashes()
-                at, anchor = _anchors(h, words.first, window, gram)
-                pick = np.ones(len(at), bool)
-                for k in range(DEPTH):
-                    cell = slots(anchor, cells, k) + k * cells
-                    pick &= (repeated.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
-                if not pick.any():
+                _, doc, w, v = estimated(words)
+                if not len(w):
                     continue
-                at, w, v = (x[pick] for x in W.windows(h, words.first, window))
-                doc = _by_document(at, words.first)
+                ids, keys = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "key"))
+                order = np.lexsort((w, doc))
+                doc, w, v = doc[order], w[order], v[order]
+                new = np.ones(len(w), bool)
+                new[1:] = (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])
+                doc, w, v = doc[new], w[new], v[new]
+                who, n = np.unique(doc, return_counts=True)
+                name = W.mix(keys[who].view(np.uint64) ^ W.mix(ids[who].view(np.uint64) + W.GOLDEN))
+                mark = -1 - (W.mix(name + W.GOLDEN) >> np.uint64(33)).astype(np.int64)
                 yield pa.record_batch({
-                    "w": pa.array(w.view(np.int64), pa.int64()),
-                    "v": pa.array((v >> np.uint64(48)).astype(np.int32), pa.int32()),
-                    "id": pa.array(ids[doc], pa.int64()),
-                    "key": pa.array(keys[doc], pa.int64()),
-                    "at": pa.array((at - words.first[doc]).astype(np.int32), pa.int32()),
+                    "w": pa.array(np.concatenate([w, name]).view(np.int64), pa.int64()),
+                    "v": pa.array(np.concatenate([(v >> np.uint64(48)).astype(np.int64), mark]).astype(np.int32), pa.int32()),
+                    "id": pa.array(np.concatenate([ids[doc], ids[who]]), pa.int64()),
+                    "n": pa.array(np.concatenate([np.zeros(len(w), np.int64), n]).astype(np.int32), pa.int32()),
                 })
 
-    seen = unique.map(candidates, "w long, v int, id long, key long, at int")
-    earliest = seen.groupBy("w", "v").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    # a table of its own: a join straight on the aggregate's partitions could not split a hot window
-    earliest = saved(earliest.where("first_id < last_id").drop("last_id"), "repeated-windows")
-    hits = seen.join(earliest.hint("shuffle_hash"), ["w", "v"]).where("id > first_id")
-    hits = saved(hits.groupBy("id", "key").agg(F.collect_list("at").alias("at")), "window-hits")
-    dropped(earliest)
-    losers = bitmap(hits, "key", hits.count())
+    seen = unique.map(candidates, "w long, v int, id long, n int")
+    owners = seen.groupBy("w", "v").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    told = owners.groupBy("id").agg(F.collect_list(F.when(F.col("v") >= 0, F.col("w"))).alias("own"), F.sum("n").alias("asked"))
+    told = saved(told.where(F.col("asked") > F.size("own")).select("id", "own"), "owned-windows")
+    losers = bitmap(told, "id", told.count())
 
     def steered(batches: Iterator[pa.RecordBatch], want: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = flagged(losers.value, batch.column("key")) == want
-            if keep.any():
-                yield batch.filter(pa.array(keep))
+        return filtered(batches, losers.value, "id", want)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,21 +159,24 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = 0
-            lists = batch.column("at")
+            lists = batch.column("own")
             for part, words in _unpack(batch):
+                at, doc, w, _ = estimated(words)
+                bounds = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
                 change = np.zeros(len(words.starts) + 1, np.int64)
                 for k in range(part.num_rows):
-                    if (found := lists[row + k]).is_valid:
-                        at = words.first[k] + np.unique(found.values.to_numpy())
-                        change[at] += 1
-                        np.subtract.at(change, at + window, 1)
+                    if (own := lists[row + k]).is_valid:  # not so for those that the bitmap lets through
+                        a, b = bounds[k], bounds[k + 1]
+                        gone = at[a:b][~np.isin(w[a:b], own.values.to_numpy().view(np.uint64))]
+                        change[gone] += 1
+                        change[gone + window] -= 1
                 row += part.num_rows
                 yield _finished(part, words, np.cumsum(change)[:-1] > 0)
 
     more = ["rest"] if carry else []
     untouched = unique.map(lambda it: whole(steered(it, False)), result)
     touched = unique.map(lambda it: steered(it, True), unique.docs.schema)
-    touched = touched.join(hits, ["id", "key"], "left").select("id", "text", "at", *more).mapInArrow(cut, result)
+    touched = touched.join(told, "id", "left").select("id", "text", "own", *more).mapInArrow(cut, result)
     copies = unique.later().select("id", "text", *more).mapInArrow(copied, result)
     unnamed = nameless.mapInArrow(whole, result)
     return untouched.unionByName(touched).unionByName(copies).unionByName(unnamed).withColumnRenamed("id", id_col)
