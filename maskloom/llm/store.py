@@ -43,21 +43,28 @@ def _path(df_or_spark, path: str):
     return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
+#: With it, the shuffle files of an execution leave the disks when it ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here.
 
-    The files go when the application's JVM ends, or with ``dropped``. Spark removes the shuffle files
-    of a finished query only when the driver happens to collect its garbage, so it is asked to: what
-    the table was made from then leaves the disks before the next step fills them.
+    The files go when the application's JVM ends, or with ``dropped``. The shuffle files of this write
+    go when it ends, before the next step fills the disks; other executions keep theirs.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/maskloom-{name}-{uuid.uuid4().hex}"
     p, fs = _path(spark, path)
     fs.deleteOnExit(p)
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._maskloom_path = path
-    spark.sparkContext._jvm.System.gc()
     return back
 
 

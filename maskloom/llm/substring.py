@@ -25,6 +25,7 @@ def _anchors(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[
     Equal windows have equal anchors, so a window's count is at most its anchor's.
     """
     n = len(h)
+    gram = min(gram, window)
     total = np.zeros(n, np.uint64)
     for j in range(min(gram, n)):
         total[: n - j] += h[j:] * W.GOLDEN ** np.uint64(j)
@@ -54,7 +55,7 @@ def _finished(rows: pa.RecordBatch, words: W.Words, gone: np.ndarray) -> pa.Reco
     return pa.record_batch(out | ({"rest": rows.column("rest")} if "rest" in rows.schema.names else {}))
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells: int = 1 << 27, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, most_cells: int = 1 << 29, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove the words of every ``window``-word passage that also starts in a document of smaller id.
 
     Words are taken unchanged; windows are judged on the input. Copies of a whole text are settled
@@ -85,7 +86,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, most_cells:
     unique = Distinct(rows.where("id is not null"))
 
     size = unique.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = width_for(size // 8, 1 << 12, most_cells)  # from 15 to 30 cells an anchor
+    cells = width_for(size // 8, 1 << 12, most_cells)  # some ten cells an anchor
 
     def anchored(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, words in _unpack(batch):
