@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ class Prefixes:
         for gap in range(1, int(nth[:end].max(initial=0)) + 1):
             same = np.flatnonzero(sorted_group[gap:] == sorted_group[:-gap])
             a, b = h[by[same]], h[by[same + gap]]
-            out.append(W.mix(a * np.uint64(0xD6E8FEB86659FD93) + W.mix(b + np.uint64(level) * W.GOLDEN)))
+            out.append(W.mix(a * np.uint64(0xD6E8FEB86659FD93) + W.mix(b + np.uint64(level * int(W.GOLDEN) % 2**64))))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -128,7 +129,7 @@ def near_duplicates(
     shingle: int = 5,
     num: int = 80,
     den: int = 100,
-    hub_rounds: int = 3,
+    hub_rounds: int = 8,
     most_cells: int = 1 << 23,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -144,35 +145,34 @@ def near_duplicates(
        ``most_cells`` two-byte cells, of which one byte is sent on, and only steers cost;
     3. signatures are grouped exactly, and only those held twice are kept;
     4. every holder of a signature is compared with one hub, found by a pre-aggregated minimum; the
-       links are closed into components. This is repeated with hubs of other components;
-    5. what is left are pairs in one signature group that lie in different components. All of these
-       are held against the bounds below, and what passes is compared. Members of a component are not compared again, so a group of n near copies costs
-       about n comparisons, and yet no link between components is lost.
+       links are closed into components. This is repeated with hubs of other components until the pairs
+       of one signature that lie in different components are few (``FEW`` a holder) or a round has left
+       more than half of them, at most ``hub_rounds`` times;
+    5. these pairs are then all held against the bounds below, and what passes is compared. Members of
+       a component are not compared again, so a group of n near copies costs about n comparisons, and
+       yet no link between components is lost.
 
     Pairs are first held against bounds on size, on overlap left (``room``) and on the parity images of
     their sets, none of which can reject a similar pair; then their texts meet and shingles are counted
     exactly, by 64-bit hash. Large groups are spread by the adaptive skew join; no group is collected.
 
-    Null and empty texts and texts without words have an empty set and link with nothing. Rows that
-    repeat an id are one document whose texts link. Rows with a null id have a null component. Other
-    columns are ignored; an empty table gives an empty result.
+    With ``count_links`` the links inside components are counted too, of copies each. Components of two
+    texts need no more work; small ones are counted whole, many in a task; of large ones, blocks of
+    texts meet blocks and send on a count for each text, never a pair (``_with_links``).
 
-    With ``count_links`` there are no hub rounds: every pair of different texts that share a signature is
-    held against the bounds and compared, inside components too, so a group of n near copies costs up to
-    n(n-1)/2 comparisons. Copies of a text are compared once and counted each. Ids must not repeat then.
+    Null and empty texts and texts without words have an empty set and link with nothing. Rows that
+    repeat an id are one document whose texts link. Rows with a null id have a null component and count
+    no links. Very long texts are worked on whole. Other columns are ignored; an empty table gives an
+    empty result.
 
     Returns id, n_shingles long, component_id (smallest id that links reach), one row for each input row;
-    with ``count_links`` also n_links long, the number of other documents that link with it.
+    with ``count_links`` also n_links long, the number of other rows whose text links with the row's.
     """
     if not 0.5 <= num / den <= 1:
         raise ValueError("the threshold must lie between 0.5 and 1")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     named = rows.where("id is not null")
-    if count_links:
-        if not named.groupBy("id").count().where("count > 1").isEmpty():
-            raise ValueError("links are counted only where ids do not repeat")
-        hub_rounds = 0
     unique = Distinct(named)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -260,6 +260,14 @@ def near_duplicates(
         least, most = F.least(f"{a}.n", f"{b}.n").cast("long"), F.greatest(f"{a}.n", f"{b}.n").cast("long")
         return (most * num <= least * den) & (F.least(f"{a}.room", f"{b}.room").cast("long") * (num + den) >= (least + most) * num)
 
+    # ids that repeat: what a set-aside copy of theirs equals is linked with their other texts
+    again = saved(named.groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
+    links = []
+    if repeats := not again.isEmpty():
+        worded = F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
+        same = unique.later().where(worded).join(again, "id").select(F.col("first_id").alias("a"), F.col("id").alias("b"))
+        links.append(saved(same.distinct(), "links-of-copies"))
+
     def closed(links: list[DataFrame]) -> DataFrame:
         out = links[0]
         for more in links[1:]:
@@ -272,13 +280,17 @@ def near_duplicates(
         split = with_label.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         return with_label.join(saved(split.select("key"), "open-signatures").hint("shuffle_hash"), "key")
 
-    links, tried, labels = [], [], None
-    for turn in range(hub_rounds + 1):
+    tried, labels, turn, before = [], None, 0, float("inf")
+    while True:
         if labels is None:
             open_members = members.withColumn("label", F.col("id"))
         else:
             open_members = saved(labelled(labels), "open-members")
-        if turn < hub_rounds:
+        last = turn >= hub_rounds
+        if not last and turn > 0:
+            left, holders = _pairs_left(open_members)
+            last, before = left <= FEW * holders or 2 * left > before, left
+        if not last:
             # the smallest id first, then any: signatures that share members mostly agree on who it is
             rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
             hubs = open_members.groupBy("key").agg(F.min_by(F.struct("label", "id", "n", "room"), F.struct(rank, "n", "room")).alias("hub")).select("key", "hub.*")
@@ -294,16 +306,33 @@ def near_duplicates(
         for old in tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
-        if turn < hub_rounds:
-            tried.append(pairs)
+        tried.append(pairs)
         links.append(similar(pairs))
         labels = closed(links)
+        turn += 1
+        if last:
+            break
 
     sized = unique.map(lambda it: _sizes(grams(it)), "id long, key long, n_shingles long")
-    reps = sized.join(labels, "id", "left").select("id", "key", "n_shingles", F.coalesce("label", "id").alias("component_id"))
-    more = ["n_links"] if count_links else []
+    reps = sized.join(labels, "id", "left")
+    more = []
     if count_links:
-        reps = _with_links(reps, links[0], unique.groups.select(F.col("first_id").alias("id"), F.col("n").alias("held")))
+        more = ["n_links"]
+        if repeats:
+            reps = reps.join(again.select("id", F.col("id").alias("own")), "id", "left").withColumn("label", F.coalesce("label", "own")).drop("own")
+        reps = saved(reps, "representatives")
+        held = unique.groups.select(F.col("first_id").alias("id"), "key", F.col("n").alias("held"))
+
+        def sets_of(ids: Broadcast) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for part, h, first in grams(filtered(batches, ids.value, "id", True)):
+                    bodies = [h[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                    yield pa.record_batch([part.column("id"), part.column("key"), pa.array(bodies, pa.binary())], ["id", "key", "grams"])
+
+            return unique.map(run, "id long, key long, grams binary")
+
+        reps = _with_links(reps, held, sets_of, num, den, 1 if repeats else 2)
+    reps = reps.select("id", "key", "n_shingles", F.coalesce("label", "id").alias("component_id"), *more)
     copies = unique.later().select("id", "first_id", "key")
     of = reps.select(F.col("id").alias("first_id"), "key", "n_shingles", "component_id", *more).dropDuplicates(["first_id", "key"])
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
@@ -315,12 +344,115 @@ def near_duplicates(
     return out.withColumnRenamed("id", id_col)
 
 
-def _with_links(reps: DataFrame, links: DataFrame, held: DataFrame) -> DataFrame:
-    """``reps`` with n_links. ``links`` has each pair (a, b) once; ``held`` the number of rows of texts that have copies."""
-    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
-    far = both.join(held.select(F.col("id").alias("b"), "held"), "b", "left")
-    far = saved(far.groupBy(F.col("a").alias("id")).agg(F.sum(F.coalesce("held", F.lit(1))).alias("far")), "links-counted")
-    out = reps.join(far, "id", "left").join(held, "id", "left")
+#: Pairs left for each holder of an open signature at which hub rounds end.
+FEW = 8
+
+
+def _pairs_left(open_members: DataFrame) -> tuple[float, int]:
+    """(pairs of one signature with different labels, holders of these signatures)."""
+    per_label = open_members.groupBy("key", "label").agg(F.count("*").cast("double").alias("n"))
+    per_key = per_label.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    total = per_key.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
+    return total["pairs"] or 0.0, int(total["n"] or 0)
+
+
+#: Bounds of what is compared at once: texts and shingles of a block, and shingles of one matrix product.
+TEXTS, SHINGLES, COLUMNS = 256, 1 << 16, 1 << 12
+
+
+def _alike(a: list[np.ndarray], b: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Matrix of which sets of ``a`` link with which of ``b``; overlaps are exact counts of shared hashes."""
+    sides = []
+    for sets in (a, b):
+        size = np.array([len(x) for x in sets], np.int64)
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    overlap = np.zeros((len(a), len(b)))
+    for at in range(0, len(shared), COLUMNS):
+        some, held = shared[at : at + COLUMNS], []
+        for h, row, size in sides:
+            column = np.minimum(np.searchsorted(some, h), len(some) - 1)
+            hit = some[column] == h
+            table = np.zeros((len(size), len(some)), np.float32)
+            table[row[hit], column[hit]] = 1
+            held.append(table)
+        overlap += held[0] @ held[1].T
+    return overlap * (num + den) >= (sides[0][2][:, None] + sides[1][2][None, :]) * num
+
+
+def _with_links(reps: DataFrame, held: DataFrame, sets_of: Callable[[Broadcast], DataFrame], num: int, den: int, settled: int) -> DataFrame:
+    """``reps`` (id, key, n_shingles, label) with n_links. ``held``: (id, key, held) of texts that have copies.
+
+    All links lie inside components. In one of ``settled`` texts or fewer everybody links with everybody.
+    The sets of the others are dealt into cells: a cell has many small components, or one block of a
+    large one, of about ``TEXTS`` texts and ``SHINGLES`` shingles. Blocks of a component meet pairwise,
+    and each meeting sends on a sum for each text.
+    """
+    rows = reps.where("label is not null and n_shingles > 0").dropDuplicates(["id", "key"]).join(held, ["id", "key"], "left").withColumn("held", F.coalesce("held", F.lit(1)).cast("long"))
+    rows = saved(rows.select("id", "key", "label", "held", "n_shingles"), "component-texts")
+    blocks = F.ceil(F.greatest(F.col("texts") / TEXTS, F.col("shingles") / SHINGLES)).cast("int")
+    sizes = rows.groupBy("label").agg(F.count("*").alias("texts"), F.sum("held").alias("total"), F.sum("n_shingles").alias("shingles"))
+    sizes = saved(sizes.withColumn("blocks", blocks), "component-sizes")
+    easy = rows.join(sizes.where(F.col("texts") <= settled), "label").select("id", "key", (F.col("total") - F.col("held")).alias("far"))
+    open_sizes = sizes.where(F.col("texts") > settled)
+    deal = int((open_sizes.where("blocks = 1").agg(F.sum("shingles")).first()[0] or 0) // SHINGLES) + 1
+    large = F.col("blocks") > 1
+    cell = F.when(large, F.pmod(F.xxhash64("id", "key"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("label"), F.lit(deal)))
+    todo = saved(rows.join(open_sizes, "label").select("id", "key", "label", "held", large.alias("large"), cell.cast("int").alias("cell")), "texts-to-count")
+    wanted = bitmap(todo, "id", todo.count())
+    placed = saved(sets_of(wanted).join(todo, ["id", "key"]).dropDuplicates(["id", "key"]), "placed-sets")
+
+    def parts_of(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(ids, keys, held, sets) of each component in the table."""
+        table = table.combine_chunks()
+        label = table["label"].to_numpy()
+        order = np.argsort(label, kind="stable")
+        bounds = np.flatnonzero(np.diff(label[order], prepend=label[order][:1] - 1, append=label[order][-1:] + 1))
+        ids, keys, held = (table[c].to_numpy() for c in ("id", "key", "held"))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            at = order[a:b]
+            yield ids[at], keys[at], held[at], [np.frombuffer(x.as_buffer(), np.uint64) for x in table["grams"].take(pa.array(at))]
+
+    def counted_whole(table: pa.Table) -> pa.Table:
+        out = []
+        for ids, keys, held, sets in parts_of(table):
+            links = _alike(sets, sets, num, den)
+            np.fill_diagonal(links, False)
+            out.append((ids, keys, links @ held))
+        ids, keys, far = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "far": pa.array(far.astype(np.int64))})
+
+    def packed(table: pa.Table) -> pa.Table:
+        ((ids, keys, held, sets),) = parts_of(table)
+        column = lambda x, kind: pa.array([np.asarray(x, kind).tobytes()], pa.binary())
+        return pa.table({
+            "label": table["label"].slice(0, 1), "cell": table["cell"].slice(0, 1), "ids": column(ids, np.int64), "keys": column(keys, np.int64),
+            "held": column(held, np.int64), "sizes": column([len(x) for x in sets], np.int64), "grams": column(np.concatenate(sets), np.uint64),
+        })
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x, y = ({c: np.frombuffer(batch.column(f"{c}_{side}")[r].as_buffer(), np.uint64 if c == "grams" else np.int64) for c in ("ids", "keys", "held", "sizes", "grams")} for side in "xy")
+                links = _alike(*(np.split(z["grams"], np.cumsum(z["sizes"])[:-1]) for z in (x, y)), num, den)
+                if batch.column("cell_x")[r].as_py() == batch.column("cell_y")[r].as_py():
+                    np.fill_diagonal(links, False)
+                    sums = [(x, links @ y["held"])]
+                else:
+                    sums = [(x, links @ y["held"]), (y, links.T @ x["held"])]
+                for z, far in sums:
+                    yield pa.record_batch([pa.array(z["ids"], pa.int64()), pa.array(z["keys"], pa.int64()), pa.array(far.astype(np.int64))], ["id", "key", "far"])
+
+    schema = "id long, key long, far long"
+    small = placed.where(~F.col("large")).groupBy("cell").applyInArrow(counted_whole, schema)
+    columns = ("cell", "ids", "keys", "held", "sizes", "grams")
+    full = placed.where("large").groupBy("label", "cell").applyInArrow(packed, "label long, cell int, ids binary, keys binary, held binary, sizes binary, grams binary")
+    full = saved(full, "component-blocks")
+    x, y = (full.select("label", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "xy")
+    many = x.join(y, "label").where("cell_x <= cell_y").mapInArrow(met, schema)
+    far = saved(easy.unionByName(small).unionByName(many).groupBy("id", "key").agg(F.sum("far").alias("far")), "links-counted")
+    dropped(placed, full)
+    out = reps.join(far, ["id", "key"], "left").join(held, ["id", "key"], "left")
     n = F.coalesce("far", F.lit(0)) + F.coalesce("held", F.lit(1)) - 1
     return out.select(*reps.columns, F.when(F.col("n_shingles") > 0, n).otherwise(0).cast("long").alias("n_links"))
 

@@ -52,10 +52,6 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
-
-
-def op10_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, num=85, den=100, count_links=True)
 
 
@@ -70,7 +66,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_url_rules": op9_url_rules,
     "op10_jaccard_join": op10_jaccard_join,
-    "op10_jaccard_links": op10_jaccard_links,
 }
 
 
@@ -181,10 +176,7 @@ WITH RECURSIVE t AS (
 ), r AS (
   SELECT doc_id AS x, doc_id AS y FROM t UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y
 )
-SELECT t.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id
+SELECT t.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id, (SELECT count(*) FROM e WHERE e.x = t.doc_id) AS n_links
 FROM t JOIN r ON r.x = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id
 """,
 }
-SQL["op10_jaccard_links"] = SQL["op10_jaccard_join"].replace(
-    "min(r.y) AS component_id", "min(r.y) AS component_id, (SELECT count(*) FROM e WHERE e.x = t.doc_id) AS n_links"
-)

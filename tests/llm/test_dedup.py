@@ -86,11 +86,32 @@ def test_join_counts_every_link(make_docs, corpus):
     assert any(0 < n < sizes[c] - 1 for _, _, c, n in expected)  # some members of a component do not link
 
 
+@pytest.mark.parametrize("texts,shingles", [(4, 1 << 16), (256, 400)])
+def test_links_of_components_in_blocks(make_docs, monkeypatch, texts, shingles):
+    monkeypatch.setattr(jaccard, "TEXTS", texts)
+    monkeypatch.setattr(jaccard, "SHINGLES", shingles)
+    near = near_copies(8, 3, 14, 6)
+    rows = rows_of(near + near[:6] + ["a b c d e f"])
+    out = jaccard.near_duplicates(make_docs(rows), 4, 85, 100, count_links=True)
+    assert sorted(map(tuple, out.collect())) == sorted(linked(rows, 4, 85, 100))
+
+
 def test_links_of_null_and_repeated_ids(make_docs):
     out = jaccard.near_duplicates(make_docs([(1, "a b c d e"), (2, "A b c d e"), (None, "a b c d e"), (4, "")]), 4, 85, 100, count_links=True).collect()
     assert sorted(map(tuple, out), key=str) == sorted([(1, 2, 1, 1), (2, 2, 1, 1), (None, 2, None, None), (4, 0, 4, 0)], key=str)
-    with pytest.raises(ValueError):
-        jaccard.near_duplicates(make_docs([(5, "a b"), (5, "c d")]), count_links=True)
+    x, y = (" ".join(words(random.Random(i), 80)) for i in (1, 2))
+    rows = [(3, x), (5, x), (5, y), (7, y + " more"), (5, y), (9, x + " more"), (8, "a b"), (8, "c d")]
+    out = jaccard.near_duplicates(make_docs(rows), 4, 85, 100, count_links=True).collect()
+    assert sorted(map(tuple, out)) == sorted(linked(rows, 4, 85, 100))
+
+
+def test_join_of_very_long_texts(make_docs):
+    w = words(random.Random(4), 30000, 3000)
+    near = list(w)
+    near[::400] = ["changed"] * len(near[::400])
+    rows = rows_of([" ".join(w), " ".join(near), " ".join(w[:20000]), "x" * 300000, "x" * 300000 + " y"])
+    out = jaccard.near_duplicates(make_docs(rows), 4, 85, 100, count_links=True).collect()
+    assert sorted(map(tuple, out)) == sorted(linked(rows, 4, 85, 100))
 
 
 def test_prefixes_of_similar_sets_meet():
@@ -172,6 +193,12 @@ def test_repeats_carry_other_columns(make_docs, corpus):
     assert all(r["rest"]["lang"] == "en" for r in out.values()) and len(out) == len(corpus)
 
 
+def test_repeats_of_very_long_texts_and_repeated_ids(make_docs):
+    w = words(random.Random(9), 40000, 10**6)
+    rows = [(4, " ".join(w)), (2, " ".join(w[30000:30070])), (6, " ".join(w[100:20000])), (6, " ".join(w[100:20000])), (6, " ".join(w[50:400])), (2, " ".join(w[30000:30070])), (7, "y" * 200000)]
+    check_repeats(make_docs, rows)
+
+
 def test_repeats_of_nothing_and_null_ids(make_docs):
     check_repeats(make_docs, [])
     t = " ".join(words(random.Random(2), 60))
@@ -212,6 +239,16 @@ def test_leaks_of_a_document_that_holds_many_items(spark, make_docs):
     check_leaks(spark, make_docs, [whole], items, most_hashes=4)  # all shingles are looked up instead
 
 
+def test_leaks_in_very_long_texts_and_repeated_rows(spark, make_docs):
+    _, items = planted(3)
+    w = words(random.Random(5), 60000, 10**5)
+    w[41000:41000] = items[6][1].split()
+    rows = [(1, " ".join(w)), (1, " ".join(w)), (1, "short"), (2, "z" * 200000 + " " + items[4][1]), (None, items[4][1])]
+    bench = items + [(None, items[3][1]), items[6], items[6]]
+    found = check_leaks(spark, make_docs, rows[:4], [x for x in bench if x[0] is not None])
+    assert (1, 6) in found and (2, 4) in found
+
+
 def test_leaks_of_nothing(spark, make_docs):
     check_leaks(spark, make_docs, [], [(1, "a b c d e f")])
     check_leaks(spark, make_docs, ["a b c d e f"], [])
