@@ -400,12 +400,6 @@ def status_steps(spark, d):
 # --- retrieval ---
 
 
-@query()
-def chunk_lines(spark, d):
-    ship(spark)
-    return retrieval.chunk_texts(_docs(spark, d))
-
-
 _QUERY = "the of inthan scum the"
 
 

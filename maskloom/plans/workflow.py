@@ -315,17 +315,25 @@ def search_tokens(spark, d):
     return _t(spark, d, "part").select("p_partkey", fold.search_tokens(F.concat("p_name", F.lit(" "), F.upper("p_type"), F.lit("_"), "p_brand")).alias("tokens"))
 
 
-@query("""WITH t AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1), l AS (
-  SELECT conv_id, flatten(list_transform(list_filter(string_split_regex(text, '\\r\\n|[\\n\\x0B\\f\\r]'), lambda x: regexp_matches(x, '[^ \\t]')), lambda x: CASE WHEN length(x) <= 1200 THEN [x] ELSE
+_CHUNKS = """l AS (
+  SELECT doc_id, flatten(list_transform(list_filter(string_split_regex(text, '\\r\\n|[\\n\\x0B\\f\\r]'), lambda x: regexp_matches(x, '[^ \\t]')), lambda x: CASE WHEN length(x) <= 1200 THEN [x] ELSE
     list_reduce(list_transform(string_split(x, ' '), lambda w: [w]), lambda acc, w: CASE WHEN length(acc[len(acc)]) + 1 + length(w[1]) <= 1200 THEN list_concat(acc[1:len(acc) - 1], [acc[len(acc)] || ' ' || w[1]]) ELSE list_concat(acc, w) END) END)) AS l FROM t), c AS (
-  SELECT conv_id, list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN length(acc[len(acc)]) + 1 + length(x[1]) <= 1200 THEN list_concat(acc[1:len(acc) - 1], [acc[len(acc)] || chr(10) || x[1]]) ELSE list_concat(acc, x) END) AS c FROM l WHERE len(l) > 0)
-SELECT conv_id AS doc_id, CAST(i AS INTEGER) AS part, c[i] AS text FROM (SELECT conv_id, c, unnest(range(1, len(c) + 1)) AS i FROM c)""")
+  SELECT doc_id, list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN length(acc[len(acc)]) + 1 + length(x[1]) <= 1200 THEN list_concat(acc[1:len(acc) - 1], [acc[len(acc)] || chr(10) || x[1]]) ELSE list_concat(acc, x) END) AS c FROM l WHERE len(l) > 0)
+SELECT doc_id, CAST(i AS INTEGER) AS part, c[i] AS text FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM c)"""
+
+
+@query(f"WITH t AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1), {_CHUNKS}")
 def chunked_conversations(spark, d):
     """Conversations as one text each, cut into chunks; over-long lines at spaces."""
     texts = report.export_text(_t(spark, d, "conversations"), "conv_id", "turn", "text")
     return retrieval.chunk_texts(texts, doc="conv_id").withColumnRenamed("conv_id", "doc_id")
 
 
+@query(f"WITH t AS (SELECT doc_id, text FROM documents), {_CHUNKS}")
+def chunk_lines(spark, d):
+    return retrieval.chunk_texts(_docs(spark, d))
+
+
 @query("""WITH s AS (SELECT row_number() OVER (ORDER BY c_custkey) AS n, c_name AS text FROM customer)
 SELECT 'Answer from these sources and cite them.' || chr(10) || chr(10) || string_agg('[S' || n || '] ' || text, chr(10) || chr(10) ORDER BY n) AS prompt FROM s WHERE n <= 8""")
 def system_prompt(spark, d):
