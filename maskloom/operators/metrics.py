@@ -62,11 +62,12 @@ def locate_loose(text: Column, term: str) -> Column:
     return text.rlike(literal_pattern(term))
 
 
-def mention_results(mentions: DataFrame, detections: DataFrame, masked: DataFrame) -> DataFrame:
+def mention_results(mentions: DataFrame, detections: DataFrame, masked: DataFrame, export: DataFrame | None = None) -> DataFrame:
     """One row for each gold mention (doc_id, mention_id, start, end, surface, ...): characters detected, masked, residual.
 
     Detections of a document are merged first, so no character counts twice. ``start`` is null for
-    mentions that were not located; they have no detected characters and are not masked.
+    mentions that were not located; they have no detected characters and are not masked. With ``export``
+    (doc_id, export_text) there is also ``leaked_in_export``: the located value stands in what was exported.
     """
     ranges = detections.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     both = mentions.join(ranges, "doc_id", "left").join(masked.select("doc_id", "masked_text"), "doc_id", "left")
@@ -82,7 +83,11 @@ def mention_results(mentions: DataFrame, detections: DataFrame, masked: DataFram
     out = out.withColumn("detected_chars", F.when(located, covered(cut)).otherwise(0)).withColumn("masked", hidden)
     out = out.withColumn("residual_chars", F.when(hidden, F.aggregate(parts, F.lit(0), lambda n, w: n + F.char_length(w))).otherwise(0))
     full = (F.col("detected_chars") == F.col("total_chars")) & (F.col("total_chars") > 0) & located
-    return out.withColumn("fully_detected", full).withColumn("partially_detected", (F.col("detected_chars") > 0) & ~full).drop("ranges", "masked_text")
+    out = out.withColumn("fully_detected", full).withColumn("partially_detected", (F.col("detected_chars") > 0) & ~full).drop("ranges", "masked_text")
+    if export is None:
+        return out
+    leaked = F.col("located") & F.contains(collapsed(F.coalesce("export_text", F.lit(""))), surface)
+    return out.join(export.select("doc_id", "export_text"), "doc_id", "left").withColumn("leaked_in_export", leaked).drop("export_text")
 
 
 def char_coverage(detections: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.fold import PLACEHOLDER, collapsed
 from maskloom.functions.spans import regex_spans
+from maskloom.operators.mask import original_offset
 
 
 def locate_terms(units: DataFrame, terms: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "masked_text") -> DataFrame:
@@ -31,6 +32,24 @@ def locate_terms(units: DataFrame, terms: DataFrame, keys: tuple[str, ...] = ("d
     return once.withColumn("f", F.row_number().over(Window.partitionBy(doc).orderBy(*order, "start", "end")))
 
 
+def placed(findings: DataFrame, done: DataFrame, keeps: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Findings with the range they have in the original (``original_start``, ``original_end``) and ``status``.
+
+    Offsets go back over the edits before them (an as-of join). A finding inside a kept range of the
+    original is kept, any other open.
+    """
+    points = findings.select(*keys, F.explode(F.array("start", "end")).alias("pos")).distinct()
+    back = original_offset(points, done, keys)
+    out = findings
+    for c in ("start", "end"):
+        out = out.join(back.select(*keys, F.col("pos").alias(c), F.col("original_pos").alias(f"original_{c}")), [*keys, c])
+    on = (F.col("r.start") <= F.col("f.original_start")) & (F.col("f.original_end") <= F.col("r.end"))
+    for k in keys:
+        on = on & (F.col(f"f.{k}") == F.col(f"r.{k}"))
+    held = out.alias("f").join(keeps.alias("r"), on, "left_semi").select(*keys, "start", "end", F.lit("kept").alias("status"))
+    return out.join(held, [*keys, "start", "end"], "left").withColumn("status", F.coalesce("status", F.lit("open")))
+
+
 def unlocated(terms: DataFrame, findings: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Terms of a document that were found nowhere in it."""
     return terms.join(findings.select(doc, "term").distinct(), [doc, "term"], "left_anti")

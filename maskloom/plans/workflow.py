@@ -9,7 +9,7 @@ from maskloom.functions import fold, spans
 from maskloom.operators import audit, detect, lists, mask, metrics, report, retrieval, review, units
 from maskloom.operators import recognizers as R
 from maskloom.plans import masking
-from maskloom.plans.queries import _EDITS, _FOUND, _docs, _found, _spans_sql, _t, _tokens
+from maskloom.plans.queries import _EDITS, _FOUND, _MASKED, _docs, _found, _spans_sql, _t, _tokens
 from maskloom.plans.registry import query
 from maskloom.session import ship
 from maskloom.sources import synthetic, uploads
@@ -224,6 +224,21 @@ def unlocated_terms(spark, d):
     return review.unlocated(_terms(spark, d), found)
 
 
+_IN_MASKED = " UNION ALL ".join(f"""SELECT doc_id, "start", "end", '{t}' AS term FROM ({_spans_sql("(?i)" + t.replace(" ", "[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "r]+"), "mt")})""" for t in _TERMS)
+
+
+@query(f"""WITH {_MASKED}, ed AS (SELECT *, "start" + coalesce(sum(length(token) - ("end" - "start")) OVER (PARTITION BY doc_id ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ms FROM tokens), mt AS (
+  SELECT doc_id, masked_text AS text FROM masked), f AS (SELECT doc_id, "start", "end", min(term) AS term FROM ({_IN_MASKED}) GROUP BY 1, 2, 3), p AS (
+  SELECT f.doc_id AS doc_id, f."start" AS "start", any_value(f."end") AS "end", any_value(f.term) AS term, f."start" + coalesce(max_by(e."end" - e.ms - length(e.token), e.ms), 0) AS a FROM f LEFT JOIN ed e ON e.doc_id = f.doc_id AND e.ms + length(e.token) <= f."start" GROUP BY f.doc_id, f."start", f."end")
+SELECT doc_id, term, CAST(a AS BIGINT) AS original_start, CAST(a + "end" - "start" AS BIGINT) AS original_end, CASE WHEN a + "end" - "start" <= 300 THEN 'kept' ELSE 'open' END AS status FROM p""")
+def placed_findings(spark, d):
+    """Terms found in masked text, where they stand in the original, and whether that is kept."""
+    masked, tokens = masking.mask_documents(_docs(spark, d), R.PLAIN)
+    found = review.locate_terms(masked.select("doc_id", "masked_text"), _terms(spark, d)).select("doc_id", "start", "end", "term")
+    keeps = _docs(spark, d).select("doc_id", F.lit(0).alias("start"), F.lit(300).alias("end"))
+    return review.placed(found, mask.edits(tokens), keeps).select("doc_id", "term", "original_start", "original_end", "status")
+
+
 _FINDINGS = """fi AS (SELECT l_orderkey AS doc_id, l_linenumber AS f, l_returnflag AS term FROM lineitem), de AS (
   SELECT o_orderkey AS doc_id, 1 + o_custkey % 4 AS f, ['A', 'n', 'r', 'MAIL'][o_custkey % 4 + 1] AS term, ['occurrence', 'document'][o_orderkey % 2 + 1] AS scope, ['keep', 'mask', 'unmask'][o_custkey % 3 + 1] AS op, o_orderkey AS t FROM orders WHERE o_orderkey % 3 = 0
   UNION ALL SELECT NULL, NULL, 'n', 'global', 'keep', 1), j AS (
@@ -359,6 +374,16 @@ def located_occurrences(spark, d):
     return _t(spark, d, "part").select("p_partkey", metrics.locate(t, F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(2)).cast("int").alias("second"))
 
 
+@query(f"""WITH {_MASKED} SELECT sp.doc_id AS doc_id, "start", sp.doc_id % 2 = 0 OR contains(masked_text, value) AS leaked FROM sp JOIN masked USING (doc_id)""")
+def export_leaks(spark, d):
+    """Gold values that stand in what was exported: the original for every other document."""
+    gold = _found(spark, d)
+    rows = masking.masked_rows(_docs(spark, d), R.PLAIN)
+    export = rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.col("masked_text")).alias("export_text"))
+    out = metrics.mention_results(gold.withColumnRenamed("value", "surface"), gold, rows.select("doc_id", "masked_text"), export)
+    return out.select("doc_id", "start", F.col("leaked_in_export").alias("leaked"))
+
+
 @query("""WITH c AS (SELECT o_orderkey, o_orderkey % 3 = 0 AS closes, o_orderkey % 2 = 0 AS shipped, o_custkey % 5 = 0 AS leaks FROM orders)
 SELECT o_orderkey, CASE WHEN shipped AND leaks THEN 'critical_false_approval' WHEN closes THEN CASE WHEN shipped THEN 'fail' ELSE 'pass' END WHEN shipped THEN 'pass' ELSE 'conservative' END AS verdict FROM c""")
 def strict_stress(spark, d):
