@@ -8,13 +8,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.llm import words as W
 from maskloom.llm.linear import fit_scale, fit_svm, sigmoid
 from maskloom.llm.lm import bucket_of
-from maskloom.llm.store import prepare, shuffle_partitions
+from maskloom.llm.store import prepare
 
 #: Language families by ISO 639-1 code (fixed values). A code not listed is a family of its own.
 FAMILIES = {
@@ -140,7 +140,7 @@ def identify(
     held_out_mod: int = 4,
     held_out_rest: int = 2,
     rows_per_lang: int = 400,
-    most_langs: int = 64,
+    most_rows: int = 6000,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -149,12 +149,15 @@ def identify(
 
     Inputs are shares of hashed byte 1- to 3-grams of the text alone. A one-versus-rest linear SVM
     picks the family, one-versus-one linear SVMs vote among the languages of that family. They are
-    fitted on the driver on a bounded sample: of the ``most_langs`` commonest languages, the
-    ``rows_per_lang`` training rows of smallest id hash each (whole texts). Prediction is one scan.
+    fitted on the driver on a bounded sample of labelled rows (whole texts): every language that the
+    training rows have gets the same number of rows, about ``rows_per_lang`` or its share of
+    ``most_rows`` if there are many languages, those whose id hash is under the language's threshold.
+    No task holds a language together, and no language is left out. Prediction is one scan.
 
     Null texts and texts without a letter get ``und`` and score 0, as does every text if there are no
-    training rows. Rows with null language or text do not train. Null ids are kept; repeated rows
-    are scored alike; other columns are ignored; an empty table gives an empty result.
+    training rows. Rows with null language, text or id do not train; of rows that repeat an id one
+    trains. Null ids are kept; repeated rows are scored alike; very long texts count whole; other
+    columns are ignored; an empty table gives an empty result.
 
     Returns id, held_out, lang_pred, score (0 to 1).
     """
@@ -162,29 +165,24 @@ def identify(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     out = bucket_of(F.col("id"), held_out_mod) == held_out_rest
-    train = rows.where(~out & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") > 0))
-    common = [r["lang"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
-    picks = train.where(F.col("lang").isin(common)).select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(shuffle_partitions(spark))).alias("salt"))
-    for by in (["lang", "salt"], ["lang"]):  # a common language is first thinned in many tasks
-        first = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("id"), "id"))
-        picks = picks.withColumn("nth", first).where(F.col("nth") <= rows_per_lang).drop("nth")
-    chosen = {r["id"] for r in picks.select("id").collect()}  # at most rows_per_lang * most_langs ids
-    ids = spark.sparkContext.broadcast(np.array(sorted(i for i in chosen if i is not None), np.int64))
+    train = rows.where(~out & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") > 0))
+    counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language, as the model has
+    quota = max(1, min(rows_per_lang, most_rows // max(1, len(counts))))
+    shares = spark.createDataFrame([(lang, min(1.0, quota / n)) for lang, n in counts.items()], "lang string, share double")
+    chance = F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") / float(1 << 53)
+    picks = train.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select("id", "lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.isin(batch.column("id").to_numpy(zero_copy_only=False), ids.value)
-            if keep.any():
-                batch = batch.filter(pa.array(keep))
-                data, at = W.text_bytes(batch.column("text"))
-                vectors = [_frequencies(data[a:b]).astype(np.float32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.record_batch([batch.column("id"), batch.column("lang"), pa.array(vectors, pa.binary())], ["id", "lang", "x"])
-
-    seen = train.where(F.col("id").isNotNull()).mapInArrow(features, "id long, lang string, x binary") if len(ids.value) else None
-    sample = seen.dropDuplicates(["id"]).orderBy("id").toArrow() if seen is not None else None
+            data, at = W.text_bytes(batch.column("text"))
+            vectors = [_frequencies(data[a:b]).astype(np.float32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.record_batch([batch.column("id"), batch.column("lang"), pa.array(vectors, pa.binary())], ["id", "lang", "x"])
+
     held = out.alias("held_out")
+    sample = picks.mapInArrow(features, "id long, lang string, x binary").groupBy("id").agg(F.min(F.struct("lang", "x")).alias("s")).select("id", "s.*").toArrow() if counts else None
     if sample is None or not sample.num_rows:
         return rows.select(F.col("id").alias(id_col), held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    sample = sample.sort_by("id")
     x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float32).reshape(sample.num_rows, WIDTH)
     model = spark.sparkContext.broadcast(fit(x, np.array(sample["lang"].to_pylist(), object)))
 
