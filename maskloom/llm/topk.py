@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.store import prepare, shuffle_partitions
+from maskloom.llm.store import prepare, saved, shuffle_partitions
 
 EXACT = float(1 << 52)
 
@@ -73,18 +73,41 @@ def _packed(rows: int, d: int):
     return pack
 
 
-def _one_block(d: int):
-    """All queries of a block as one row."""
+def _reaching(d: int, seed_ids: np.ndarray, seeds: np.ndarray, k: int):
+    """Queries with ``floor``, a true lower bound of their k-th best product, and ``reach``, the least length that can pass it."""
 
-    def pack(table: pa.Table) -> pa.Table:
-        m = _wide(_matrix(table["vec"]), d)
-        kind = np.int32 if np.abs(m).max(initial=0) < 2**31 else np.float64
-        return pa.table({
-            "qb": table["qb"].slice(0, 1),
-            "qids": pa.array([table["id"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
-            "qmat": pa.array([m.astype(kind).tobytes()], pa.binary()),
-            "qn": pa.array([table.num_rows], pa.int32()),
-        })
+    def run(batches):
+        for batch in batches:
+            q, ids = _wide(_matrix(batch.column("vec")), d), batch.column("id").to_numpy().astype(np.int64)
+            floor = np.full(len(q), -np.inf)
+            first = _products(q, seeds)
+            for r in range(len(q)):  # k-th best product among the longest vectors
+                own = first[r][seed_ids != ids[r]]
+                if len(own) >= k:
+                    floor[r] = np.partition(own, len(own) - k)[len(own) - k]
+            norm = np.sqrt((q * q).sum(1))
+            reach = np.where(floor <= 0, 0.0, floor / np.maximum(norm, 1e-300)) * (1 - 1e-9) - 1e-6
+            yield pa.record_batch([batch.column("id"), batch.column("vec"), pa.array(floor), pa.array(reach)], ["id", "vec", "floor", "reach"])
+
+    return run
+
+
+def _query_blocks(rows: int, d: int):
+    """Consecutive queries as blocks of at most ``rows``, with the least reach of each block."""
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                m = _wide(_matrix(part.column("vec")), d)
+                ids = part.column("id").to_numpy().astype(np.int64)
+                yield pa.record_batch({
+                    "qids": pa.array([ids.tobytes()], pa.binary()),
+                    "qmat": pa.array([m.astype(np.int32 if np.abs(m).max(initial=0) < 2**31 else np.float64).tobytes()], pa.binary()),
+                    "qfloor": pa.array([part.column("floor").to_numpy().tobytes()], pa.binary()),
+                    "qn": pa.array([part.num_rows], pa.int32()),
+                    "reach": pa.array([float(part.column("reach").to_numpy().min())]),
+                })
 
     return pack
 
@@ -119,17 +142,11 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 class _Search:
     """Running top-k of one block of queries over candidate blocks, fed by descending length."""
 
-    def __init__(self, qids, q, rotation, seed_ids, seeds, k, head):
+    def __init__(self, qids, q, floor, rotation, k, head):
         self.ids, self.q, self.k, self.head, self.rotation = qids, q, k, head, rotation
         turned = q @ rotation
         self.front, self.rest = turned[:, :head], np.sqrt((turned[:, head:] ** 2).sum(1))
-        self.norm = np.sqrt((q * q).sum(1))
-        self.floor = np.full(len(q), -np.inf)
-        first = _products(q, seeds)
-        for r in range(len(q)):  # k-th best product among the longest vectors: a true lower bound
-            own = first[r][seed_ids != qids[r]]
-            if len(own) >= k:
-                self.floor[r] = np.partition(own, len(own) - k)[len(own) - k]
+        self.norm, self.floor = np.sqrt((q * q).sum(1)), floor.copy()
         self.top = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in qids]
 
     def feed(self, ids, c, longest):
@@ -167,13 +184,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, head: int = 16, se
 
     Both tables have (id long, vec array<long>). The rotation comes from the Gram matrix of all
     rows (one d x d sum). Vectors are range-partitioned by descending length and packed into blocks
-    of ``block_rows``; queries into blocks of ``query_rows``. The ``seed_rows`` longest vectors give
-    each query a first floor. A block is skipped when query length x block length is under the
-    floor; a vector is skipped when the rotated partial sum of ``head`` dimensions plus the
-    Cauchy-Schwarz bound on the rest is. What remains is multiplied exactly. Every task sends at
-    most k rows a query on. Candidate blocks are dealt to a fixed number of salts and never copied;
-    query blocks are copied to every salt and streamed past its candidates, one block's state at a
-    time. Neither side is broadcast or collected, but for the seeds.
+    of ``block_rows``. The ``seed_rows`` longest vectors give each query a first floor, and so the
+    least length that a candidate needs (its reach); queries are packed by reach into blocks of
+    ``query_rows``. The join drops a pair of blocks whose lengths cannot reach; within a pair a vector
+    is skipped when the rotated partial sum of ``head`` dimensions plus the Cauchy-Schwarz bound on
+    the rest is under the floor. What remains is multiplied exactly. Every task sends at most k rows a
+    query on. Candidate blocks are dealt to a fixed number of salts and never copied; query blocks are
+    copied to every salt and streamed past its candidates, one block's state at a time. Neither side
+    is broadcast or collected, but for the seeds.
 
     Null ids or null vectors take no part; shorter vectors count as filled up with zeros. Ties go to
     the smaller id. Vectors that repeat an id count as rows of their own; a query that is repeated
@@ -204,11 +222,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, head: int = 16, se
     seed_mat = _wide(_matrix(seeds.column("vec")), d)
 
     blocks = vecs.repartitionByRange(deal, *longest_first).sortWithinPartitions(*longest_first).select("id", "vec").mapInArrow(_packed(block_rows, d), PACKED)
-    n_blocks = max(1, -(-asked.count() // query_rows))
-    in_block = asked.withColumn("qb", F.pmod(F.xxhash64("id", "vec"), F.lit(n_blocks)))
-    query_blocks = in_block.groupBy("qb").applyInArrow(_one_block(d), "qb long, qids binary, qmat binary, qn int")
+    # queries of like reach stand in one block, so that a block's least reach says much
+    reaching = saved(asked.mapInArrow(_reaching(d, seed_ids, seed_mat, k), "id long, vec array<long>, floor double, reach double"), "reaching-queries")
+    near = [F.col("reach"), F.col("id")]
+    query_blocks = reaching.repartitionByRange(deal, *near).sortWithinPartitions(*near).mapInArrow(_query_blocks(query_rows, d), "qids binary, qmat binary, qfloor binary, qn int, reach double")
     # every salt has a share of the candidate blocks, longest first, and a copy of all query blocks; the
-    # merge join streams the queries past the candidates of their salt, which it can spill
+    # merge join streams the queries past the candidates of their salt, which it can spill. A pair of
+    # blocks that length rules out does not leave the join
     share = F.pmod(F.xxhash64("ids"), F.lit(deal)).cast("int")
     dealt = blocks.withColumn("salt", share).repartition(deal, "salt").sortWithinPartitions("salt", F.col("norm").desc())
     asking = query_blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
@@ -217,16 +237,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, head: int = 16, se
         now, state = None, None
         for batch in batches:
             for r in batch.to_pylist():
-                if (r["qb"], r["salt"]) != now:
+                if (r["qids"], r["salt"]) != now:
                     if state is not None:
                         yield state.rows()
-                    now = r["qb"], r["salt"]
-                    state = _Search(*_unpacked(r["qids"], r["qmat"], r["qn"], d), rotation, seed_ids, seed_mat, k, min(head, d))
+                    now = r["qids"], r["salt"]
+                    ids, q = _unpacked(r["qids"], r["qmat"], r["qn"], d)
+                    state = _Search(ids, q, np.frombuffer(r["qfloor"]), rotation, k, min(head, d))
                 state.feed(*_unpacked(r["ids"], r["mat"], r["n"], d), r["norm"])
         if state is not None:
             yield state.rows()
 
-    pairs = asking.hint("merge").join(dealt, "salt")
-    found = pairs.select("qb", "salt", "qids", "qmat", "qn", "ids", "mat", "n", "norm").mapInArrow(search, "query_id long, vec_id long, score long")
+    pairs = asking.hint("merge").join(dealt, "salt").where("norm >= reach")
+    found = pairs.select("salt", "qids", "qmat", "qfloor", "qn", "ids", "mat", "n", "norm").mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
