@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.llm import words as W
-from maskloom.llm.automaton import Automaton, best_paths
+from maskloom.llm.automaton import Automaton, Memory, best_paths
 from maskloom.llm.store import prepare
 
 SPACE = "▁".encode()
@@ -32,9 +32,25 @@ class Vocabulary:
     normal: np.ndarray
     bytes_at: np.ndarray  # id of each byte piece
     _auto: Automaton | None = field(default=None, repr=False)
+    _memory: Memory | None = field(default=None, repr=False)
+    _flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_auto": None}
+        return self.__dict__ | {"_auto": None, "_memory": None, "_flat": None}
+
+    @property
+    def bodies(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sizes, starts, bytes) of all pieces."""
+        if self._flat is None:
+            size = np.array([len(b) for b in self.body], np.int64)
+            self._flat = size, np.cumsum(size) - size, np.frombuffer(b"".join(self.body), np.uint8)
+        return self._flat
+
+    def memory(self, kind: type) -> Memory:
+        """What this process remembers of strings that it has met under this vocabulary."""
+        if self._memory is None:
+            self._memory = Memory(kind)
+        return self._memory
 
     @property
     def automaton(self) -> Automaton:
@@ -115,29 +131,31 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
         h = W.Words(data, starts, ends, first).hashes()
-        _, where, which = np.unique(h, return_index=True, return_inverse=True)
-        who, end, piece = best_paths(vocab.automaton, vocab.score, vocab.unknown, data, starts[where], ends[where] - starts[where])
+        h, where, which = np.unique(h, return_index=True, return_inverse=True)
+        begin, size, flat = vocab.memory(np.int32).fetch(h, lambda new: self._paths(data, starts[where[new]], ends[where[new]]))
+        n = size[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.arange(total[-1]) + np.repeat(begin[which] - total[:-1], n)]
+        return ids, total[first]
+
+    def _paths(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids) of the best path of each unit."""
+        vocab = self.vocab
+        who, end, piece = best_paths(vocab.automaton, vocab.score, vocab.unknown, data, starts, ends - starts)
         if (piece < 0).any():  # characters spelt by bytes
             begin = np.zeros(len(end), np.int64)
             begin[1:] = np.where(who[1:] == who[:-1], end[:-1], 0)
             n = np.where(piece < 0, end - begin, 1)
             row = np.repeat(np.arange(len(n)), n)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            spelt = vocab.bytes_at[data[np.minimum(starts[where][who[row]] + begin[row] + nth, len(data) - 1)]]
+            spelt = vocab.bytes_at[data[np.minimum(starts[who[row]] + begin[row] + nth, len(data) - 1)]]
             piece, who = np.where(piece[row] < 0, spelt, piece[row]), who[row]
-        size = np.bincount(who, minlength=len(where))
-        begin = np.cumsum(size) - size
-        n = size[which]
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = piece[np.arange(total[-1]) + np.repeat(begin[which] - total[:-1], n)]
-        return ids.astype(np.int32), total[first]
+        return np.bincount(who, minlength=len(starts)), piece.astype(np.int32)
 
 
 def decode(vocab: Vocabulary, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets by text) of ids; the space before each text is taken off."""
-    size = np.array([len(b) for b in vocab.body], np.int64)
-    flat = np.frombuffer(b"".join(vocab.body), np.uint8)
-    begin = np.cumsum(size) - size
+    size, begin, flat = vocab.bodies
     n = size[ids]
     total = np.concatenate([[0], np.cumsum(n)])
     data = flat[np.arange(total[-1]) + np.repeat(begin[ids] - total[:-1], n)]
@@ -159,6 +177,8 @@ def encode_texts(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", te
     decoding is exact. A scan without shuffles; the vocabulary is broadcast (its size is the model's).
 
     Null and empty texts have no ids. Every row is kept, repeated ones too, and null ids stay null.
+    Very long texts are encoded whole; a unit of over ``LONG`` bytes is walked byte by byte, in time
+    linear in its length. What was found for a unit is remembered in the worker, up to a bound.
     Other columns are ignored; an empty table gives an empty result.
 
     Returns id, n_pieces long, pieces array<int>, round_trip boolean.
