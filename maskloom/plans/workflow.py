@@ -413,7 +413,7 @@ def class_char_recall(spark, d):
     return metrics.class_char_recall(found.withColumnRenamed("value", "surface").withColumn("identifier_class", direct), pred)
 
 
-@query("""SELECT count(*) AS calls, CAST(sum(o_custkey) AS BIGINT) AS tokens, round(sum(0.1 + o_orderkey % 10), 3) AS seconds, count(*) FILTER (WHERE o_orderkey % 4 <> 0) AS readable, min(0.1 + o_orderkey % 10) > 0.05 AND count(*) FILTER (WHERE o_orderkey % 4 <> 0) * 2 > count(*) AS plausible FROM orders""")
+@query("""SELECT count(*) AS calls, CAST(sum(o_custkey) AS BIGINT) AS tokens, CAST(round(sum(0.1 + o_orderkey % 10), 3) AS DOUBLE) AS seconds, count(*) FILTER (WHERE o_orderkey % 4 <> 0) AS readable, min(0.1 + o_orderkey % 10) > 0.05 AND count(*) FILTER (WHERE o_orderkey % 4 <> 0) * 2 > count(*) AS plausible FROM orders""")
 def model_evidence(spark, d):
     k = F.col("o_orderkey")
     return report.model_evidence(_t(spark, d, "orders").select((0.1 + k % 10).alias("seconds"), F.col("o_custkey").alias("tokens"), (k % 4 != 0).alias("ok")))
