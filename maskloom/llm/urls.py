@@ -7,6 +7,7 @@ import string
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,37 +23,34 @@ RULES = (
 
 @dataclass(frozen=True)
 class Bloom:
-    """A Bloom filter held as 64-bit words, tested by JVM expressions only."""
+    """A Bloom filter held as bytes, one binary literal of the plan, tested by JVM expressions only."""
 
     seed: int
     bits: int
     hashes: int
-    words: tuple[int, ...]
+    table: bytes
 
     def positions(self, key: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(key, F.lit(self.seed), F.lit(i)), F.lit(self.bits)) for i in range(self.hashes)]
 
     def holds(self, key: Column) -> Column:
-        table = F.array(*[F.lit(w).cast("long") for w in self.words])
         found = F.lit(True)
         for at in self.positions(key):
-            word = F.element_at(table, (F.floor(at / 64) + 1).cast("int"))
-            found = found & (F.getbit(word, (at % 64).cast("int")) == 1)
+            one = F.substring(F.lit(self.table), (F.floor(at / 8) + 1).cast("int"), F.lit(1))
+            byte = F.ascii(F.decode(one, "ISO-8859-1"))  # of one byte, its value
+            found = found & (F.getbit(byte, (at % 8).cast("int")) == 1)
         return found
 
 
 def _bloom(spark: SparkSession, keys: list[str], seed: int, rate: float) -> Bloom:
     bits = max(64, math.ceil(-len(keys) * math.log(rate) / math.log(2) ** 2 / 64) * 64)
-    hashes = max(1, round(bits / max(1, len(keys)) * math.log(2)))
-    empty = Bloom(seed, bits, min(hashes, 16), ())
-    words = [0] * (bits // 64)
+    hashes = min(16, max(1, round(bits / max(1, len(keys)) * math.log(2))))
+    empty = Bloom(seed, bits, hashes, b"")
+    table = np.zeros(bits, np.uint8)
     if keys:
-        rows = spark.createDataFrame([(k,) for k in keys], "key string").select(F.array(*empty.positions(F.col("key"))).alias("at"))
-        for row in rows.collect():
-            for at in row["at"]:
-                words[at // 64] |= 1 << (at % 64)
-    signed = tuple(w - (1 << 64) if w >> 63 else w for w in words)
-    return Bloom(seed, bits, empty.hashes, signed)
+        rows = spark.createDataFrame([(k,) for k in keys], "key string").select(F.explode(F.array(*empty.positions(F.col("key")))).alias("at"))
+        table[rows.toArrow()["at"].to_numpy()] = 1
+    return Bloom(seed, bits, hashes, np.packbits(table, bitorder="little").tobytes())
 
 
 @dataclass(frozen=True)
@@ -127,8 +125,9 @@ def judge_urls(
     the shape of some rule; one cascade for allowed and one for blocked keys over that universe give
     exact membership, so judging is a scan with neither join nor shuffle. Without a fitting rule the
     verdict is ``default``. Null urls and urls without ``://`` have empty host and path and no rule.
-    Every row is kept, repeated ones too; an empty table gives an empty result. Other columns of the
-    table are ignored. The rule list is the caller's and must fit the driver.
+    Every row is kept, repeated ones and null ids too; an empty table gives an empty result. Other
+    columns of the table are ignored. The rule list is the caller's and must fit the driver; the plan
+    holds its filters as one binary each, a few bits a rule.
 
     Returns id, host, path, rule, verdict.
     """

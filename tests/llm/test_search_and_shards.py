@@ -54,6 +54,24 @@ def test_top_k_of_large_components(spark):
     check_top_k(spark, v, v[:5], head=2, seed_rows=4, block_rows=8)
 
 
+def test_top_k_of_repeated_ids(spark):
+    rng = random.Random(6)
+    v = [(i % 7, [rng.randrange(-9, 9) for _ in range(5)]) for i in range(40)]
+    rows = [(i, x) for i, x in v]
+    schema = "id long, vec array<long>"
+    df = spark.createDataFrame(rows, schema)
+    got = {(r["query_id"], r["rank"]): r["score"] for r in topk.top_k(df, df.where("id = 3"), 4).collect()}
+    scores = sorted((sum(a * b for a, b in zip(x, y)) for q, x in {(q, tuple(x)) for q, x in rows if q == 3} for i, y in rows if i != 3), reverse=True)
+    assert [got[3, r] for r in range(1, 5)] == scores[:4]
+    assert topk.top_k(df.union(df.limit(2)), df.where("id = 2"), 3).count() == 3
+
+
+def test_blocks_out_of_reach_do_not_matter(spark):
+    """Long vectors first: short ones cannot reach the floor, and ties at the floor still count."""
+    v = [(i, [100, i % 3]) for i in range(30)] + [(100 + i, [1, 1]) for i in range(200)] + [(500, [100, 0]), (501, [0, 0])]
+    check_top_k(spark, v, [(900, [1, 0]), (901, [-1, 0]), (902, [0, 0]), v[0]], head=1, seed_rows=12, query_rows=1, block_rows=16)
+
+
 def test_top_k_of_nothing(spark):
     check_top_k(spark, [], [])
     check_top_k(spark, made(1, 5, 3), [])
@@ -140,6 +158,18 @@ def test_urls_against_brute_force(spark):
     check_urls(spark, URLS, [("example.com", "", "block"), ("com", "/", "allow"), ("x.net", "/es", "block")])
 
 
+def test_null_and_repeated_page_ids(spark):
+    df = spark.createDataFrame([(None, "http://x.net/es/1"), (3, "http://x.com/"), (3, "http://x.com/"), (None, None)], "page_id long, url string")
+    assert sorted((str(r["page_id"]), r["rule"], r["verdict"]) for r in urls.judge_urls(df).collect() if r["rule"]) == [("3", "com/", "allow"), ("3", "com/", "allow"), ("None", "net/es/", "block")]
+    assert urls.judge_urls(df).count() == 4
+
+
+def test_many_rules(spark):
+    rules = [(f"h{i}.org", f"/p{i % 7}/", "block" if i % 3 else "allow") for i in range(3000)]
+    found = [f"http://www.h{i}.org/p{i % 7 if i % 2 else 9}/x" for i in range(0, 4000, 3)]
+    check_urls(spark, found, rules)
+
+
 @given(st.lists(st.text(alphabet="ac.:/en?#xX", max_size=20).map(lambda s: "http://" + s), max_size=30))
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_random_urls(spark, found):
