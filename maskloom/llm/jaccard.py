@@ -14,7 +14,7 @@ from maskloom.llm import words as W
 from maskloom.llm.components import components
 from maskloom.llm.copies import Distinct, filtered
 from maskloom.llm.sketch import SCHEMA, add, bitmap, counted, merged, slots, width_for
-from maskloom.llm.store import dropped, saved
+from maskloom.llm.store import dropped, saved, shuffle_partitions
 
 SIGNATURES = "key long, id long, n int, room int"
 #: Sets below 2^SMALL shingles use single tokens of any class.
@@ -395,7 +395,7 @@ def _with_links(reps: DataFrame, held: DataFrame, sets_of: Callable[[Broadcast],
     sizes = saved(sizes.withColumn("blocks", blocks), "component-sizes")
     easy = rows.join(sizes.where(F.col("texts") <= settled), "label").select("id", "key", (F.col("total") - F.col("held")).alias("far"))
     open_sizes = sizes.where(F.col("texts") > settled)
-    deal = int((open_sizes.where("blocks = 1").agg(F.sum("shingles")).first()[0] or 0) // SHINGLES) + 1
+    deal = max(shuffle_partitions(reps.sparkSession), int((open_sizes.where("blocks = 1").agg(F.sum("shingles")).first()[0] or 0) // SHINGLES) + 1)
     large = F.col("blocks") > 1
     cell = F.when(large, F.pmod(F.xxhash64("id", "key"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("label"), F.lit(deal)))
     todo = saved(rows.join(open_sizes, "label").select("id", "key", "label", "held", large.alias("large"), cell.cast("int").alias("cell")), "texts-to-count")
