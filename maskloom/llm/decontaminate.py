@@ -149,6 +149,8 @@ def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id") -> DataFram
     bad = saved(bad.select(F.col(id_col).cast("long").alias(id_col)).where(F.col(id_col).isNotNull()).distinct(), "dropped-ids")
     bits = bitmap(bad, id_col, bad.count())
     steer = "__maskloom_steer"
+    while steer in docs.columns:
+        steer += "_"
     marked = docs.withColumn(steer, F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
     clear = marked.mapInArrow(lambda it: filtered(it, bits.value, steer, False), marked.schema).drop(steer)
     doubtful = marked.mapInArrow(lambda it: filtered(it, bits.value, steer, True), marked.schema).drop(steer)

@@ -266,6 +266,9 @@ def test_without_keeps_all_else(spark, make_docs):
     out = decontaminate.without(docs, bad)
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect() if r["text"]) == [(0, "d"), (1, "a")]
+    clash = docs.withColumn("__maskloom_steer", docs.text)
+    again = decontaminate.without(clash, bad)
+    assert again.columns == clash.columns and sorted(r["__maskloom_steer"] for r in again.collect() if r["text"]) == ["a", "d"]
 
 
 def test_distinct_texts(spark, make_docs):
