@@ -114,21 +114,24 @@ def score_texts(
         at = np.minimum(np.searchsorted(w, h), len(w) - 1)
         return np.where(w[at] == h, c[at], 0)
 
+    def chances(words: W.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the summed probability of some words' segmentations, each with its mark before it."""
+        starts, lengths = words.starts[which], words.ends[which] - words.starts[which]
+        total = np.concatenate([[0], np.cumsum(lengths + 1)])
+        data = np.full(total[-1], 0x20, np.uint8)
+        step = np.arange(int(lengths.sum()))
+        before = np.cumsum(lengths) - lengths
+        data[step + np.repeat(total[:-1] + 1 - before, lengths)] = words.data[step + np.repeat(starts - before, lengths)]
+        return np.ones(len(which), np.int64), marginals(vocab.value.automaton, *weights.value, data, total[:-1], lengths + 1) / LN10
+
     def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = vocab.value.automaton
         for part, words in _texts(batches):
             h = words.hashes()
-            _, where, which = np.unique(h, return_index=True, return_inverse=True)
-            starts, lengths = words.starts[where], words.ends[where] - words.starts[where]
-            # each word with its mark before it
-            total = np.concatenate([[0], np.cumsum(lengths + 1)])
-            data = np.full(total[-1], 0x20, np.uint8)
-            step = np.arange(int(lengths.sum()))
-            before = np.cumsum(lengths) - lengths
-            data[step + np.repeat(total[:-1] + 1 - before, lengths)] = words.data[step + np.repeat(starts - before, lengths)]
-            each = marginals(automaton, *weights.value, data, total[:-1], lengths + 1) / LN10
-            count = lookup(h)
-            sums = [np.concatenate([[0], np.cumsum(x)]) for x in (each[which] + go_on, count > 0, np.log10(count + 1.0))]
+            kinds, where, which = np.unique(h, return_index=True, return_inverse=True)
+            begin, _, flat = vocab.value.memory(np.float64).fetch(kinds, lambda new: chances(words, where[new]))  # noqa: B023
+            each = flat[begin]
+            count = lookup(kinds)
+            sums = [np.concatenate([[0], np.cumsum(x[which])]) for x in (each + go_on, count > 0, np.log10(count + 1.0))]
             per = [s[words.first[1:]] - s[words.first[:-1]] for s in sums]
             yield pa.record_batch([
                 part.column("id"), part.column("key"),
@@ -142,7 +145,8 @@ def score_texts(
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _texts(batches):
             h = words.hashes()
-            rare = lookup(h) == 0
+            kinds, which = np.unique(h, return_inverse=True)
+            rare = (lookup(kinds) == 0)[which]
             below = np.concatenate([[0], np.cumsum(rare)])
             first, h = below[words.first], h[rare]
             doc = np.repeat(np.arange(len(first) - 1), np.diff(first))

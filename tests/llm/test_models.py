@@ -69,6 +69,42 @@ def test_pieces_against_plain_viterbi():
         assert list(got) == want or score(VOCAB, got) == score(VOCAB, want), text
 
 
+def test_long_unbroken_runs(monkeypatch):
+    """Walked byte by byte they give what they give in step, and a run of a megabyte takes seconds."""
+    from time import perf_counter
+
+    from maskloom.llm import automaton
+
+    rng = random.Random(5)
+    runs = ["".join(rng.choice("etaoinshrdlu") for _ in range(3000)), "é日" * 700, "=" * 1500, "".join(map(chr, range(33, 1200)))]
+    alone = encode(runs)
+    weight, byte_weight = lm.piece_weights(VOCAB, "ranks")
+    data = "".join(" " + r for r in runs).encode()
+    sizes = np.array([len(r.encode()) + 1 for r in runs])
+    sums = lambda: marginals(VOCAB.automaton, weight, byte_weight, np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes, sizes)
+    one = sums()
+    monkeypatch.setattr(automaton, "LONG", 1 << 30)
+    VOCAB._memory = None
+    assert [list(x) for x in encode(runs)] == [list(x) for x in alone] == [best_by_hand(VOCAB, r) for r in runs]
+    assert one == pytest.approx(sums())
+    monkeypatch.undo()
+    VOCAB._memory = None
+    began = perf_counter()
+    whole = "".join(rng.choices("etaoinshrdlu", k=1 << 20))
+    assert decode(encode([whole])) == [whole]
+    assert perf_counter() - began < 60
+
+
+def test_what_is_remembered_changes_nothing(monkeypatch):
+    from maskloom.llm import automaton
+
+    texts = ["the other and the", "other ñ x", "", "the"] * 3
+    VOCAB._memory = None
+    first = [list(x) for x in encode(texts)]
+    monkeypatch.setattr(automaton, "REMEMBERED", 2)
+    assert [list(x) for t in texts for x in encode([t])] == first
+
+
 @given(st.lists(st.text(max_size=60), max_size=8))
 @settings(max_examples=80, deadline=None)
 def test_round_trip(texts):
@@ -122,6 +158,10 @@ def test_encoding_query(spark, make_docs):
     out = pieces.encode_texts(make_docs(texts, extra=True))
     rows = {r["doc_id"]: r for r in out.collect()}
     assert all(r["round_trip"] and r["n_pieces"] == len(r["pieces"]) for r in rows.values()) and len(rows) == len(texts)
+    odd = make_docs([(None, "a b"), (7, "x"), (7, "x"), (7, "y")])
+    assert sorted((r["doc_id"] or 0, r["round_trip"]) for r in pieces.encode_texts(odd).collect()) == [(0, True), (7, True), (7, True), (7, True)]
+    lists = spark.createDataFrame([(1, None, "z"), (None, [], "z")], "doc_id long, pieces array<int>, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in pieces.decode_pieces(lists).collect()) == [(0, ""), (1, "")]
     back = {r["doc_id"]: r["text"] for r in pieces.decode_pieces(out).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert pieces.encode_texts(make_docs([])).count() == 0
@@ -199,6 +239,11 @@ def test_lm_with_repeated_and_null_ids(make_docs):
     check_lm(make_docs, [(1, "a b a"), (1, "a b a"), (1, "c"), (None, "a d"), (None, None)], frequent=1)
 
 
+def test_lm_of_very_long_texts(make_docs):
+    rng = random.Random(3)
+    check_lm(make_docs, [" ".join(f"w{rng.randrange(900)}" for _ in range(30000)), "xy" * 40, "short"])
+
+
 def test_lm_of_nothing(make_docs):
     assert lm.score_texts(make_docs([])).count() == 0
     check_lm(make_docs, [""])
@@ -250,6 +295,64 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in langid.identify(one.withColumn("lang", one.lang.substr(9, 1)).selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
 
 
+def shares_by_hand(text):
+    """Shares of hashed byte 1- to 3-grams, gram by gram."""
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+    data, out, offset = [fold(b) for b in text.encode()], np.zeros(langid.WIDTH), 0
+    for n, size in enumerate(langid.SIZES, 1):
+        grams = [data[i : i + n] for i in range(len(data) - n + 1)]
+        for g in grams:
+            value = 0
+            for b in g:
+                value = (value << 8 | b) % 2**32
+            out[offset + (value * 2654435761 % 2**32 >> 32 - (size.bit_length() - 1))] += 1 / len(grams)
+        offset += size
+    return out
+
+
+def choose_by_hand(model, text):
+    """The family by its largest margin, then votes of the pairs inside it; (language, score)."""
+    m = [float(shares_by_hand(text) @ w + b) for w, b in zip(model.weights.T, model.bias)]
+    p = [1 / (1 + math.exp(-x * s)) for x, s in zip(m, model.slope)]
+    nf = len(model.families)
+    f = max(range(nf), key=lambda i: m[i])
+    sure = p[f] / sum(p[:nf]) if nf > 1 else 1.0
+    langs = model.langs[model.families[f]]
+    votes, belief = Counter(), Counter()
+    for j, (a, b) in enumerate(model.pairs):
+        if a in langs:
+            chance = p[nf + j]
+            votes[a if chance > 0.5 else b] += 1
+            belief[a] += chance
+            belief[b] += 1 - chance
+    best = max(langs, key=lambda x: (votes[x], belief[x]))
+    return best, sure * (belief[best] / (len(langs) - 1) if len(langs) > 1 else 1)
+
+
+def test_language_against_both_levels_by_hand(spark):
+    rows, df = lang_docs(spark, 160, 4)
+    rows += [(1000, "THE and ñ é. " * 2000, None), (1001, "x", None), (1002, "日本 der", None), (1003, "", None)]
+    df = df.unionByName(spark.createDataFrame([(i, t, None, "x", "y") for i, t, _ in rows[-4:]], df.schema))
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df).collect()}
+    train = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2]  # fewer than a language's quota: all of them
+    x = np.array([shares_by_hand(t) for _, t, _ in train]).astype(np.float32)
+    model = langid.fit(x, np.array([lang for *_, lang in train], object))
+    assert model.families == ["germanic", "romance"] and len(model.pairs) == 2
+    for i, text, _ in rows:
+        want = choose_by_hand(model, text) if text else ("und", 0.0)
+        assert out[i][0] == want[0] and out[i][1] == pytest.approx(want[1], abs=1e-3), i
+
+
+def test_every_language_is_learnt(spark):
+    """Many languages share the budget of rows; none is left out, and a common one is cut to its share."""
+    letters = [chr(a) + chr(b) for a in range(97, 110) for b in range(97, 103)]
+    rows = [(i, f"{s} {s}{s} " * 4, f"x{s}") for i, s in enumerate(letters * 6)] + [(1000 + i, "zz zq " * 5, "common") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, rows_per_lang=30, most_rows=800).collect()}
+    assert set(out.values()) == {f"x{s}" for s in letters} | {"common"}
+    assert sum(out[i] == lang for i, _, lang in rows) > 0.95 * len(rows)
+
+
 # --- toxicity ---
 
 BAD = ["grumpf", "zorkel", "blixt"]
@@ -312,6 +415,41 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score(docs, odd).count() == docs.count()
 
 
+def features_by_hand(sentence):
+    """Cells of a sentence's words and of their first four and six bytes."""
+    plain = "".join(chr(b + 32) if 65 <= b <= 90 else chr(b) if 97 <= b <= 122 or 48 <= b <= 57 else " " if b < 128 else chr(b) for b in sentence.encode())
+    out = []
+    for w in plain.split(" "):
+        if w:
+            raw = w.encode("latin-1")
+            h = lambda x: W.Words(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]), np.array([0, 1])).hashes()
+            top = np.uint64(64 - (toxicity.WIDTH.bit_length() - 1))
+            out += [int(h(raw)[0] >> top)] + [int(W.mix(h(raw[:n]) + np.uint64(n))[0] >> top) for n in toxicity.STEMS]
+    return out
+
+
+def test_toxicity_against_training_and_scores_by_hand(spark):
+    """The query's scores are those of a model trained on the same documents, with every sentence scored by itself."""
+    rows, marks, docs, labels = toxic_docs(spark, 160, 5)
+    long = ". ".join(["w1 w2 w3"] * 20000) + ". a grumpf b"
+    more = docs.unionByName(spark.createDataFrame([(900, long, "", ""), (901, "É grumpf! w5", "", "")], docs.schema))
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(more, labels).collect()}
+    train = [(t, m) for (i, t, *_), (_, m) in zip(rows, marks) if zlib.crc32(str(i).encode()) % 3 != 1]
+    split = [[s for s in __import__("re").split(r"[!.?\n\r]", t)] for t, _ in train]
+    per = [[features_by_hand(s) for s in text] for text in split]
+    flat = [f for text in per for f in text]
+    cells = np.array([c for f in flat for c in f]).reshape(-1, 3).T
+    first_word = np.cumsum([0] + [len(f) // 3 for f in flat])
+    model = toxicity.fit(cells.astype(np.int32), first_word, np.cumsum([0] + [len(t) for t in per]), np.array([m for _, m in train]))
+    for i, text in [(i, t) for i, t, *_ in rows[:60]] + [(901, "É grumpf! w5")]:
+        none = 1.0
+        for s in __import__("re").split(r"[!.?\n\r]", text):
+            if f := features_by_hand(s):
+                none *= 1 - 1 / (1 + math.exp(-(model.bias + sum(model.weights[c] for c in f))))
+        assert out[i] == pytest.approx(1 - none, abs=1e-4), i
+    assert out[900] > 0.7
+
+
 def test_rejecting_keeps_columns_and_clean_rows(spark):
     _, marks, docs, labels = toxic_docs(spark, 150)
     kept = toxicity.reject(docs, labels)
