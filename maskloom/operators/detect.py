@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.fold import _fold, collapsed
 from maskloom.functions.spans import let, regex_spans, spans_in, unmarked
-from maskloom.operators.recognizers import ALL, NAME_LABELS, Recognizer
+from maskloom.operators.recognizers import ALL, LONG_RUN, NAME_LABELS, Recognizer
 from maskloom.operators.types import flag_of, tier_of
 
 THRESHOLD, UPLIFT = 0.4, 0.35
@@ -30,7 +30,7 @@ def folded(text: Column) -> Column:
     return F.replace(F.replace(F.lower(text), F.lit("ı"), F.lit("i")), F.lit("\u0307"), F.lit(""))
 
 
-def _hits(text: Column, low: Column, r: Recognizer) -> Column:
+def _hits(text: Column, low: Column, run: Column, r: Recognizer) -> Column:
     hits = spans_in(text, r.regex)
     if r.trim:
         inner = lambda h: F.regexp_extract(h["value"], r.trim, 1)
@@ -45,18 +45,20 @@ def _hits(text: Column, low: Column, r: Recognizer) -> Column:
         return F.struct(h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value"), F.lit(r.entity_type).alias("entity_type"), score.cast("double").alias("score"), F.lit(r.source).alias("source"))
 
     found = F.transform(hits, scored)
-    if not r.needs:
+    if not r.needs and not r.long_run:
         return found
-    may = F.lit(False)
+    may = F.lit(not r.needs)
     for w in r.needs:
         may = may | F.contains(low, F.lit(w))
+    if r.long_run:
+        may = run & may
     return F.when(may, found).otherwise(F.array().cast(f"array<{FOUND}>"))
 
 
 def found_in(text: Column, recognizers: Iterable[Recognizer] = ALL, threshold: float = THRESHOLD) -> Column:
     """array of spans that reach the threshold, of all recognizers, from one reading of the text; null for null."""
     recognizers = tuple(recognizers)
-    every = lambda t: let(folded(t), lambda low: F.concat(*[_hits(t, low, r) for r in recognizers]))
+    every = lambda t: let(folded(t), lambda low: let(t.rlike(LONG_RUN), lambda run: F.concat(*[_hits(t, low, run, r) for r in recognizers])))
     hits = F.when(text.isNotNull(), let(unmarked(text), every))
     return F.filter(hits, lambda h: h["score"] >= threshold)
 
