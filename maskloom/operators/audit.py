@@ -25,6 +25,8 @@ HARD_PATTERNS = (
     ("SECRET", r"\bAIza[0-9A-Za-z_\-]{18,}\b"),
     ("SECRET", r"(?i)\b(?:api[_\s-]?key|secret|token|bearer|password|passwd)\b[\s:=]+[A-Za-z0-9_\-.]{12,}"),
 )
+#: For each of them, lower-case strings of which a text with a hit has one; "#" stands for seven digits, blanks and dashes aside.
+HARD_NEEDS = (("@",), ("#",), ("#",), (), ("_live_", "_test_"), ("akia",), ("ghp_",), ("aiza",), ("api", "secret", "token", "bearer", "password", "passwd", "ſ"))
 MOST_ITEMS, MOST_COMBINED = 25, 30
 #: Replacements in logs, in this order.
 LOG_PATTERNS = (
@@ -63,12 +65,22 @@ ITEM = "struct<code:string,start:int,end:int,value:string>"
 def residuals(text: Column) -> Column:
     """array<struct<code, start, end, value>> of hard patterns and valid TCKNs outside placeholders; null for null."""
 
-    def found(bare: Column) -> Column:
+    def found(bare: Column, low: Column, run: Column) -> Column:
         coded = lambda hits, code: F.transform(hits, lambda h: F.struct(F.lit(code).alias("code"), h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value")))
+        none = F.array().cast(f"array<{ITEM}>")
+
+        def where(needs: tuple[str, ...], hits: Column) -> Column:
+            may = F.lit(not needs)
+            for w in needs:
+                may = may | (run if w == "#" else F.contains(low, F.lit(w)))
+            return F.when(may, hits).otherwise(none)
+
         numbers = F.filter(spans_in(bare, UNICODE + r"\b\d{11}\b"), lambda h: tckn_valid(h["value"]))
-        return F.concat(*[coded(spans_in(bare, UNICODE + p), code) for code, p in HARD_PATTERNS], coded(numbers, "TCKN"))
+        hits = [where(needs, coded(spans_in(bare, UNICODE + p), code)) for (code, p), needs in zip(HARD_PATTERNS, HARD_NEEDS, strict=True)]
+        return F.concat(*hits, where(("#",), coded(numbers, "TCKN")))
 
-    return F.when(text.isNotNull(), let(unmarked(F.regexp_replace(text, PLACEHOLDER, " ")), found))
+    every = lambda bare: let(F.lower(bare), lambda low: let(bare.rlike(UNICODE + r"\d(?:[ -]?\d){6}"), lambda run: found(bare, low, run)))
+    return F.when(text.isNotNull(), let(unmarked(F.regexp_replace(text, PLACEHOLDER, " ")), every))
 
 
 def judged(items: Column) -> Column:
