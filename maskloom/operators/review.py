@@ -60,16 +60,21 @@ def pending(findings: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def decided(findings: DataFrame, decisions: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Findings with the status that the last decision of their scope sets: occurrence, document or global."""
-    rank = F.when(F.col("d.scope") == "occurrence", 3).when(F.col("d.scope") == "document", 2).otherwise(1)
-    same = (
-        ((F.col("d.scope") == "occurrence") & (F.col(f"d.{doc}") == F.col(f"f.{doc}")) & (F.col("d.f") == F.col("f.f")))
-        | ((F.col("d.scope") == "document") & (F.col(f"d.{doc}") == F.col(f"f.{doc}")))
-        | (F.col("d.scope") == "global")
-    )
-    both = findings.alias("f").join(decisions.alias("d"), (F.lower("f.term") == F.lower("d.term")) & same, "left")
-    out = both.groupBy(*[F.col(f"f.{c}").alias(c) for c in findings.columns]).agg(F.max_by("d.op", F.struct(rank, F.col("d.at"))).alias("op"))
-    return out.withColumn("status", F.when(F.col("op").isin("keep", "unmask"), "kept").when(F.col("op") == "mask", "masked").otherwise("open")).drop("op")
+    """Findings with the status that the last decision of their scope sets: occurrence, document or global.
+
+    Each scope is an equality join with its last decisions, one a key, so that rows grow with the
+    findings, however many decisions name a term. Equal findings are one row.
+    """
+    columns = findings.columns
+    out = findings.distinct().withColumn("__term", F.lower("term"))
+    scopes = {"occurrence": [doc, "f", "__term"], "document": [doc, "__term"], "global": ["__term"]}
+    for scope, keys in scopes.items():
+        made = decisions.where(F.col("scope") == scope).withColumn("__term", F.lower("term"))
+        last = made.groupBy(*keys).agg(F.max_by(F.struct("op"), F.struct("at")).alias(f"__{scope}"))
+        out = out.join(last, keys, "left")
+    op = F.coalesce(*[F.col(f"__{scope}") for scope in scopes])["op"]
+    status = F.when(op.isin("keep", "unmask"), "kept").when(op == "mask", "masked").otherwise("open")
+    return out.withColumn("status", status).select(*columns, *([] if "status" in columns else ["status"]))
 
 
 def fresh(decisions: DataFrame, state: DataFrame, doc: str = "doc_id") -> DataFrame:

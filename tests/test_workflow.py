@@ -153,6 +153,17 @@ def test_decisions(spark):
     assert [r["doc_id"] for r in review.fresh(stale, state).collect()] == ["d"] == [r["doc_id"] for r in review.may_approve(state).collect()]
 
 
+def test_decisions_on_one_term_are_not_paired_with_all_its_findings(spark):
+    n = 4000
+    f = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("f"), F.lit("Ada").alias("term"))
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("f"), F.lit("ADA").alias("term"), F.lit("document").alias("scope"), F.when(F.col("id") % 2 == 0, "mask").alias("op"), F.col("id").alias("at"))
+    every = d.where("doc_id < 2").withColumn("scope", F.lit("global")).withColumn("op", F.lit("keep"))
+    out = review.decided(f.union(f), d.where("doc_id < 3000").unionByName(every))
+    assert {(r["status"], r["count"]) for r in out.groupBy("status").count().collect()} == {("masked", 1500), ("open", 1500), ("kept", 1000)}
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and not any(" OR " in line for line in joins)  # equalities only: a hot term makes no pairs
+
+
 def test_lists_and_pages(spark):
     final = table(spark, [("a", "masked", "A")], "key string, state string, term string")
     repairs = table(spark, [("a", "open", "a"), ("b", "open", "b")], "key string, state string, term string")
