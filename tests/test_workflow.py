@@ -164,6 +164,15 @@ def test_decisions_on_one_term_are_not_paired_with_all_its_findings(spark):
     assert joins and not any(" OR " in line for line in joins)  # equalities only: a hot term makes no pairs
 
 
+def test_pending_of_decided_findings(spark):
+    f = spark.range(3000).select((F.col("id") % 1000).alias("doc_id"), (F.col("id") / 1000).cast("int").alias("f"), F.lit("Ada").alias("term"))
+    d = f.where("f = 1 and doc_id < 400").select("doc_id", "f", F.lit("ada").alias("term"), F.lit("occurrence").alias("scope"), F.lit("mask").alias("op"), F.lit(1).alias("at"))
+    whole = d.where("doc_id < 100").withColumn("scope", F.lit("document"))
+    out = review.pending(review.decided(f, d.union(whole)))
+    assert {(r["pending"], r["count"]) for r in out.groupBy("pending").count().collect()} == {(0, 100), (2, 300), (3, 600)}
+    assert not any(" OR " in line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line)
+
+
 def test_lists_and_pages(spark):
     final = table(spark, [("a", "masked", "A")], "key string, state string, term string")
     repairs = table(spark, [("a", "open", "a"), ("b", "open", "b")], "key string, state string, term string")
