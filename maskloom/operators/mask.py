@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,15 +53,29 @@ def edits(tokens: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return out.withColumn("masked_end", F.col("masked_start") + F.char_length("token"))
 
 
+def latest(value: Column) -> Column:
+    """The last value that is not null."""
+    return F.last(value, ignorenulls=True)
+
+
+def as_of(rows: DataFrame, at: str, marks: DataFrame, mark_at: str, value: Column, how: Callable[[Column], Column], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Rows with ``as_of``: ``how`` (an aggregate without nulls) over the marks of their unit that stand at or before them.
+
+    Rows and marks of a unit pass in order through one running window, so that no pairs are made.
+    """
+    known = marks
+    for k in keys:  # null keys are nobody's; said so that the marks' plan stays one that is reused
+        known = known.where(F.col(k).isNotNull())
+    known = known.select(*keys, F.col(mark_at).alias("__at"), F.lit(False).alias("__row"), value.alias("__value"))
+    both = rows.withColumn("__at", F.col(at)).withColumn("__row", F.lit(True)).unionByName(known, allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys).orderBy("__at", "__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("as_of", how(F.col("__value")).over(so_far)).where("__row").drop("__at", "__row", "__value")
+
+
 def original_offset(points: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """As-of join: masked positions (keys, pos) with the original position, moved by the last edit that ends there or before."""
-    on = [F.col(f"p.{k}") == F.col(f"e.{k}") for k in keys]
-    shift = F.max_by(F.col("e.end") - F.col("e.masked_end"), F.col("e.masked_end"))
-    cond = F.col("e.masked_end") <= F.col("p.pos")
-    for c in on:
-        cond = cond & c
-    out = points.alias("p").join(done.alias("e"), cond, "left").groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.pos").alias("pos"))
-    return out.agg((F.col("pos") + F.coalesce(shift, F.lit(0))).alias("original_pos"))
+    moved = as_of(points.select(*keys, "pos").distinct(), "pos", done, "masked_end", F.col("end") - F.col("masked_end"), latest, keys)
+    return moved.select(*keys, "pos", (F.col("pos") + F.coalesce("as_of", F.lit(0))).alias("original_pos"))
 
 
 def family_counts(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -143,6 +143,38 @@ def test_locating_terms(spark):
     assert [r["term"] for r in review.unlocated(terms.where("trim(term) <> ''"), out).collect()] == ["a.c"]
 
 
+def test_terms_with_quotes_of_patterns(spark):
+    u = table(spark, [("d", "a\\E( B and <AB_1> A\\e(\n b")], "doc_id string, masked_text string")
+    terms = table(spark, [("d", r"a\E( b"), ("d", "\t"), ("d", "b")], "doc_id string, term string")
+    out = review.locate_terms(u, terms).orderBy("f").collect()
+    assert [(r["start"], r["end"], r["term"]) for r in out] == [(0, 6, r"a\E( b"), (5, 6, "b"), (18, 25, r"a\E( b"), (24, 25, "b")]
+
+
+def test_placed_findings_against_plain_python(spark):
+    rng = random.Random(5)
+    found, done, keeps = [], [], []
+    for doc in range(30):
+        at, moved = 0, 0
+        for _ in range(rng.randrange(6)):
+            at += rng.randrange(4, 30)
+            size, token = rng.randrange(1, 12), rng.randrange(5, 9)
+            done.append((doc, at, at + size, at + moved, at + moved + token))
+            at, moved = at + size, moved + token - size
+        keeps += [(doc, s, s + rng.randrange(60)) for s in rng.sample(range(150), 3)]
+        found += [(doc, s, s + rng.randrange(1, 9), t) for s in rng.sample(range(200), 20) for t in ("x", "y")]
+    found.append(found[0])  # rows of one place stay as many as they are
+    back = lambda doc, p: p + max([(m, e - m) for d, _, e, _, m in done if d == doc and m <= p], default=(0, 0))[1]
+    want = []
+    for doc, s, e, term in found:
+        a, b = back(doc, s), back(doc, e)
+        want.append((doc, s, e, term, a, b, "kept" if any(d == doc and x <= a and b <= y for d, x, y in keeps) else "open"))
+    f = table(spark, found, "doc_id long, start int, end int, term string")
+    edits = table(spark, done, "doc_id long, start int, end int, masked_start long, masked_end long")
+    out = review.placed(f, edits, table(spark, keeps, "doc_id long, start int, end int"))
+    assert sorted(map(tuple, out.select("doc_id", "start", "end", "term", "original_start", "original_end", "status").collect())) == sorted(want)
+    assert "Join " not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_decisions(spark):
     f = table(spark, [("d", 1, "Ada"), ("d", 2, "ada"), ("e", 1, "Ada"), ("e", 2, "Bob")], "doc_id string, f int, term string")
     d = table(spark, [("d", 2, "ada", "occurrence", "mask", 1), (None, None, "ADA", "global", "keep", 2), ("e", None, "bob", "document", "mask", 3)], "doc_id string, f int, term string, scope string, op string, at int")
