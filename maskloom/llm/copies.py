@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from maskloom.llm.sketch import bitmap, flagged
 from maskloom.llm.store import saved, prepare
+from maskloom.llm.words import tidy
 
 
 def filtered(batches: Iterator[pa.RecordBatch], bits: np.ndarray, column: str, want: bool) -> Iterator[pa.RecordBatch]:
@@ -51,8 +52,8 @@ class Distinct:
     def map(self, fn: Callable, schema: str | StructType) -> DataFrame:
         """``mapInArrow(fn)`` over (id, text, rest, key) of each different text."""
         bits = self.bits
-        alone = self.docs.mapInArrow(lambda it: fn(filtered(it, bits.value, "key", False)), schema)
-        return alone.unionByName(self.firsts.mapInArrow(fn, schema))
+        alone = self.docs.mapInArrow(tidy(lambda it: fn(filtered(it, bits.value, "key", False))), schema)
+        return alone.unionByName(self.firsts.mapInArrow(tidy(fn), schema))
 
     def later(self) -> DataFrame:
         """(id, text, rest, key, first_id) of every row whose text a smaller id has too."""

@@ -234,4 +234,4 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: s
             for part, data, at in W.pieces(batch, text_col):
                 yield part.filter(pa.array(model.value.score(sentences(data, at))[1] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.tidy(run), docs.schema)

@@ -35,3 +35,23 @@ def test_batches_are_bounded_once(spark):
     store.prepare(spark)
     assert spark.conf.get(key) == "2m"
     spark.conf.set(key, before)
+
+
+def test_buffers_are_bounded(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.unset(key)
+    store.prepare(spark)
+    assert int(spark.conf.get(key)) == store.READ_ROWS < 4096
+    spark.conf.set(key, "100")
+    store.prepare(spark)
+    assert spark.conf.get(key) == "100"  # a session's own bound stays
+    spark.conf.unset(key)
+    wide = spark.range(0, 6_000_000, 1, 1).selectExpr("id", "xxhash64(id) h")
+    table = store.saved(wide, "groups")
+    (file,) = glob.glob(table._maskloom_path.removeprefix("file://") + "/part-*")
+    assert pq.ParquetFile(file).num_row_groups > 2 and table.count() == 6_000_000
+    store.dropped(table)
